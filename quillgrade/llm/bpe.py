@@ -3,7 +3,7 @@
 The symbols of many words stand in one flat array. Each round looks all adjacent
 pairs up by binary search over the sorted pair keys, finds every word's lowest
 rank, and merges all occurrences of that pair, until no word has a pair left.
-Words that were met before come from a bounded cache.
+Units that were met before come from a bounded cache.
 
 Null texts encode as empty texts; an empty text has no ids. A text holds any
 number of rows' worth of characters; texts are worked on in chunks, whole.
@@ -21,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, gather, small_batches, utf8
+from quillgrade.llm.common import chunks, gather, per_group, small_batches, utf8
+from quillgrade.llm.flatwords import FlatEncoder
 
 #: Fixed value: the public pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 400_000
 CHUNK_CHARS = 2_000_000
 NO_RANK = np.int64(1) << 40
 
@@ -52,7 +52,7 @@ class ByteBpe:
         made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         keys = (left << 32) | right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        self.pair_keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
         self.byte_ids = np.zeros(256, dtype=np.int64)
         for c, b in alphabet.items():
             self.byte_ids[b] = vocab[c]
@@ -67,38 +67,7 @@ class ByteBpe:
         self.spelled_at = np.cumsum(self.spelled_len) - self.spelled_len
         self.words = regex.compile(PATTERN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._forget()
-
-    def _forget(self) -> None:
-        self.cache: dict[str, int] = {}
-        self.at = np.zeros(1024, dtype=np.int64)
-        self.len = np.zeros(1024, dtype=np.int64)
-        self.ids = np.zeros(4096, dtype=np.int32)
-        self.used = 0
-        for token, i in self.special.items():
-            self._learn([token], [np.array([i], dtype=np.int32)], 1)
-
-    def _learn(self, words, ids, total) -> None:
-        k = len(self.cache)
-        while k + len(words) > len(self.at):
-            self.at, self.len = np.resize(self.at, 2 * len(self.at)), np.resize(self.len, 2 * len(self.len))
-        while self.used + total > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        flat = np.concatenate(ids) if len(ids) else np.zeros(0, np.int32)
-        lens = np.array([len(x) for x in ids], dtype=np.int64)
-        self._store(words, flat, lens)
-
-    def _store(self, words, flat, lens) -> None:
-        k = len(self.cache)
-        while k + len(words) > len(self.at):
-            self.at, self.len = np.resize(self.at, 2 * len(self.at)), np.resize(self.len, 2 * len(self.len))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.at[k : k + len(words)] = self.used + np.cumsum(lens) - lens
-        self.len[k : k + len(words)] = lens
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.cache.update(zip(words, range(k, k + len(words))))
+        self.flat = FlatEncoder(self._units, self._pieces)
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the words and the number of ids of each: the merge rounds."""
@@ -110,8 +79,8 @@ class ByteBpe:
         while len(sym):
             same = of[:-1] == of[1:]
             key = (sym[:-1] << 32) | sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where(same & (self.keys[at] == key), self.ranks[at], NO_RANK)
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            rank = np.where(same & (self.pair_keys[at] == key), self.ranks[at], NO_RANK)
             rank = np.append(rank, NO_RANK)
             first = np.flatnonzero(np.r_[True, ~same]) if len(sym) > 1 else np.zeros(1, np.int64)
             best = np.minimum.reduceat(rank, first)
@@ -151,28 +120,37 @@ class ByteBpe:
                 out += self.words.findall(part)
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the texts, and each text's number of ids."""
-        if len(self.cache) > CACHE_WORDS:
-            self._forget()
+    def _pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts or units by the full pre-token rules; repeated pre-tokens are merged once."""
         words: list[str] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
+        n = np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
-            w = self.pretokens(t)
-            counts[i] = len(w)
+            w = self.pretokens(t.decode())
+            n[i] = len(w)
             words += w
-        cache = self.cache
-        new = [w for w in set(words) if w not in cache]
-        if new:
-            new.sort()
-            flat, lens = self.merge([w.encode() for w in new])
-            self._store(new, flat, lens)
-        at = np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
-        lens = self.len[at]
-        flat = self.ids[gather(self.at[at], lens)]
-        ends = np.cumsum(counts)
-        upto = np.r_[0, np.cumsum(lens)]
-        return flat, upto[ends] - upto[ends - counts]
+        own = {w: j for j, w in enumerate(dict.fromkeys(words))}
+        flat, lens = self.merge([b"" if w in self.special else w.encode() for w in own])
+        if lens.size and not lens.all():
+            kinds, gaps = list(own), np.flatnonzero(lens == 0)
+            flat = np.insert(flat, (np.cumsum(lens) - lens)[gaps], [self.special[kinds[g]] for g in gaps.tolist()]).astype(np.int32)
+            lens[gaps] = 1
+        at = np.fromiter(map(own.__getitem__, words), dtype=np.int64, count=len(words))
+        return flat[gather((np.cumsum(lens) - lens)[at], lens[at])], per_group(lens[at], n)
+
+    def _units(self, words: list[bytes], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units: each is one pre-token unless marked."""
+        flat, lens = self.merge(words)
+        if odd.any():
+            rest, n = self._pieces([w for w, o in zip(words, odd.tolist()) if o])
+            starts = np.cumsum(lens) - lens
+            starts[odd] = len(flat) + np.cumsum(n) - n
+            lens[odd] = n
+            flat = np.concatenate([flat, rest])[gather(starts, lens)]
+        return flat, lens
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the texts, and each text's number of ids."""
+        return self.flat.encode(texts)
 
     def decode(self, flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The texts' bytes in UTF-8; ids that don't spell whole characters give U+FFFD."""
@@ -210,7 +188,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         for batch in batches:
             texts = [b"" if t is None else t for t in utf8(batch.column(1))]
             for a, b in chunks([len(t) for t in texts], CHUNK_CHARS):
-                flat, counts = bpe.encode([t.decode() for t in texts[a:b]])
+                flat, counts = bpe.encode(texts[a:b])
                 ends = np.cumsum(counts).tolist()
                 raw, cut = flat.astype("<u4").tobytes(), [0, *ends]
                 made = {

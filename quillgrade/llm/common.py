@@ -80,6 +80,13 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total, dtype=np.int64)
 
 
+def per_group(lens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of ``lens``; group i holds the next counts[i] of them."""
+    upto = np.r_[0, np.cumsum(lens)]
+    ends = np.cumsum(counts)
+    return upto[ends] - upto[ends - counts]
+
+
 def ascii_lower(column):
     """Lower-cases A-Z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
