@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrade.llm import bpe, chat, sharding, tokenfile
+from quillgrade.llm import bpe, chat, decontaminate, sharding, tokenfile
 from quillgrade.llm.common import table
 
 
@@ -13,6 +13,32 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+#: Words as the contract cuts them, with their places.
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT item_id, len(w) AS n, least(13, len(w)) AS k, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM bw),
+lengths AS (SELECT DISTINCT k FROM windows),
+dw AS (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM d, lengths WHERE len(w) >= k),
+hits AS (
+  SELECT x.doc_id, x.k, x.i, windows.item_id
+  FROM (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM dw) x JOIN windows USING (k, phrase)
+),
+hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS joined FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), FALSE) AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -54,6 +80,7 @@ FROM e GROUP BY conv_id
 def queries():
     return {
         "op1_bpe_roundtrip": op1_bpe_roundtrip,
+        "op3_decontaminate": op3_decontaminate,
         "op4_token_files": op4_token_files,
         "op7_hilbert_shards": op7_hilbert_shards,
         "op10_chat_format": op10_chat_format,
@@ -61,4 +88,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": OP10_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op10_chat_format": OP10_SQL}
