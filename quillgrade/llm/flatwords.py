@@ -64,11 +64,16 @@ def cut(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, marked[of[at]] if n else marked
 
 
-def unit_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def unit_keys(data: np.ndarray, at: np.ndarray, blank: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit key of each unit, from one start to the next; bytes marked ``blank`` at a unit's end don't count."""
     lens = np.diff(np.r_[at, len(data)])
-    inside = np.arange(len(data)) - np.repeat(at, lens)
-    powers = _Powers.upto(int(lens.max()) + 1)
-    keys = np.add.reduceat(_BYTE_KEYS[data] * powers[inside], at)
+    begin = int(at[0]) if len(at) else 0
+    inside = np.arange(len(data) - begin) - np.repeat(at - begin, lens)
+    terms = _BYTE_KEYS[data[begin:]] * _Powers.upto(int(lens.max()) + 1)[inside]
+    if blank is not None:
+        terms[blank[begin:]] = 0
+        lens = np.add.reduceat((~blank[begin:]).astype(np.int64), at - begin)
+    keys = np.add.reduceat(terms, at - begin)
     return keys ^ (keys >> np.uint64(29)) * _BASE + lens.astype(np.uint64)
 
 
