@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrade.llm import bpe, chat, decontaminate, knn_quality, sharding, tokenfile
+from quillgrade.llm import bpe, chat, decontaminate, knn_quality, line_rules, sharding, tokenfile
 from quillgrade.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -86,6 +90,7 @@ def queries():
         "op1_bpe_roundtrip": op1_bpe_roundtrip,
         "op3_decontaminate": op3_decontaminate,
         "op4_token_files": op4_token_files,
+        "op5_line_rules": op5_line_rules,
         "op6_knn_quality": op6_knn_quality,
         "op7_hilbert_shards": op7_hilbert_shards,
         "op10_chat_format": op10_chat_format,
