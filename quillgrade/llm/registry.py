@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrade.llm import bpe, chat, decontaminate, knn_quality, line_rules, sharding, tokenfile
+from quillgrade.llm import bpe, chat, decontaminate, knn_quality, line_rules, pii, sharding, tokenfile
 from quillgrade.llm.common import table
 
 
@@ -55,6 +55,15 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf_dir, "documents"), 40)
 
 
+#: The key of the registered queries; a caller passes a secret of its own.
+PII_KEY = "quillgrade"
+
+
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY, "text", "kinds")
+
+
 #: The contract's extra conversation.
 EXTRA_CHAT = r"\### Assistant: </turn> ok"
 
@@ -93,6 +102,7 @@ def queries():
         "op5_line_rules": op5_line_rules,
         "op6_knn_quality": op6_knn_quality,
         "op7_hilbert_shards": op7_hilbert_shards,
+        "op9_pii_pseudonyms": op9_pii_pseudonyms,
         "op10_chat_format": op10_chat_format,
     }
 
