@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrade.llm import bpe, chat, decontaminate, knn_quality, line_rules, pii, sharding, tokenfile
+from quillgrade.llm import bpe, chat, decontaminate, knn_quality, line_rules, near_dedup, pii, sharding, tokenfile
 from quillgrade.llm.common import table
 
 
@@ -13,6 +13,32 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) END AS s FROM w
+),
+sets AS (SELECT list_sort(s) AS s, min(doc_id) AS id, len(any_value(s)) AS n FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
+flat AS (SELECT id, n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.id AS x, b.id AS y FROM flat a JOIN flat b ON a.g = b.g AND a.id < b.id AND a.n * 100 >= b.n * 85 AND b.n * 100 >= a.n * 85
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(id, r) AS (SELECT id, id FROM sets UNION SELECT reach.id, both_ways.y FROM reach JOIN both_ways ON reach.r = both_ways.x),
+comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(comp.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(comp.component_id, s.doc_id) AS kept
+FROM s LEFT JOIN sets ON list_sort(s.s) = sets.s LEFT JOIN comp ON comp.id = sets.id
+"""
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -97,6 +123,7 @@ FROM e GROUP BY conv_id
 def queries():
     return {
         "op1_bpe_roundtrip": op1_bpe_roundtrip,
+        "op2_near_dedup": op2_near_dedup,
         "op3_decontaminate": op3_decontaminate,
         "op4_token_files": op4_token_files,
         "op5_line_rules": op5_line_rules,
@@ -108,4 +135,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op10_chat_format": OP10_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op10_chat_format": OP10_SQL}
