@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrade.llm import bpe, chat, decontaminate, knn_quality, line_rules, near_dedup, pii, sharding, tokenfile
+from quillgrade.llm import bpe, chat, decontaminate, knn_quality, line_rules, near_dedup, pii, pseudo_likelihood, sharding, tokenfile
 from quillgrade.llm.common import table
 
 
@@ -19,7 +19,8 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents
 ),
 s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
@@ -81,6 +82,10 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.lm_scores(table(spark, sf_dir, "documents"))
+
+
 #: The key of the registered queries; a caller passes a secret of its own.
 PII_KEY = "quillgrade"
 
@@ -129,6 +134,7 @@ def queries():
         "op5_line_rules": op5_line_rules,
         "op6_knn_quality": op6_knn_quality,
         "op7_hilbert_shards": op7_hilbert_shards,
+        "op8_pseudo_likelihood": op8_pseudo_likelihood,
         "op9_pii_pseudonyms": op9_pii_pseudonyms,
         "op10_chat_format": op10_chat_format,
     }
