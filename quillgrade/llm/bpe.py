@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, gather, per_group, small_batches, utf8
+from quillgrade.llm.common import chunks, fresh, gather, per_group, small_batches, utf8
 from quillgrade.llm.flatwords import FlatEncoder
 
 #: Fixed value: the public pre-token pattern of byte-level BPE vocabularies.
@@ -204,3 +204,25 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def encode_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """All columns of ``docs``, with ``text`` decoded from the ids, and the columns ``n_tokens`` and ``ids``."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+    names = [f"c{i}" for i in range(len(docs.columns))] + ["n_tokens", "ids"]
+
+    def run(batches):
+        bpe = load(path)
+        for batch in batches:
+            texts = [b"" if t is None else t for t in utf8(batch.column(at))]
+            for a, b in chunks([len(t) for t in texts], CHUNK_CHARS):
+                flat, counts = bpe.encode(texts[a:b])
+                cut = np.r_[0, np.cumsum(counts)]
+                columns = batch.slice(a, b - a).columns
+                columns[at] = pa.array([t.decode() for t in bpe.decode(flat, counts)], pa.string())
+                ids = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), ids], names=names)
+
+    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    return docs.mapInArrow(run, fields + ", n_tokens long, ids array<int>").toDF(*docs.columns, fresh(docs, "n_tokens"), fresh(docs, "ids"))

@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _LOCAL_SHARED: dict[str, str] = {}
 
@@ -87,6 +86,9 @@ def per_group(lens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return upto[ends] - upto[ends - counts]
 
 
-def ascii_lower(column):
-    """Lower-cases A-Z only."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, gather, materialise, small_batches, utf8
+from quillgrade.llm.common import chunks, fresh, gather, materialise, small_batches, utf8
 
 #: Bytes that aren't part of words become spaces, A-Z become a-z.
 WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -267,8 +267,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, key, text).where("contaminated").select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__hash")), "left_anti")
+    k, h = fresh(docs, "bad_key"), fresh(docs, "bad_hash")
+    bad = contamination(docs, benchmark, key, text).where("contaminated").select(F.col(key).alias(k), F.col("text_hash").alias(h)).distinct()
+    return docs.join(bad, docs[key].cast("long").eqNullSafe(bad[k]) & (F.xxhash64(docs[text]) == bad[h]), "left_anti")
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, small_batches, utf8
+from quillgrade.llm.common import chunks, fresh, small_batches, utf8
 from quillgrade.llm.flatwords import unit_keys
 
 WORD_TERMS = 2048
@@ -194,7 +194,8 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", into: str =
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with a score of 0.5 or more, with their columns."""
-    return score(docs, fit(docs, labels, key, text), text, "__score").where("__score >= 0.5").drop("__score")
+    own = fresh(docs, "score")
+    return score(docs, fit(docs, labels, key, text), text, own).where(F.col(own) >= 0.5).drop(own)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, discard, materialise, small_batches, utf8
+from quillgrade.llm.common import chunks, discard, fresh, materialise, small_batches, utf8
 from quillgrade.llm.flatwords import unit_keys
 
 TOKENS = 64
@@ -259,5 +259,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with its columns; keys are taken to be unique."""
-    gone = near_duplicates(docs, key, text, width, percent).where("NOT kept").select(F.col(key).alias("__gone"))
-    return docs.join(gone, F.col(key).cast("long") == F.col("__gone"), "left_anti")
+    own = fresh(docs, "gone")
+    gone = near_duplicates(docs, key, text, width, percent).where("NOT kept").select(F.col(key).alias(own))
+    return docs.join(gone, docs[key].cast("long") == gone[own], "left_anti")

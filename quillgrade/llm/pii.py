@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgrade.llm.common import fresh
+
 ROUNDS = 10
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
@@ -200,14 +202,14 @@ def pseudonym(value: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: str | None = None) -> DataFrame:
     """Rewrites ``text``; ``counts`` names a column for the number of values replaced, by kind."""
-    column = F.col(text)
+    column, own, new = F.col(text), fresh(docs, "found"), fresh(docs, "rebuilt")
     gaps = F.split(column, ANY, -1)
     found = F.transform(F.regexp_extract_all(column, F.lit(ANY), 0), lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
-    some = docs.withColumn("__found", F.when(column.rlike("[0-9@]"), found))
-    told = F.transform("__found", lambda p: F.coalesce(p["new"]["value"], p["old"]))
+    some = docs.withColumn(own, F.when(column.rlike("[0-9@]"), found))
+    told = F.transform(own, lambda p: F.coalesce(p["new"]["value"], p["old"]))
     rebuilt = F.array_join(F.zip_with(gaps, F.concat(told, F.array(F.lit(""))), lambda g, m: F.concat(g, m)), "")
-    out = some.withColumn("__new", F.when(F.size("__found") > 0, rebuilt).otherwise(column))
+    out = some.withColumn(new, F.when(F.size(own) > 0, rebuilt).otherwise(column))
     if counts:
-        kinds = F.filter(F.transform("__found", lambda p: F.when(p["new"]["value"].isNotNull(), p["new"]["kind"])), lambda k: k.isNotNull())
+        kinds = F.filter(F.transform(own, lambda p: F.when(p["new"]["value"].isNotNull(), p["new"]["kind"])), lambda k: k.isNotNull())
         out = out.withColumn(counts, F.coalesce(kinds, F.array().cast("array<string>")))
-    return out.withColumn(text, F.col("__new")).drop("__found", "__new")
+    return out.withColumn(text, F.col(new)).drop(own, new)
