@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,13 +25,25 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+#: Modules that register queries when imported.
+MODULES = ["access_queries", "report_queries", "grading_queries"]
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"quillgrade.plans.{m}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Grade every sheet and report each session's results."""
+    return queries()["agg_09_grade"](spark, sf_dir)
