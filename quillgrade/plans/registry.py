@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 #: Modules that register queries when imported.
-MODULES = ["access_queries", "report_queries", "grading_queries", "sequence_queries", "variant_queries", "state_queries", "geometry_queries"]
+MODULES = ["access_queries", "report_queries", "grading_queries", "sequence_queries", "variant_queries", "state_queries", "geometry_queries", "text_queries"]
 
 
 def _load() -> None:
