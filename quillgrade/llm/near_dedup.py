@@ -10,10 +10,13 @@ wanted probability.
 1. In every tree's first level, each group is compared with its first member. What
    is confirmed on the full sets is joined into components.
 2. Only pairs of different components are left to find. A group with few members
-   outside its largest component compares these with all its members; any other
-   group branches again, down to ``depth`` levels, where what is left is compared
-   as well. So no link between components is lost to a cap, and a group of copies
-   never gives all its pairs.
+   outside its largest component compares these with all its members, in blocks;
+   any other group branches again, down to ``depth`` levels, where what is left is
+   compared as well. Each member hands on its likeliest partners first; what they
+   confirm joins components, and the next turn compares what is still apart.
+   Groups with members that still have more go through a last turn with their full
+   sets at hand, which hands on confirmed links alone. So no link between components is lost to a cap, and a
+   group of copies never gives all its pairs.
 
 Candidates pass a 256-bit sketch of the minwise tokens, with a margin of five
 standard deviations, and a bound on set sizes; then the full sets decide, as 64-bit
@@ -34,14 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, discard, fresh, materialise, small_batches, utf8
+from quillgrade.llm.common import chunks, discard, fresh, gather, materialise, small_batches, utf8
 from quillgrade.llm.flatwords import unit_keys
 
 TOKENS = 64
 TREES = 12
-SMALL = 48
+SMALL = 1024
+BLOCK = 4096
 DEPTH = 10
-BROADCAST_SETS = 200_000
+TURNS = (4, 48)
+BLOCK_SHINGLES = 1_000_000
+BROADCAST_ROWS = 200_000
 CHUNK_BYTES = 2_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -143,13 +149,22 @@ def _sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "key long, set_hash binary, shingles array<long>")
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Broadcast where a count shows that the written table is small; joined by shuffle beyond."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 SKETCH = ["s0", "s1", "s2", "s3"]
 
 
+def _least(percent: int) -> int:
+    """Equal sketch parts that a linked pair has, less five standard deviations."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    return math.floor(TOKENS * p - 5 * math.sqrt(TOKENS * p * (1 - p)))
+
+
 def _alike(x: str, y: str, percent: int):
     """Whether two nodes may be linked, by their sizes and sketches."""
-    p = percent / 100 + (1 - percent / 100) / 16
-    least = math.floor(TOKENS * p - 5 * math.sqrt(TOKENS * p * (1 - p)))
     differ = F.lit(0)
     for s in SKETCH:
         d = F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))
@@ -157,17 +172,142 @@ def _alike(x: str, y: str, percent: int):
         d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
         differ = differ + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
     sizes = F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * percent
-    return sizes & (TOKENS - differ >= least)
+    return sizes & (TOKENS - differ >= _least(percent))
+
+
+def _may_link(x: dict, every: dict, percent: int) -> np.ndarray:
+    """Equal sketch parts of every pair, 0 where labels or sizes rule a link out."""
+    ones = np.uint64(0x1111111111111111)
+    same = np.full((len(x["uid"]), len(every["uid"])), TOKENS, dtype=np.int16)
+    for s in SKETCH:
+        d = x[s][:, None].view(np.uint64) ^ every[s].view(np.uint64)
+        d |= d >> np.uint64(2)
+        d |= d >> np.uint64(1)
+        same -= np.bitwise_count(d & ones)
+    small, large = np.minimum(x["n"][:, None], every["n"]), np.maximum(x["n"][:, None], every["n"])
+    same[(x["label"][:, None] == every["label"]) | (small * 100 < large * percent)] = 0
+    return same
+
+
+def _partners(few: dict, every: dict, percent: int, most: int):
+    """Pairs of a member of ``few`` and one of ``every`` with another label that may be linked, the likeliest ``most`` of each; and whether more were left."""
+    pairs, cut = [], False
+    for i in range(0, len(few["uid"]), 64):
+        same = _may_link({k: v[i : i + 64] for k, v in few.items()}, every, percent)
+        row, col = np.nonzero(same >= _least(percent))
+        order = np.lexsort((every["uid"][col], -same[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        cut |= bool((place >= most).any())
+        row, col = row[place < most], col[place < most]
+        a, b = few["uid"][i + row], every["uid"][col]
+        pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+    return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), cut
+
+
+def _links(few: dict, every: dict, percent: int) -> np.ndarray:
+    """Confirmed links of members of ``few``, one to each other label; pairs that an earlier tree holds together are left to it."""
+    sizes = np.array([len(s) for s in every["shingles"]])
+    flat, owner = np.concatenate(every["shingles"]), np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out = []
+    for i in range(0, len(few["uid"]), 64):
+        x = {k: v[i : i + 64] for k, v in few.items()}
+        may = _may_link(x, every, percent) >= _least(percent)
+        for t in range(int(x["tree"][0])):
+            may &= x["tokens"][:, None, t] != every["tokens"][:, t]
+        for j in np.flatnonzero(may.any(axis=1)).tolist():
+            lo, hi = np.searchsorted(flat, x["shingles"][j], "left"), np.searchsorted(flat, x["shingles"][j], "right")
+            common = np.bincount(owner[gather(lo, hi - lo)], minlength=len(sizes))
+            hit = np.flatnonzero(may[j] & (100 * common >= percent * (len(x["shingles"][j]) + sizes - common)))
+            _, first = np.unique(every["label"][hit], return_index=True)
+            out += [(int(x["uid"][j]), int(every["uid"][h])) for h in hit[first]]
+    return np.array(out, dtype=np.int64).reshape(-1, 2)
+
+
+def _by_block(rows: DataFrame, plain: list[str], nested: list[str], schema: str, work):
+    """Applies ``work`` to each block of a group: its few members and all others, as arrays. Blocks are of bounded size."""
+    names = ["path", "block", "few", *plain, *nested]
+    rows = rows.select(*names).repartition("path", "block").sortWithinPartitions("path", "block", "few")
+
+    def run(batches):
+        held = None
+
+        def done(group):
+            f = group["few"] == 1
+            return work(group["path"][0], {k: group[k][f] for k in names[3:]}, {k: group[k][~f] for k in names[3:]}) if f.any() and not f.all() else None
+
+        for batch in batches:
+            now = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
+            if held is not None:
+                now = {k: np.concatenate([held[k], now[k]]) for k in names}
+            n = len(now["path"])
+            fresh = np.flatnonzero((np.diff(now["path"]) != 0) | (np.diff(now["block"]) != 0)) + 1
+            edges = [0, *fresh.tolist()] if n else []
+            for a, b in zip(edges[:-1], edges[1:]):
+                out = done({k: v[a:b] for k, v in now.items()})
+                if out is not None:
+                    yield out
+            held = {k: v[edges[-1] :] for k, v in now.items()} if n else None
+        out = done(held) if held is not None else None
+        if out is not None:
+            yield out
+
+    return rows.mapInArrow(run, schema)
+
+
+def _blocks(own: DataFrame, blocks, few_blocks) -> DataFrame:
+    """A grid over each group: every block of members meets every block of the few outside the largest component."""
+    f, e = few_blocks, blocks
+    every = own.withColumn("__e", F.pmod(F.xxhash64("uid"), e)).withColumn("__f", F.explode(F.sequence(F.lit(0), f - 1))).withColumn("few", F.lit(0))
+    few = own.where("label <> main").withColumn("__f", F.pmod(F.xxhash64("uid", F.lit(1)), f)).withColumn("__e", F.explode(F.sequence(F.lit(0), e - 1))).withColumn("few", F.lit(1))
+    both = every.withColumn("__e", F.col("__e").cast("int")).unionByName(few.withColumn("__f", F.col("__f").cast("int")))
+    return both.withColumn("block", F.xxhash64("__e", "__f"))
+
+
+def _crossing(own: DataFrame, percent: int, most: int) -> DataFrame:
+    """Candidate pairs between components inside groups, and the groups where members had more than ``most``."""
+
+    def work(path, few, every):
+        pairs, cut = _partners(few, every, percent, most)
+        if len(pairs):
+            return pa.RecordBatch.from_pydict({"path": pa.array(np.full(len(pairs), path)), "a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "cut": pa.array(np.full(len(pairs), cut))})
+        return None
+
+    rows = _blocks(own, F.ceil(F.col("c") / BLOCK).cast("int"), F.lit(1))
+    return _by_block(rows, ["uid", "label", "n", *SKETCH], [], "path long, a long, b long, cut boolean", work)
+
+
+def _full(own: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """Confirmed links between the components of whole groups."""
+    uids = materialise(own.select("uid").distinct(), "uids")
+    sets = _sets_of(uids, nodes, docs, key, text, width)
+    rows = own.join(_sent(materialise(own.groupBy("path").agg(F.sum("n").alias("volume"), F.sum(F.when(F.col("label") != F.col("main"), F.col("n")).otherwise(0)).alias("few_volume")), "volumes")), "path")
+    rows = _blocks(rows, F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("few_volume") / BLOCK_SHINGLES)).cast("int"))
+    rows = rows.join(sets, "uid").join(_sent(materialise(nodes.select("uid", F.slice("tokens", 1, TREES).alias("tokens")).join(_sent(uids), "uid"), "tokens")), "uid")
+
+    def work(path, few, every):
+        for side in (few, every):
+            side["tokens"] = np.stack(side["tokens"])
+        found = _links(few, every, percent)
+        return pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])}) if len(found) else None
+
+    return _by_block(rows, ["uid", "label", "n", *SKETCH, "tree"], ["shingles", "tokens"], "a long, b long", work)
+
+
+def _sets_of(uids: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(uid, shingles) of the wanted nodes, from one document of each."""
+    wanted = materialise(nodes.select("uid", "set_hash", "rep").join(_sent(uids), "uid"), "wanted").withColumnsRenamed({"set_hash": "w_hash"})
+    sets = _sets(docs, key, text, width).join(_sent(wanted), (F.col("set_hash") == F.col("w_hash")) & F.col("key").eqNullSafe(F.col("rep")))
+    return materialise(sets.select("uid", "shingles"), "sets").dropDuplicates(["uid"])
 
 
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     pairs = materialise(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(nodes.select("uid", "set_hash", "rep"), "uid")
-    wanted = materialise(wanted, "wanted").withColumnsRenamed({"set_hash": "w_hash"})
-    few = wanted.count() <= BROADCAST_SETS
-    sets = _sets(docs, key, text, width).join(F.broadcast(wanted) if few else wanted, (F.col("set_hash") == F.col("w_hash")) & F.col("key").eqNullSafe(F.col("rep")))
-    sets = materialise(sets.select("uid", "shingles"), "sets").dropDuplicates(["uid"])
+    uids = materialise(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct(), "uids")
+    sets = _sets_of(uids, nodes, docs, key, text, width)
     x, y = sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y")), sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x"))
     both = pairs.join(x, "b").join(y, "a").withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
@@ -176,25 +316,52 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
 def components(edges: DataFrame) -> DataFrame:
     """(uid, label): each linked node with the smallest node that it can reach.
 
-    Each round takes the least label among neighbours and then the label of that
-    label, so that the rounds grow with the logarithm of the longest path.
+    Each round takes the least label among neighbours and the label of that one, so
+    that the rounds grow with the logarithm of the longest path.
     """
     both = materialise(edges.union(edges.select("b", "a")).toDF("uid", "other").distinct(), "edges")
     labels = materialise(both.groupBy("uid").agg(F.least("uid", F.min("other")).alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("uid", "other"), "other").groupBy("uid").agg(F.min("label").alias("near"))
-        least = labels.join(near, "uid").select("uid", F.least("label", "near").alias("next"), F.col("label").alias("was"))
-        least = materialise(least, "least")
-        jump = least.select(F.col("uid").alias("next"), F.col("next").alias("far"))
+        known = _sent(labels)
+        near = both.join(known.select(F.col("uid").alias("other"), "label"), "other").groupBy("uid").agg(F.min("label").alias("near"))
+        least = near.join(known, "uid").select("uid", F.least("label", "near").alias("next"), F.col("label").alias("was"))
+        jump = known.select(F.col("uid").alias("next"), F.col("label").alias("far"))
         moved = materialise(least.join(jump, "next").select("uid", F.least("next", "far").alias("label"), "was"), "labels")
-        changed = moved.where("label <> was").limit(1).count()
-        discard(least)
+        changed = moved.where("label <> was").count()
         discard(labels)
         labels = moved.select("uid", "label")
         if not changed:
             return labels
 
 
+def _between(level: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of different components, from the first level of groups down, and the members of the groups compared."""
+    found = compared = None
+    known = _sent(labels)
+    for depth in range(1, DEPTH + 1):
+        own = level.join(known, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+        parts = own.groupBy("path", "label").agg(F.count("*").alias("k"))
+        groups = parts.groupBy("path").agg(F.sum("k").alias("c"), F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+        groups = groups.select("path", "c", F.col("most.label").alias("main"), ((F.col("c") - F.col("most.k") <= SMALL) | F.lit(depth == DEPTH)).alias("small"))
+        groups = materialise(groups, "groups")
+        own = own.join(_sent(groups), "path")
+        pairs = materialise(_crossing(own.where("small"), percent, most), "crossing")
+        found = pairs if found is None else found.union(pairs)
+        part = own.where("small").join(_sent(materialise(pairs.where("cut").select("path").distinct(), "cut")), "path", "left_semi")
+        compared = part if compared is None else compared.unionByName(part)
+        if depth == DEPTH or not groups.where("NOT small").count():
+            break
+        large = materialise(own.where("NOT small").select("path", "uid", "n", *SKETCH), "large")
+        # each path chooses one token, and now and then a second one
+        pick = lambda i: F.pmod(F.xxhash64("path", F.lit(i)), F.lit(TOKENS)).cast("int")
+        also = F.pmod(F.xxhash64("path", F.lit(-1)), F.lit(1000)) < int(1000 * (100 / percent - 1))
+        picks = F.when(also & (pick(0) != pick(1)), F.array(pick(0), pick(1))).otherwise(F.array(pick(0)))
+        deeper = nodes.select("uid", "tokens").join(_sent(large), "uid").select("path", "uid", "n", *SKETCH, "tokens", F.explode(picks).alias("at"))
+        deeper = deeper.withColumn("path", F.xxhash64("path", "at", F.element_at("tokens", F.col("at") + 1))).select("path", F.lit(0).alias("tree"), "uid", "n", *SKETCH)
+        level = materialise(deeper, "deeper")
+    return found, compared
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85, trees: int = TREES) -> DataFrame:
     """A row each document: key, n_shingles, component_id (least key reachable) and kept (the key is the component's)."""
     spark = docs.sparkSession
@@ -205,7 +372,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     # first level: tree t branches by token t
     roots = nodes.select("uid", "n", *SKETCH, F.posexplode(F.slice("tokens", 1, trees)).alias("tree", "token"))
-    members = roots.select(F.xxhash64("tree", "token").alias("path"), "uid", "n", *SKETCH)
+    members = roots.select(F.xxhash64("tree", "token").alias("path"), "tree", "uid", "n", *SKETCH)
     first = F.min(F.struct("uid", "n", *SKETCH)).alias("pivot")
     groups = members.groupBy("path").agg(F.count("*").alias("c"), first).where("c > 1")
     members = materialise(members.join(groups, "path"), "members")
@@ -215,43 +382,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     labels = components(edges)
 
     # groups that hold more than one component
-    level = members.select("path", "uid", "n", *SKETCH)
-    found, extra = [], None
-    for depth in range(1, DEPTH + 1):
-        own = level.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-        own = materialise(own, "level")
-        parts = own.groupBy("path", "label").agg(F.count("*").alias("k"))
-        groups = parts.groupBy("path").agg(F.sum("k").alias("c"), F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        groups = groups.select("path", F.col("most.label").alias("main"), ((F.col("c") - F.col("most.k") <= SMALL) | F.lit(depth == DEPTH)).alias("small"))
-        own = materialise(own.join(groups, "path"), "groups")
-        few = own.where("small AND label <> main").alias("x")
-        every = own.where("small").alias("y")
-        on = (F.col("x.path") == F.col("y.path")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.uid") < F.col("y.uid"))) & _alike("x", "y", percent)
-        found.append(materialise(few.join(every, on).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct(), "cross"))
-        large = own.where("NOT small")
-        if depth == DEPTH or not large.limit(1).count():
+    start = members.select("path", "tree", "uid", "n", *SKETCH)
+    for turn, most in enumerate(TURNS):
+        found, compared = _between(start, nodes, labels, percent, most)
+        found = materialise(found, "cross")
+        if not found.count():
             break
-        # each path chooses one token, and now and then a second one
-        pick = lambda i: F.pmod(F.xxhash64("path", F.lit(i)), F.lit(TOKENS)).cast("int")
-        also = F.pmod(F.xxhash64("path", F.lit(-1)), F.lit(1000)) < int(1000 * (100 / percent - 1))
-        picks = F.when(also & (pick(0) != pick(1)), F.array(pick(0), pick(1))).otherwise(F.array(pick(0)))
-        deeper = large.join(nodes.select("uid", "tokens"), "uid").select("path", "uid", "n", *SKETCH, "tokens", F.explode(picks).alias("at"))
-        deeper = deeper.withColumn("path", F.xxhash64("path", "at", F.element_at("tokens", F.col("at") + 1))).select("path", "uid", "n", *SKETCH)
-        lone = deeper.groupBy("path").agg(F.count("*").alias("c")).where("c > 1").select("path")
-        level = materialise(deeper.join(lone, "path"), "deeper")
-
-    cross = found[0]
-    for f in found[1:]:
-        cross = cross.union(f)
-    if cross.limit(1).count():
-        extra = materialise(_confirm(cross, nodes, docs, key, text, width, percent), "cross-edges")
-        if extra.limit(1).count():
-            labels = components(edges.union(extra))
-
-    named = nodes.select("uid", "set_hash", "rep").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    named = materialise(named, "named")
-    names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(names, "label").select("set_hash", "component_id")
+        edges = materialise(edges.union(_confirm(found.select("a", "b"), nodes, docs, key, text, width, percent)), "edges")
+        if turn == len(TURNS) - 1 and found.where("cut").count():
+            edges = materialise(edges.union(_full(compared, nodes, docs, key, text, width, percent)), "edges")
+        labels = components(edges)
+
+    linked = materialise(nodes.select("uid", "rep").join(_sent(labels), "uid"), "linked")
+    names = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
+    linked = materialise(linked.join(names, "label").select("uid", "component_id"), "named")
+    named = nodes.select("uid", "set_hash", "rep").join(_sent(linked), "uid", "left").select("set_hash", F.when(F.col("component_id").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
     out = features.select("key", "n", "set_hash").join(named, "set_hash", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
