@@ -282,10 +282,11 @@ def _crossing(own: DataFrame, percent: int, most: int) -> DataFrame:
 def _full(own: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """Confirmed links between the components of whole groups."""
     uids = materialise(own.select("uid").distinct(), "uids")
-    sets = _sets_of(uids, nodes, docs, key, text, width)
+    tokens = materialise(nodes.select("uid", F.slice("tokens", 1, TREES).alias("tokens")).join(_sent(uids), "uid", "left_semi"), "tokens")
+    sets = _sets_of(uids, nodes, docs, key, text, width).join(_sent(tokens), "uid")
     rows = own.join(_sent(materialise(own.groupBy("path").agg(F.sum("n").alias("volume"), F.sum(F.when(F.col("label") != F.col("main"), F.col("n")).otherwise(0)).alias("few_volume")), "volumes")), "path")
     rows = _blocks(rows, F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("few_volume") / BLOCK_SHINGLES)).cast("int"))
-    rows = rows.join(sets, "uid").join(_sent(materialise(nodes.select("uid", F.slice("tokens", 1, TREES).alias("tokens")).join(_sent(uids), "uid"), "tokens")), "uid")
+    rows = rows.join(sets, "uid")
 
     def work(path, few, every):
         for side in (few, every):
