@@ -231,7 +231,7 @@ def test_pseudonyms_keep_their_format(spark):
 
 
 def test_pseudonyms_leave_others_alone(spark):
-    plain = [None, "", "Version 2.0, CC BY-NC 4.0", "4111111111111112", "999.1.1.1", "1.2.3.4.5", "2021-02-30", "000-12-1234", "a@b", "x" * 5000, "1" * 100, "123e4567"]
+    plain = [None, "", "Version 2.0, CC BY-NC 4.0", "4111111111111112", "999.1.1.1", "1.2.3.4.5", "2021-02-30", "000-12-1234", "a@b", "x" * 5000, "1" * 25, "123e4567"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(plain)], "doc_id long, text string")
     out = pii.pseudonymise(df, "key")
     assert [r["text"] for r in out.orderBy("doc_id").collect()] == plain and out.columns == df.columns
