@@ -125,3 +125,16 @@ def continuation(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of a continued page whose number isn't known yet; unnumbered ones always stay."""
     own = ["doc_id", "question_number"]
     return rows.where("question_number <> 0").join(known.select(*own), own, "left_anti").unionByName(rows.where("question_number = 0 OR question_number IS NULL"))
+
+
+def runs(rows: DataFrame, by: list[str], order: str, flag: str) -> DataFrame:
+    """Stretches of consecutive flagged rows: first and last place, and length."""
+    w = Window.partitionBy(*by).orderBy(order)
+    placed = rows.withColumn("i", F.row_number().over(w)).where(F.col(flag))
+    island = placed.withColumn("island", F.col("i") - F.row_number().over(w))
+    return island.groupBy(*by, "island").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("n")).drop("island")
+
+
+def final_order(rows: DataFrame) -> DataFrame:
+    """Place of each question of a document: by section, then number."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "question_number", "page_number", "pos")))

@@ -212,3 +212,27 @@ def src_07(spark, d):
     e = table(spark, d, "events")
     fenced = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 7 == 1, F.concat(F.lit("Here you are: "), "props", F.lit(" done"))).when(F.col("event_id") % 7 == 6, F.lit("sorry, no")).otherwise(F.col("props"))
     return e.select(F.col("event_id").alias("sheet_id"), F.get_json_object(S.salvage(fenced), "$.k").try_cast("int").alias("k"))
+
+
+_CLASS = f"CASE WHEN trim(student_answer) = '' THEN NULL WHEN trim(student_answer) = '?' THEN 'unclear' WHEN regexp_matches({_CANON('student_answer')}, '^[A-EБГ]$') THEN {_CANON('student_answer')} ELSE 'text:' || trim(student_answer) END"
+
+
+@query("jsn_02_classify", with_views("answers") + f"SELECT sheet_id, position, {_CLASS} AS kind FROM answers")
+def jsn_02(spark, d):
+    from quillgrade.sources import responses as S
+
+    return view(spark, d, "answers").select("sheet_id", "position", S.classify(F.col("student_answer")).alias("kind"))
+
+
+@query(
+    "jsn_03_coerce",
+    with_views("runs") + "SELECT session_id, idx, variant, CASE WHEN idx % 3 = 0 THEN NULL WHEN name IS NULL THEN NULL ELSE name END AS clean, idx % 4 = 1 AS flag FROM runs",
+)
+def jsn_03(spark, d):
+    from quillgrade.sources import responses as S
+
+    r = view(spark, d, "runs")
+    said = F.concat(F.lit("Variant: "), F.col("variant").cast("string"), F.lit(" ."))
+    name = F.when(F.col("idx") % 3 == 0, " NULL ").otherwise(F.concat(F.lit("  "), F.col("name")))
+    flag = F.when(F.col("idx") % 4 == 1, " Yes").when(F.col("idx") % 4 == 2, "no")
+    return r.select("session_id", "idx", S.variant_number(said).alias("variant"), S.clean_name(name).alias("clean"), S.as_bool(flag).alias("flag"))

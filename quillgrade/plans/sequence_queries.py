@@ -216,4 +216,20 @@ def src_06(spark, d):
     return S.question_rows(raw).select("doc_id", "page_number", "pos", "question_number", "question_text", told.alias("options"))
 
 
-query("src_08_aliases")(lambda spark, d: src_06(spark, d).groupBy("question_number").agg(F.count("*").alias("n")))
+query("src_08_aliases", "SELECT CAST(n AS INT) AS question_number, count(*) AS n FROM (SELECT turn + 1 AS n FROM conversations UNION ALL SELECT turn + 2 FROM conversations) x GROUP BY x.n")(lambda spark, d: src_06(spark, d).groupBy("question_number").agg(F.count("*").alias("n")))
+
+
+@query("srt_04_final_order", P + _SECT + " SELECT doc_id, page_number, pos, row_number() OVER (PARTITION BY doc_id ORDER BY section, question_number, page_number, pos) AS place FROM s")
+def srt_04(spark, d):
+    return M.final_order(_sections(spark, d)).select("doc_id", "page_number", "pos", "place")
+
+
+@query(
+    "src_12_runs",
+    """WITH e AS (SELECT user_id, event_type IN ('click', 'view') AS ink, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+g AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS island FROM e WHERE ink)
+SELECT user_id, min(i) AS first, max(i) AS last, count(*) AS n FROM g GROUP BY user_id, island""",
+)
+def src_12(spark, d):
+    e = table(spark, d, "events").withColumn("ink", F.col("event_type").isin("click", "view"))
+    return M.runs(e, ["user_id"], "event_id", "ink")
