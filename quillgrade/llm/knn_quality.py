@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,16 +159,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 _, terms, shares = term_counts([t])
                 yield pa.RecordBatch.from_pydict({"key": batch.column(2).slice(i, 1).cast(pa.string()), "label": batch.column(0).slice(i, 1), "terms": pa.array([terms.tolist()], pa.list_(pa.int32())), "shares": pa.array([shares.tolist()], pa.list_(pa.float32()))})
 
-    found = sorted(rows.mapInArrow(run, "key string, label float, terms array<int>, shares array<float>").collect(), key=lambda r: (r["key"], r["label"], r["terms"]))
-    if not found:
+    found = rows.mapInArrow(run, "key string, label float, terms array<int>, shares array<float>").toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
+    if not found.num_rows:
         return None
-    lens = [len(r["terms"]) for r in found]
-    return Model(
-        np.repeat(np.arange(len(found)), lens),
-        np.array([t for r in found for t in r["terms"]], dtype=np.int64),
-        np.array([s for r in found for s in r["shares"]], dtype=np.float64),
-        [r["label"] for r in found],
-    )
+    lens = pc.list_value_length(found["terms"]).to_numpy()
+    flat = lambda c: pc.list_flatten(found[c]).to_numpy()
+    return Model(np.repeat(np.arange(len(lens)), lens), flat("terms").astype(np.int64), flat("shares").astype(np.float64), found["label"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", into: str = "score") -> DataFrame:
