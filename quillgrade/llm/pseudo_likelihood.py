@@ -6,12 +6,15 @@ output (a class, then a word of the class) whose probabilities sum to one. A
 document's score is the sum over its words of the log-probability of each given the
 others around it.
 
-The vocabulary holds the most frequent words of all documents; other words share
-hashed ids. Training masks a fixed share of the positions of every document: each
+The vocabulary holds the most frequent words of all documents. Of any other word the
+network predicts the id of its last byte's group, and a byte model spells it from its
+end to its start given that id, so each word has a probability of its own; those of all
+words sum to one at most (what is missing is on spellings of vocabulary words). The byte
+model is counted over all such words of the corpus. Training masks a fixed share of the positions of every document: each
 partition trains in numpy from the same parameters, the parameters are averaged with
 the positions as weights, and the next round starts from the average. What the
-rounds gather grows with the partitions; only one set of parameters and the
-vocabulary, both of fixed size, come to the driver.
+rounds gather grows with the partitions; only one set of parameters, the vocabulary
+and the byte model, all of bounded size, come to the driver.
 
 Words are runs of ``[^\x20\x09-\x0D]`` with A-Z lower-cased. A null or empty text has no
 words and the score 0. Repeated rows score alike. Columns besides key and text
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, materialise, small_batches, utf8
+from quillgrade.llm.common import chunks, gather, materialise, small_batches, utf8
 from quillgrade.llm.flatwords import unit_keys
 
 WORDS = 4032
@@ -46,14 +49,62 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
-
-def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys of all words and the text of each."""
+#: Groups of bytes: letters and digits alone, other characters by few.
+_GROUP = np.full(256, 59, dtype=np.int64)
+_GROUP[97:123], _GROUP[48:58] = np.arange(26), np.arange(26, 36)
+_GROUP[33:48], _GROUP[58:65] = np.arange(36, 51), np.arange(51, 58)
+_GROUP[91:97], _GROUP[128:] = 58, 60 + np.arange(128) % 4
+#: The byte model: the group of the byte after (64: none), the byte, and the byte before (256: none).
+SPELLED = (RARE + 1, 256, 257)
+_CODES = int(np.prod(SPELLED))
+_AFTER = (np.where(_SPACE, RARE, _GROUP) * (256 * 257)).astype(np.int32)
+_BEFORE = np.where(_SPACE, 256, np.arange(256)).astype(np.int32)
+PRIOR = 8.0
+
+
+def _cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all words, the text of each; all bytes, and each word's first and last place."""
     data = np.frombuffer((b"\n".join(texts) + b"\n").translate(_LOWER), dtype=np.uint8)
     space = _SPACE[data]
     start = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    end = np.flatnonzero(~space & np.r_[space[1:], True])
     doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
-    return (unit_keys(data, start, space) if len(start) else np.zeros(0, np.uint64)), doc
+    keys = unit_keys(data, start, space) if len(start) else np.zeros(0, np.uint64)
+    return (keys & ~np.uint64(RARE - 1)) | _GROUP[data[end]].astype(np.uint64), doc, data, start, end
+
+
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of all words, the last byte's group lowest, and the text of each."""
+    return _cut(texts)[:2]
+
+
+class Spelling:
+    """Log-probabilities of a word's bytes from its end to its start, given the last byte's group."""
+
+    def __init__(self, counts: np.ndarray):
+        steps, last = counts[:_CODES].reshape(SPELLED), counts[_CODES:]
+        known = np.r_[~_SPACE, True]
+        one = steps.sum(axis=0) + PRIOR * known / known.sum()
+        two = steps + PRIOR * (one / one.sum(axis=1, keepdims=True))
+        with np.errstate(divide="ignore"):
+            self.steps = np.log(two / two.sum(axis=2, keepdims=True)).astype(np.float32).reshape(-1)
+            seen = (last + 1.0) * ~_SPACE
+            self.last = np.log(seen / np.bincount(_GROUP, seen, minlength=RARE)[_GROUP])
+
+    @staticmethod
+    def codes(data: np.ndarray, start: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        at = gather(start, lens)
+        return _AFTER[data[at + 1]] + data[at] * np.int32(257) + _BEFORE[data[at - 1]]
+
+    @classmethod
+    def count(cls, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return np.r_[np.bincount(cls.codes(data, start, end - start + 1), minlength=_CODES), np.bincount(data[end], minlength=256)]
+
+    def log_probs(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if not len(start):
+            return np.zeros(0)
+        lens = end - start + 1
+        return np.add.reduceat(self.steps[self.codes(data, start, lens)], np.cumsum(lens) - lens, dtype=np.float64) + self.last[data[end]]
 
 
 class Vocabulary:
@@ -70,19 +121,21 @@ class Vocabulary:
         return np.where(self.keys[at] == keys, self.ids[at], rare)
 
 
-def contexts(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The words around each position, the text's ends padded."""
+def contexts(ids: np.ndarray, doc: np.ndarray, chosen: np.ndarray | None = None) -> np.ndarray:
+    """The words around each position, or each chosen one, the text's ends padded."""
     n = int(doc[-1]) + 1 if len(doc) else 0
     padded = np.full(len(ids) + (n + 1) * SIDE, PAD, dtype=np.int64)
     at = np.arange(len(ids)) + (doc + 1) * SIDE
     padded[at] = ids
+    at = at if chosen is None else at[chosen]
     return np.stack([padded[at + j] for j in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
 class Network:
     SHAPES = {"embed": (PAD + 1, WIDTH), "mix": (2 * SIDE * WIDTH, WIDTH), "bias": (WIDTH,), "kinds": (CLASSES, WIDTH), "kinds_bias": (CLASSES,), "words": (CLASSES, PER_CLASS, WIDTH), "words_bias": (CLASSES, PER_CLASS)}
 
-    def __init__(self, flat: np.ndarray | None = None):
+    def __init__(self, flat: np.ndarray | None = None, spelling: Spelling | None = None):
+        self.spelling = spelling
         if flat is None:
             rng = np.random.default_rng(11)
             flat = np.concatenate([(rng.standard_normal(int(np.prod(s))) * (0 if "bias" in k else 0.1)) for k, s in self.SHAPES.items()])
@@ -97,6 +150,13 @@ class Network:
         x = x - x.max(axis=1, keepdims=True)
         return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
+    @staticmethod
+    def _log_of(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """One column of the log-softmax of each row; ``x`` is overwritten."""
+        x -= x.max(axis=1, keepdims=True)
+        own = x[np.arange(len(x)), column]
+        return own - np.log(np.exp(x, out=x).sum(axis=1))
+
     def hidden(self, around: np.ndarray):
         x = self.embed[around].reshape(len(around), -1)
         return x, np.tanh(x @ self.mix + self.bias)
@@ -104,13 +164,13 @@ class Network:
     def log_probs(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         _, h = self.hidden(around)
         kind, word = target % CLASSES, target // CLASSES
-        out = self._log_softmax(h @ self.kinds.T + self.kinds_bias)[np.arange(len(target)), kind].astype(np.float64)
+        out = self._log_of(h @ self.kinds.T + self.kinds_bias, kind).astype(np.float64)
         order = np.argsort(kind, kind="stable")
         cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             own = order[cut[c] : cut[c + 1]]
             if len(own):
-                out[own] += self._log_softmax(h[own] @ self.words[c].T + self.words_bias[c])[np.arange(len(own)), word[own]]
+                out[own] += self._log_of(h[own] @ self.words[c].T + self.words_bias[c], word[own])
         return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, seen: dict) -> None:
@@ -179,22 +239,28 @@ def vocabulary(docs: DataFrame, text: str) -> Vocabulary:
 
 def train(docs: DataFrame, text: str, words: Vocabulary, rounds: int = ROUNDS) -> Network:
     spark = docs.sparkSession
-    network = Network()
+    network, spelling = Network(), None
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((network.flat, words))
 
         def run(batches, sent=sent, turn=turn):
             flat, own_words = sent.value
-            own, seen, total = Network(flat), {}, 0
+            own, seen, total, spelled = Network(flat), {}, 0, 0
             for _, _, _, texts in _chunked(batches, 0):
-                keys, doc = word_keys(texts)
+                keys, doc, data, start, end = _cut(texts)
                 ids = own_words.ids_of(keys)
+                if turn == 0:
+                    rare = ids >= WORDS
+                    spelled = spelled + Spelling.count(data, start[rare], end[rare])
                 at = np.flatnonzero(_masked(keys, doc, turn))
-                around = contexts(ids, doc)
                 at = at[np.argsort((keys[at] ^ at.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")]
+                around = contexts(ids, doc, at)
                 for a in range(0, len(at), BATCH):
-                    own.learn(around[at[a : a + BATCH]], ids[at[a : a + BATCH]], seen)
+                    own.learn(around[a : a + BATCH], ids[at[a : a + BATCH]], seen)
                 total += len(at)
+            found = np.flatnonzero(spelled) if turn == 0 and np.ndim(spelled) else []
+            if len(found):  # counts of the byte model: below zero, without parameters
+                yield pa.RecordBatch.from_pydict({"block": pa.array(-1 - found, pa.int64()), "positions": pa.array(spelled[found], pa.float64()), "own": pa.array([[]] * len(found), pa.list_(pa.float32()))})
             if total:
                 for a in range(0, len(own.flat), BLOCK):
                     yield pa.RecordBatch.from_pydict({"block": pa.array([a], pa.int64()), "positions": pa.array([float(total)]), "own": pa.array([own.flat[a : a + BLOCK]], pa.list_(pa.float32()))})
@@ -202,28 +268,37 @@ def train(docs: DataFrame, text: str, words: Vocabulary, rounds: int = ROUNDS) -
         trained = materialise(docs.select(F.col(text)).mapInArrow(run, "block long, positions double, own array<float>"), "trained")
         parts = trained.select("block", "positions", F.posexplode("own").alias("at", "value"))
         mean = parts.groupBy((F.col("block") + F.col("at")).alias("at")).agg((F.sum(F.col("value") * F.col("positions")) / F.sum("positions")).cast("float").alias("value"))
+        if turn == 0:
+            counted = trained.where("block < 0").groupBy("block").agg(F.sum("positions").alias("n")).toArrow()  # one value for each step met
+            counts = np.zeros(_CODES + 256)
+            counts[-1 - counted["block"].to_numpy()] = counted["n"].to_numpy()
+            spelling = Spelling(counts)
         found = mean.toArrow()  # one value for each parameter
         if found.num_rows:
             flat = network.flat.copy()
             flat[found["at"].to_numpy()] = found["value"].to_numpy()
             network = Network(flat)
+    network.spelling = spelling
     return network
 
 
 def score(docs: DataFrame, words: Vocabulary, network: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: key, n_tokens, log_prob (summed) and mean_log_prob (null without words)."""
-    sent = docs.sparkSession.sparkContext.broadcast((network.flat, words))
+    """Per document: key, n_tokens, log_prob (summed) and mean_log_prob (null without words). A network without a byte model scores ids."""
+    sent = docs.sparkSession.sparkContext.broadcast((network.flat, words, network.spelling))
 
     def run(batches):
-        flat, own_words = sent.value
-        own = Network(flat)
+        flat, own_words, spelling = sent.value
+        own = Network(flat, spelling)
         for batch, a, b, texts in _chunked(batches, 1):
-            keys, doc = word_keys(texts)
+            keys, doc, data, start, end = _cut(texts)
             ids = own_words.ids_of(keys)
             around = contexts(ids, doc)
             logs = np.zeros(len(ids))
             for i in range(0, len(ids), 4 * BATCH):
                 logs[i : i + 4 * BATCH] = own.log_probs(around[i : i + 4 * BATCH], ids[i : i + 4 * BATCH])
+            if own.spelling:
+                rare = ids >= WORDS
+                logs[rare] += own.spelling.log_probs(data, start[rare], end[rare])
             n = np.bincount(doc, minlength=b - a)
             yield pa.RecordBatch.from_pydict({"key": batch.column(0).slice(a, b - a), "n_tokens": pa.array(n, pa.int64()), "log_prob": pa.array(np.bincount(doc, logs, minlength=b - a), pa.float64())})
 

@@ -124,6 +124,22 @@ def test_training_prefers_the_order_it_saw(spark):
     assert pseudo_likelihood.lm_scores(docs.limit(0)).count() == 0
 
 
+def test_each_word_has_its_own_probability(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join("".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(30))) for i in range(60)], "doc_id long, text string")
+    words = pseudo_likelihood.Vocabulary([])
+    net = pseudo_likelihood.train(docs, "text", words, 1)
+    every = [*letters, *(a + b for a in letters for b in letters), *(a + b + c for a in "abc" for b in "abc" for c in "abc")]
+    one = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    got = {every[x["doc_id"]]: x["log_prob"] for x in pseudo_likelihood.score(one, words, net).collect()}
+    assert sum(np.exp(x) for x in got.values()) < 1
+    assert got["ba"] > got["qa"] + 1 and got["cab"] > got["zb"] and len({round(got[x + "a"], 6) for x in "abcq"}) == 4
+    steps = np.exp(net.spelling.steps.astype(float)).reshape(pseudo_likelihood.SPELLED).sum(axis=2)
+    groups = np.bincount(pseudo_likelihood._GROUP, np.exp(net.spelling.last), minlength=64)
+    assert np.allclose(steps, 1, atol=1e-4) and np.allclose(groups, 1)
+
+
 def test_hilbert_steps_are_adjacent():
     grid = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     h = sharding.hilbert_index(grid, 3)
