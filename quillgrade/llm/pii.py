@@ -11,8 +11,10 @@ equal pseudonyms in every document and no two values of a format share one:
 - email: letters and digits of the local part within their kind; the domain stays
 - secret: 32 or more hexadecimal digits
 
-A text is cut once by one pattern into gaps and candidates; candidates that fail
-validation stay as they are. A null text stays null, an empty one empty. Every row
+Cards are validated before the cut: at each start of a digit run, every length from 19
+to 13 digits is tried. A text is then cut by one pattern, with its own valid cards in
+it, into gaps and candidates, so numbers that are no card hide no values beside or
+inside them; candidates that fail validation stay as they are. A null text stays null, an empty one empty. Every row
 is rewritten by itself: nothing is shuffled, and repeated rows stay repeated.
 """
 
@@ -34,7 +36,9 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "card": r"(?<![0-9A-Za-z]|[0-9]-)[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Candidates of each card length, overlapping ones too, longest first.
+CARD_TRIES = [rf"(?<![0-9A-Za-z])(?=([0-9](?:[ -]?[0-9]){{{n - 1}}})(?![0-9A-Za-z]))" for n in range(19, 12, -1)]
+FIRST, REST = ("|".join(f"(?:{PATTERNS[k]})" for k in kinds) for kinds in (("email", "secret"), ("date", "ip", "social", "phone")))
 DAY_ONE = "1800-01-01"
 
 
@@ -200,16 +204,24 @@ def pseudonym(value: Column, key: str) -> Column:
     return out
 
 
+def _cut(text: Column) -> Column:
+    """The pattern of one text's candidates: all kinds, with cards by their valid values."""
+    tried = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 1) for p in CARD_TRIES]))
+    valid = F.array_distinct(F.filter(tried, lambda c: luhn_sum(digits_of(c)) % 10 == 0))
+    some = F.when(text.rlike("[0-9](?:[ -]?[0-9]){12}"), let(valid, lambda v: F.when(F.size(v) > 0, F.array_join(v, "|"))))
+    return F.coalesce(F.concat(F.lit(rf"{FIRST}|(?<![0-9A-Za-z])(?:"), some, F.lit(rf")(?![0-9A-Za-z])|{REST}")), F.lit(f"{FIRST}|{REST}"))
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: str | None = None) -> DataFrame:
     """Rewrites ``text``; ``counts`` names a column for the number of values replaced, by kind."""
-    column, own, new = F.col(text), fresh(docs, "found"), fresh(docs, "rebuilt")
-    gaps = F.split(column, ANY, -1)
-    found = F.transform(F.regexp_extract_all(column, F.lit(ANY), 0), lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
-    some = docs.withColumn(own, F.when(column.rlike("[0-9@]"), found))
+    column, own, new, cut = F.col(text), fresh(docs, "found"), fresh(docs, "rebuilt"), fresh(docs, "cut")
+    gaps = F.split(column, F.col(cut), -1)
+    found = F.transform(F.regexp_extract_all(column, F.col(cut), 0), lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
+    some = docs.withColumn(cut, _cut(column)).withColumn(own, F.when(column.rlike("[0-9@]"), found))
     told = F.transform(own, lambda p: F.coalesce(p["new"]["value"], p["old"]))
     rebuilt = F.array_join(F.zip_with(gaps, F.concat(told, F.array(F.lit(""))), lambda g, m: F.concat(g, m)), "")
     out = some.withColumn(new, F.when(F.size(own) > 0, rebuilt).otherwise(column))
     if counts:
         kinds = F.filter(F.transform(own, lambda p: F.when(p["new"]["value"].isNotNull(), p["new"]["kind"])), lambda k: k.isNotNull())
         out = out.withColumn(counts, F.coalesce(kinds, F.array().cast("array<string>")))
-    return out.withColumn(text, F.col(new)).drop(own, new)
+    return out.withColumn(text, F.col(new)).drop(own, new, cut)

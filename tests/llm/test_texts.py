@@ -230,6 +230,17 @@ def test_pseudonyms_keep_their_format(spark):
     assert sum(v == n for (k, n), v in seen.items()) <= 2
 
 
+def test_values_beside_numbers_are_found(spark):
+    beside = {
+        "4111 1111 1111 1111 123": "4111 1111 1111 1111", "4111111111111111 12/25": "4111111111111111", "12345 4111 1111 1111 1111": "4111 1111 1111 1111", "99-4111-1111-1111-1111": "4111-1111-1111-1111",
+        "2019 123-45-6789": "123-45-6789", "10023 555-123-4567": "555-123-4567", "7 4111111111111111 5 123-45-6789 8": "123-45-6789", "4111111111111112 4111111111111111": " 4111111111111111", "1 " * 6000 + "123-45-6789": "123-45-6789",
+    }
+    df = spark.createDataFrame(list(enumerate(beside)), "doc_id long, text string")
+    got = [r["text"] for r in pii.pseudonymise(df, "key").orderBy("doc_id").collect()]
+    assert all(len(g) == len(t) and v not in g for g, (t, v) in zip(got, beside.items())), got
+    assert got[1].endswith(" 12/25") and got[4].startswith("2019 ") and got[5].startswith("10023 ")
+
+
 def test_pseudonyms_leave_others_alone(spark):
     plain = [None, "", "Version 2.0, CC BY-NC 4.0", "4111111111111112", "999.1.1.1", "1.2.3.4.5", "2021-02-30", "000-12-1234", "a@b", "x" * 5000, "1" * 25, "123e4567"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(plain)], "doc_id long, text string")
