@@ -154,22 +154,22 @@ FROM {d.table('orders')}"""
 
 
 def _words(d) -> str:
-    """Words on pages, as boxes: documents stand for parts, pages for sizes."""
+    """Words on pages, as boxes: documents stand for ten orders each, pages for line numbers."""
     return f"""
-SELECT l_orderkey % 400 AS doc_id, CAST(l_linenumber % 3 AS INT) AS page,
+SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS doc_id, CAST(l_linenumber % 3 AS INT) AS page,
   CAST((l_partkey * 37) % 540 AS DOUBLE) AS x0, CAST((l_suppkey * 53 + l_partkey) % 780 AS DOUBLE) AS y0,
   CAST((l_partkey * 37) % 540 + 12 + l_partkey % 30 AS DOUBLE) AS x1, CAST((l_suppkey * 53 + l_partkey) % 780 + 11 AS DOUBLE) AS y1,
   CASE WHEN l_partkey % 5 = 0 THEN concat(CAST(1 + l_partkey % 12 AS STRING), '.') WHEN l_partkey % 5 = 1 THEN concat(substr('ABCD', CAST(1 + l_partkey % 4 AS INT), 1), ')') ELSE concat('w', CAST(l_partkey % 90 AS STRING)) END AS text
-FROM {d.table('lineitem')} WHERE l_orderkey < 4000"""
+FROM {d.table('lineitem')}"""
 
 
 def _rects(d) -> str:
     return f"""
-SELECT l_orderkey % 400 AS doc_id, CAST(l_linenumber % 3 AS INT) AS page, l_orderkey * 1000000 + l_partkey * 100 + l_suppkey % 100 AS rect_id,
+SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS doc_id, CAST(l_linenumber % 3 AS INT) AS page, l_orderkey * 1000000 + l_partkey * 100 + l_suppkey % 100 AS rect_id,
   CAST((l_suppkey * 41) % 400 AS DOUBLE) AS x0, CAST((l_partkey * 29) % 700 AS DOUBLE) AS y0,
   CAST((l_suppkey * 41) % 400 + 30 + l_partkey % 170 AS DOUBLE) AS x1, CAST((l_partkey * 29) % 700 + 20 + l_suppkey % 120 AS DOUBLE) AS y1,
   CASE WHEN l_returnflag = 'A' THEN 'bitmap' ELSE 'stroke' END AS kind
-FROM {d.table('lineitem')} WHERE l_orderkey < 4000 AND l_partkey % 4 = 0"""
+FROM {d.table('lineitem')}"""
 
 
 VIEWS = {"users": _users, "projects": _projects, "questions": _questions, "variants": _variants, "usage": _usage, "answer_key": _key, "answers": _answers, "page_items": _pages, "runs": _runs, "words": _words, "rects": _rects}

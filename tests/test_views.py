@@ -26,3 +26,9 @@ def test_every_order_is_a_sheet(spark, far):
     assert n > 0 and keyed(spark, far).count() == n
     assert view(spark, far, "answer_key").select("sheet_id").distinct().count() == orders
     assert view(spark, far, "answers").count() > n * 3 // 4
+
+
+def test_every_line_is_a_word_and_a_rect(spark, far):
+    n = table(spark, far, "lineitem").count()
+    assert view(spark, far, "words").count() == view(spark, far, "rects").count() == n
+    assert view(spark, far, "words").groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 10 * 7 * 2
