@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, fresh, gather, per_group, small_batches, utf8
+from quillgrade.llm.common import chunks, fresh, gather, per_group, utf8
 from quillgrade.llm.flatwords import FlatEncoder
 
 #: Fixed value: the public pre-token pattern of byte-level BPE vocabularies.
@@ -181,7 +181,6 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     ``docs`` may have any other columns; they aren't read. Returns ``key``,
     ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, on demand, ``ids``.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches):
         bpe = load(path)
@@ -208,7 +207,6 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
 def encode_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All columns of ``docs``, with ``text`` decoded from the ids, and the columns ``n_tokens`` and ``ids``."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
     names = [f"c{i}" for i in range(len(docs.columns))] + ["n_tokens", "ids"]
 

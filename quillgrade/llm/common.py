@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none (tests)."""
+    """The folder that driver and executors share, by ``spark.checkpoint.dir``; a temporary one where all run in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _LOCAL_SHARED:
         _LOCAL_SHARED["dir"] = "file://" + tempfile.mkdtemp(prefix="quillgrade-")
     return _LOCAL_SHARED["dir"]
@@ -38,18 +40,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files behind a materialised table that nothing reads any more."""
-    spark = df.sparkSession
+def _folders(df: DataFrame):
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/quillgrade/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        yield folder, path, path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+
 
+def folder_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a materialised table is read from."""
+    return sum(fs.getContentSummary(path).getLength() for _, path, fs in _folders(df))
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows that an Arrow batch hands to Python: texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files behind a materialised table that nothing reads any more."""
+    for folder, path, fs in _folders(df):
+        if "/quillgrade/" in folder:
+            fs.delete(path, True)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

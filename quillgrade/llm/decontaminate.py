@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, fresh, gather, materialise, small_batches, utf8
+from quillgrade.llm.common import chunks, fresh, gather, materialise, utf8
 
 #: Bytes that aren't part of words become spaces, A-Z become a-z.
 WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -141,7 +141,6 @@ class TestSet:
 
 def build_index(docs: DataFrame, tests, key: str = "doc_id", text: str = "text", slop: int = 0) -> DataFrame:
     """The shards: documents (key, text hash, number of words) and postings. ``tests`` is a broadcast TestSet."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         found: TestSet = tests.value
@@ -182,7 +181,6 @@ def build_index(docs: DataFrame, tests, key: str = "doc_id", text: str = "text",
 
 def search_index(index: DataFrame, tests, slop: int = 0) -> DataFrame:
     """A row each document: words, the disjoint spans [first, last] of matches, and the matching items sorted."""
-    small_batches(index.sparkSession, 4)
 
     def run(batches):
         found: TestSet = tests.value

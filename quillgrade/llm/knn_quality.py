@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, fresh, small_batches, utf8
+from quillgrade.llm.common import chunks, fresh, utf8
 from quillgrade.llm.flatwords import unit_keys
 
 WORD_TERMS = 2048
@@ -147,7 +147,6 @@ def held_out(key) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELLED) -> Model | None:
     """Trains on at most ``most`` labelled rows that aren't held out; None where there are none."""
-    small_batches(docs.sparkSession)
     chosen = labels.where(~held_out(key) & F.col(label).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("float").alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("__key"), "__label").limit(most)
     rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__k") == F.col("__key")).select("__label", "__text", "__key")
@@ -172,7 +171,6 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", into: str =
     spark = docs.sparkSession
     if model is None:
         return docs.withColumn(into, F.lit(0.5))
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text)
     names = [f"c{i}" for i in range(len(docs.columns))] + ["score"]

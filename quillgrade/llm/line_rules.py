@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, small_batches, utf8
+from quillgrade.llm.common import chunks, utf8
 from quillgrade.llm.flatwords import unit_keys
 from quillgrade.llm.knn_quality import held_out
 
@@ -229,7 +229,6 @@ class LineField:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELLED) -> LineField:
-    small_batches(docs.sparkSession)
     chosen = labels.where(~held_out(key) & F.col(label).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("__key"), "__label").limit(most)
     rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__k") == F.col("__key")).select("__label", "__text", F.col("__key").cast("string").alias("__key"))
@@ -253,7 +252,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def judge(docs: DataFrame, field: LineField, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts and verdict of each text, with the share of its word characters in content lines."""
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(field)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 

@@ -9,21 +9,22 @@ wanted probability.
 
 1. In every tree's first level, each group is compared with its first member. What
    is confirmed on the full sets is joined into components.
-2. Only pairs of different components are left to find. A group with few members
-   outside its largest component compares these with all its members, in blocks;
-   any other group branches again, down to ``depth`` levels, where what is left is
-   compared as well. Each member hands on its likeliest partners first; what they
-   confirm joins components, and the next turn compares what is still apart.
-   Groups with members that still have more go through a last turn with their full
-   sets at hand, which hands on confirmed links alone. So no link between components is lost to a cap, and a
-   group of copies never gives all its pairs.
+2. Only links between different components are left to find. A group with few
+   members outside its largest component compares these with all its members, by
+   their sketches and in blocks of bounded size; any other group branches again, down
+   to ``DEPTH`` levels, where what is left is compared as well. Members that may be
+   linked with another component go on, each once a group, to a comparison of full
+   sets in blocks, which gives out links between components that it has not joined
+   yet: a forest, never more links than members. A pair that meets in
+   several groups is compared in the first tree whose group is compared whole.
 
 Candidates pass a 256-bit sketch of the minwise tokens, with a margin of five
 standard deviations, and a bound on set sizes; then the full sets decide, as 64-bit
 keys of shingles.
 
 A null or empty text has no set and links with nothing. Repeated rows are equal
-sets; a null key takes part in links and is never a component's name. Columns
+sets; a null key takes part in links and is never a component's name. Keys are
+whole numbers (others raise an error in ANSI mode). Empty tables give no rows. Columns
 besides key and text aren't read.
 """
 
@@ -34,10 +35,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, discard, fresh, gather, materialise, small_batches, utf8
+from quillgrade.llm.common import chunks, discard, folder_bytes, fresh, gather, materialise, utf8
 from quillgrade.llm.flatwords import unit_keys
 
 TOKENS = 64
@@ -45,9 +46,9 @@ TREES = 12
 SMALL = 1024
 BLOCK = 4096
 DEPTH = 10
-TURNS = (4, 48)
 BLOCK_SHINGLES = 1_000_000
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 8_000_000
 CHUNK_BYTES = 2_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -123,13 +124,14 @@ def _features(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                         tokens[i] = t
                 made = {
                     "key": batch.column(0).slice(a, b - a),
+                    "text_hash": batch.column(2).slice(a, b - a),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "set_hash": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     "tokens": pa.array(tokens, pa.list_(pa.int32())),
                 } | {f"s{i}": pa.array(marks[:, i], pa.int64()) for i in range(4)}
                 yield pa.RecordBatch.from_pydict(made)
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "key long, n long, set_hash binary, tokens array<int>, s0 long, s1 long, s2 long, s3 long")
+    return docs.select(F.col(key).cast("long"), F.col(text), F.xxhash64(text)).mapInArrow(run, "key long, text_hash long, n long, set_hash binary, tokens array<int>, s0 long, s1 long, s2 long, s3 long")
 
 
 def _sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -150,8 +152,8 @@ def _sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def _sent(rows: DataFrame) -> DataFrame:
-    """Broadcast where a count shows that the written table is small; joined by shuffle beyond."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    """Broadcast where the size and the rows of the written table show that it is small; joined by shuffle beyond."""
+    return F.broadcast(rows) if folder_bytes(rows) <= BROADCAST_BYTES and rows.count() <= BROADCAST_ROWS else rows
 
 
 SKETCH = ["s0", "s1", "s2", "s3"]
@@ -189,40 +191,39 @@ def _may_link(x: dict, every: dict, percent: int) -> np.ndarray:
     return same
 
 
-def _partners(few: dict, every: dict, percent: int, most: int):
-    """Pairs of a member of ``few`` and one of ``every`` with another label that may be linked, the likeliest ``most`` of each; and whether more were left."""
-    pairs, cut = [], False
-    for i in range(0, len(few["uid"]), 64):
-        same = _may_link({k: v[i : i + 64] for k, v in few.items()}, every, percent)
-        row, col = np.nonzero(same >= _least(percent))
-        order = np.lexsort((every["uid"][col], -same[row, col], row))
-        row, col = row[order], col[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        cut |= bool((place >= most).any())
-        row, col = row[place < most], col[place < most]
-        a, b = few["uid"][i + row], every["uid"][col]
-        pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-    return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), cut
+def _pairs(x: dict, every: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` and ``every`` of another label that may be linked, but for pairs that the group of an earlier tree compares."""
+    row, col = np.nonzero(_may_link(x, every, percent) >= _least(percent))
+    first = np.ones(len(row), dtype=bool)
+    for t in range(x["tokens"].shape[1]):
+        elsewhere = (x["tree"][row] > t) & ((x["whole"][row] >> t) & 1 == 1)
+        first &= ~(elsewhere & (x["tokens"][row, t] == every["tokens"][col, t]))
+    return row[first], col[first]
 
 
 def _links(few: dict, every: dict, percent: int) -> np.ndarray:
-    """Confirmed links of members of ``few``, one to each other label; pairs that an earlier tree holds together are left to it."""
+    """Confirmed links of members of ``few`` that join labels not yet joined by the ones before: a forest."""
     sizes = np.array([len(s) for s in every["shingles"]])
-    flat, owner = np.concatenate(every["shingles"]), np.repeat(np.arange(len(sizes)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+    flat, at = np.concatenate(every["shingles"]).view(np.uint64), np.cumsum(sizes) - sizes  # sets are sorted as unsigned
+    names, own = np.unique(np.r_[every["label"], few["label"]], return_inverse=True)
+    root, own, own_few = np.arange(len(names)), own[: len(sizes)], own[len(sizes) :]
     out = []
     for i in range(0, len(few["uid"]), 64):
-        x = {k: v[i : i + 64] for k, v in few.items()}
-        may = _may_link(x, every, percent) >= _least(percent)
-        for t in range(int(x["tree"][0])):
-            may &= x["tokens"][:, None, t] != every["tokens"][:, t]
-        for j in np.flatnonzero(may.any(axis=1)).tolist():
-            lo, hi = np.searchsorted(flat, x["shingles"][j], "left"), np.searchsorted(flat, x["shingles"][j], "right")
-            common = np.bincount(owner[gather(lo, hi - lo)], minlength=len(sizes))
-            hit = np.flatnonzero(may[j] & (100 * common >= percent * (len(x["shingles"][j]) + sizes - common)))
-            _, first = np.unique(every["label"][hit], return_index=True)
-            out += [(int(x["uid"][j]), int(every["uid"][h])) for h in hit[first]]
+        row, col = _pairs({k: v[i : i + 64] for k, v in few.items()}, every, percent)
+        edges = np.searchsorted(row, np.arange(65))
+        for j in np.unique(row).tolist():
+            may = col[edges[j] : edges[j + 1]]
+            may = may[root[own[may]] != root[own_few[i + j]]]
+            if not len(may):
+                continue
+            x = few["shingles"][i + j].view(np.uint64)
+            y = flat[gather(at[may], sizes[may])]
+            same = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+            common = np.add.reduceat(same, np.cumsum(sizes[may]) - sizes[may], dtype=np.int64)
+            hit = may[100 * common >= percent * (len(x) + sizes[may] - common)]
+            joined, first = np.unique(root[own[hit]], return_index=True)
+            out += [(int(few["uid"][i + j]), int(every["uid"][h])) for h in hit[first]]
+            root[np.isin(root, joined)] = root[own_few[i + j]]
     return np.array(out, dtype=np.int64).reshape(-1, 2)
 
 
@@ -236,7 +237,12 @@ def _by_block(rows: DataFrame, plain: list[str], nested: list[str], schema: str,
 
         def done(group):
             f = group["few"] == 1
-            return work(group["path"][0], {k: group[k][f] for k in names[3:]}, {k: group[k][~f] for k in names[3:]}) if f.any() and not f.all() else None
+            if not f.any() or f.all():
+                return None
+            few, every = ({k: group[k][m] for k in names[3:]} for m in (f, ~f))
+            for side in (few, every):
+                side["tokens"] = np.stack(side["tokens"])
+            return work(group["path"][0], few, every)
 
         for batch in batches:
             now = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
@@ -266,41 +272,53 @@ def _blocks(own: DataFrame, blocks, few_blocks) -> DataFrame:
     return both.withColumn("block", F.xxhash64("__e", "__f"))
 
 
-def _crossing(own: DataFrame, percent: int, most: int) -> DataFrame:
-    """Candidate pairs between components inside groups, and the groups where members had more than ``most``."""
+MEMBER = ["uid", "label", "n", *SKETCH, "tree", "whole"]
 
-    def work(path, few, every):
-        pairs, cut = _partners(few, every, percent, most)
-        if len(pairs):
-            return pa.RecordBatch.from_pydict({"path": pa.array(np.full(len(pairs), path)), "a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "cut": pa.array(np.full(len(pairs), cut))})
-        return None
 
-    rows = _blocks(own, F.ceil(F.col("c") / BLOCK).cast("int"), F.lit(1))
-    return _by_block(rows, ["uid", "label", "n", *SKETCH], [], "path long, a long, b long, cut boolean", work)
+def _crossing(own: DataFrame, percent: int) -> DataFrame:
+    """The members of groups that may be linked with a member of another component, each once a group."""
+
+    def work(path, few, every):
+        rows, cols = [], []
+        for i in range(0, len(few["uid"]), 64):
+            row, col = _pairs({k: v[i : i + 64] for k, v in few.items()}, every, percent)
+            rows.append(np.unique(row) + i)
+            cols.append(np.unique(col))
+        held = {}
+        for side, found in ((few, np.concatenate(rows)), (every, np.unique(np.concatenate(cols)))):
+            for i in found.tolist():
+                held.setdefault(int(side["uid"][i]), (side, i))
+        if not held:
+            return None
+        made = {k: pa.array([side[k][i] for side, i in held.values()]) for k in MEMBER}
+        tokens = np.stack([side["tokens"][i] for side, i in held.values()])
+        return pa.RecordBatch.from_pydict({"path": pa.array(np.full(len(held), path)), "main": pa.array([side["main"][i] for side, i in held.values()])} | made | {"tokens": pa.array(list(tokens), pa.list_(pa.int32()))})
+
+    rows = _blocks(own, F.ceil(F.col("c") / BLOCK).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("few") / BLOCK)).cast("int"))
+    schema = "path long, main long, uid long, label long, n long, s0 long, s1 long, s2 long, s3 long, tree int, whole long, tokens array<int>"
+    return _by_block(rows, ["main", *MEMBER], ["tokens"], schema, work).dropDuplicates(["path", "uid"])
 
 
 def _full(own: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Confirmed links between the components of whole groups."""
-    uids = materialise(own.select("uid").distinct(), "uids")
-    tokens = materialise(nodes.select("uid", F.slice("tokens", 1, TREES).alias("tokens")).join(_sent(uids), "uid", "left_semi"), "tokens")
-    sets = _sets_of(uids, nodes, docs, key, text, width).join(_sent(tokens), "uid")
-    rows = own.join(_sent(materialise(own.groupBy("path").agg(F.sum("n").alias("volume"), F.sum(F.when(F.col("label") != F.col("main"), F.col("n")).otherwise(0)).alias("few_volume")), "volumes")), "path")
+    """Confirmed links between the components of groups, on full sets: a forest of each block."""
+    sets = _sets_of(materialise(own.select("uid").distinct(), "uids"), nodes, docs, key, text, width)
+    volumes = own.groupBy("path").agg(F.sum("n").alias("volume"), F.sum(F.when(F.col("label") != F.col("main"), F.col("n")).otherwise(0)).alias("few_volume"))
+    rows = own.join(_sent(materialise(volumes, "volumes")), "path")
     rows = _blocks(rows, F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("few_volume") / BLOCK_SHINGLES)).cast("int"))
     rows = rows.join(sets, "uid")
 
     def work(path, few, every):
-        for side in (few, every):
-            side["tokens"] = np.stack(side["tokens"])
         found = _links(few, every, percent)
         return pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])}) if len(found) else None
 
-    return _by_block(rows, ["uid", "label", "n", *SKETCH, "tree"], ["shingles", "tokens"], "a long, b long", work)
+    return _by_block(rows, MEMBER, ["shingles", "tokens"], "a long, b long", work)
 
 
 def _sets_of(uids: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(uid, shingles) of the wanted nodes, from one document of each."""
-    wanted = materialise(nodes.select("uid", "set_hash", "rep").join(_sent(uids), "uid"), "wanted").withColumnsRenamed({"set_hash": "w_hash"})
-    sets = _sets(docs, key, text, width).join(_sent(wanted), (F.col("set_hash") == F.col("w_hash")) & F.col("key").eqNullSafe(F.col("rep")))
+    """(uid, shingles) of the wanted nodes, from one document of each; only documents with their keys are cut into shingles."""
+    wanted = materialise(nodes.select("uid", "set_hash", F.col("rep").alias("w_key")).join(_sent(uids), "uid"), "wanted").withColumnsRenamed({"set_hash": "w_hash"})
+    read = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(_sent(wanted.select("w_key")), F.col("key").eqNullSafe(F.col("w_key")), "left_semi")
+    sets = _sets(read, "key", "text", width).join(_sent(wanted), (F.col("set_hash") == F.col("w_hash")) & F.col("key").eqNullSafe(F.col("w_key")))
     return materialise(sets.select("uid", "shingles"), "sets").dropDuplicates(["uid"])
 
 
@@ -335,45 +353,54 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _between(level: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of different components, from the first level of groups down, and the members of the groups compared."""
-    found = compared = None
+def _between(level: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, trees: int) -> DataFrame:
+    """Members of groups that may be linked with another component, from the first level of groups down."""
+    found = None
     known = _sent(labels)
+    held = ["path", "uid", "n", *SKETCH, "tokens", "whole"]
     for depth in range(1, DEPTH + 1):
         own = level.join(known, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
         parts = own.groupBy("path", "label").agg(F.count("*").alias("k"))
         groups = parts.groupBy("path").agg(F.sum("k").alias("c"), F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        groups = groups.select("path", "c", F.col("most.label").alias("main"), ((F.col("c") - F.col("most.k") <= SMALL) | F.lit(depth == DEPTH)).alias("small"))
-        groups = materialise(groups, "groups")
+        groups = groups.select("path", "c", F.col("most.label").alias("main"), (F.col("c") - F.col("most.k")).alias("few"))
+        groups = materialise(groups.withColumn("small", (F.col("few") <= SMALL) | F.lit(depth == DEPTH)), "groups")
         own = own.join(_sent(groups), "path")
-        pairs = materialise(_crossing(own.where("small"), percent, most), "crossing")
-        found = pairs if found is None else found.union(pairs)
-        part = own.where("small").join(_sent(materialise(pairs.where("cut").select("path").distinct(), "cut")), "path", "left_semi")
-        compared = part if compared is None else compared.unionByName(part)
-        if depth == DEPTH or not groups.where("NOT small").count():
+        branching = depth < DEPTH and groups.where("NOT small").count() > 0
+        if depth == 1:  # bit t: the group of tree t is compared whole
+            whole = F.sum(F.when(F.col("small"), F.expr("shiftleft(1L, tree)")).otherwise(0)).over(Window.partitionBy("uid"))
+            own = own.withColumn("whole", whole if branching else F.lit(2**trees - 1).cast("long"))
+        if branching:
+            own = materialise(own, "own")
+        members = materialise(_crossing(own.where("small"), percent), "crossing")
+        found = members if found is None else found.unionByName(members)
+        if not branching:
             break
-        large = materialise(own.where("NOT small").select("path", "uid", "n", *SKETCH), "large")
+        large = own.where("NOT small").select(*held)
         # each path chooses one token, and now and then a second one
         pick = lambda i: F.pmod(F.xxhash64("path", F.lit(i)), F.lit(TOKENS)).cast("int")
         also = F.pmod(F.xxhash64("path", F.lit(-1)), F.lit(1000)) < int(1000 * (100 / percent - 1))
         picks = F.when(also & (pick(0) != pick(1)), F.array(pick(0), pick(1))).otherwise(F.array(pick(0)))
-        deeper = nodes.select("uid", "tokens").join(_sent(large), "uid").select("path", "uid", "n", *SKETCH, "tokens", F.explode(picks).alias("at"))
-        deeper = deeper.withColumn("path", F.xxhash64("path", "at", F.element_at("tokens", F.col("at") + 1))).select("path", F.lit(0).alias("tree"), "uid", "n", *SKETCH)
+        deeper = nodes.select("uid", F.col("tokens").alias("all")).join(large, "uid").select(*held, "all", F.explode(picks).alias("at"))
+        deeper = deeper.withColumn("path", F.xxhash64("path", "at", F.element_at("all", F.col("at") + 1))).select(*held, F.lit(trees).alias("tree"))
         level = materialise(deeper, "deeper")
-    return found, compared
+    return found
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85, trees: int = TREES) -> DataFrame:
     """A row each document: key, n_shingles, component_id (least key reachable) and kept (the key is the component's)."""
-    spark = docs.sparkSession
-    small_batches(spark)
     features = materialise(_features(docs, key, text, width), "features")
+    named = _components_of(features, docs, key, text, width, percent, trees)
+    return named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def _components_of(features: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int, trees: int) -> DataFrame:
+    """The features' keys, text hashes and set sizes with the component of each."""
     nodes = features.where("n > 0").groupBy("set_hash").agg(F.min("key").alias("rep"), *[F.first(c).alias(c) for c in ("n", "tokens", *SKETCH)])
     nodes = materialise(nodes.withColumn("uid", F.monotonically_increasing_id()), "nodes")
 
     # first level: tree t branches by token t
-    roots = nodes.select("uid", "n", *SKETCH, F.posexplode(F.slice("tokens", 1, trees)).alias("tree", "token"))
-    members = roots.select(F.xxhash64("tree", "token").alias("path"), "tree", "uid", "n", *SKETCH)
+    roots = nodes.select("uid", "n", *SKETCH, F.slice("tokens", 1, trees).alias("tokens"), F.posexplode(F.slice("tokens", 1, trees)).alias("tree", "token"))
+    members = roots.select(F.xxhash64("tree", "token").alias("path"), "tree", "uid", "n", *SKETCH, "tokens")
     first = F.min(F.struct("uid", "n", *SKETCH)).alias("pivot")
     groups = members.groupBy("path").agg(F.count("*").alias("c"), first).where("c > 1")
     members = materialise(members.join(groups, "path"), "members")
@@ -383,28 +410,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     labels = components(edges)
 
     # groups that hold more than one component
-    start = members.select("path", "tree", "uid", "n", *SKETCH)
-    for turn, most in enumerate(TURNS):
-        found, compared = _between(start, nodes, labels, percent, most)
-        found = materialise(found, "cross")
-        if not found.count():
-            break
-        edges = materialise(edges.union(_confirm(found.select("a", "b"), nodes, docs, key, text, width, percent)), "edges")
-        if turn == len(TURNS) - 1 and found.where("cut").count():
-            edges = materialise(edges.union(_full(compared, nodes, docs, key, text, width, percent)), "edges")
-        labels = components(edges)
+    found = _between(members.select("path", "tree", "uid", "n", *SKETCH, "tokens"), nodes, labels, percent, trees)
+    found = materialise(_full(found, nodes, docs, key, text, width, percent), "cross-edges")
+    if found.count():
+        labels = components(edges.union(found))
 
     linked = materialise(nodes.select("uid", "rep").join(_sent(labels), "uid"), "linked")
     names = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
     linked = materialise(linked.join(names, "label").select("uid", "component_id"), "named")
     named = nodes.select("uid", "set_hash", "rep").join(_sent(linked), "uid", "left").select("set_hash", F.when(F.col("component_id").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
-    out = features.select("key", "n", "set_hash").join(named, "set_hash", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    out = features.select("key", "text_hash", "n", "set_hash").join(named, "set_hash", "left")
+    return out.select("key", "text_hash", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
+    """One document of each component, with its columns: the one with the least key.
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, with its columns; keys are taken to be unique."""
-    own = fresh(docs, "gone")
-    gone = near_duplicates(docs, key, text, width, percent).where("NOT kept").select(F.col(key).alias(own))
-    return docs.join(gone, docs[key].cast("long") == gone[own], "left_anti")
+    Rows that repeat key and text are one document and stay or go together; of rows
+    with one key and different texts each is judged by its text. Rows without key go
+    where their component has a key; without any key all rows of a component stay.
+    """
+    features = materialise(_features(docs, key, text, width), "features")
+    named = _components_of(features, docs, key, text, width, percent, trees)
+    names = fresh(docs, "gone"), fresh(docs, "gone_hash")
+    gone = named.where("NOT key <=> component_id").select(F.col("key").alias(names[0]), F.col("text_hash").alias(names[1])).distinct()
+    gone = _sent(materialise(gone, "gone"))
+    return docs.join(gone, docs[key].cast("long").eqNullSafe(gone[names[0]]) & (F.xxhash64(docs[text]) == gone[names[1]]), "left_anti")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, gather, materialise, small_batches, utf8
+from quillgrade.llm.common import chunks, gather, materialise, utf8
 from quillgrade.llm.flatwords import unit_keys
 
 WORDS = 4032
@@ -308,6 +308,5 @@ def score(docs: DataFrame, words: Vocabulary, network: Network, key: str = "doc_
 
 
 def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    small_batches(docs.sparkSession)
     words = vocabulary(docs, text)
     return score(docs, words, train(docs, text, words), key, text)

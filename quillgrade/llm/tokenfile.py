@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, materialise, scratch, small_batches, utf8
+from quillgrade.llm.common import chunks, materialise, scratch, utf8
 from quillgrade.llm.flatwords import FlatEncoder
 
 #: Fixed values of the public seekable-zstandard layout.
@@ -162,7 +162,6 @@ def open_reader(uri: str) -> Reader:
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the files under ``out``; returns the manifest: place, file, documents and ids of each."""
     spark = docs.sparkSession
-    small_batches(spark)
     tie = F.xxhash64(text)
     ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), tie.alias("tie")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
 

@@ -20,13 +20,11 @@ def brute_components(docs, width, percent):
     for _, t in docs:
         w = lower(t).encode().split()
         sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    linked = [(i, j) for i in range(len(docs)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
     label = list(range(len(docs)))
     for _ in docs:
-        for i in range(len(docs)):
-            for j in range(i):
-                n = len(sets[i] & sets[j])
-                if sets[i] and sets[j] and 100 * n >= percent * len(sets[i] | sets[j]):
-                    label[i] = label[j] = min(label[i], label[j])
+        for i, j in linked:
+            label[i] = label[j] = min(label[i], label[j])
     ids = {}
     for (d, _), x in zip(docs, label):
         ids[x] = min(ids.get(x, d), d)
@@ -54,10 +52,14 @@ def corpus():
     return docs
 
 
-@pytest.mark.parametrize("width, percent, small", [(3, 85, 1024), (5, 80, 1024), (3, 85, 8)])
-def test_components_equal_brute_force(spark, monkeypatch, width, percent, small):
+@pytest.mark.parametrize("width, percent, small, blocks", [(3, 85, 1024, None), (5, 80, 1024, None), (3, 85, 4, None), (5, 80, 4, 7)])
+def test_components_equal_brute_force(spark, monkeypatch, width, percent, small, blocks):
+    """Groups above ``small`` branch further; with ``blocks`` every comparison is cut into many blocks."""
     monkeypatch.setattr(near_dedup, "SMALL", small)
-    monkeypatch.setattr(near_dedup, "TURNS", (2, 3) if small > 8 else near_dedup.TURNS)
+    if blocks:
+        monkeypatch.setattr(near_dedup, "BLOCK", blocks)
+        monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 400)
+        monkeypatch.setattr(near_dedup, "BROADCAST_BYTES", 0)
     docs = corpus()
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, uid int")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, width=width, percent=percent).collect()}
@@ -71,6 +73,39 @@ def test_empty_and_repeated_rows(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_pair_parted_in_a_large_group_is_found_elsewhere(spark, monkeypatch):
+    """Tree 0 holds all in one group that branches; pairs that its levels part must be compared by later trees."""
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "DEPTH", 2)
+    r = random.Random(8)
+    minwise = near_dedup.minwise
+
+    def one_group(sets):
+        out = minwise(sets)
+        out[:, 0] = 7
+        return out
+
+    monkeypatch.setattr(near_dedup, "minwise", one_group)
+    docs = []
+    for pair in range(40):
+        words = [f"p{pair}w{r.randrange(10**6)}" for _ in range(100)]
+        docs.append((2 * pair, " ".join(words)))
+        words[50] = "other"
+        docs.append((2 * pair + 1, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    nodes = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, width=3, percent=85).collect()}
+    assert nodes == {d: d // 2 * 2 for d, _ in docs}
+
+
+def test_one_document_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, 5), (2, text + " end", 6), (None, text, 7), (3, "other words here", 8), (3, text, 9), (4, None, 1), (5, "", 2), (4, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int")
+    left = sorted(near_dedup.keep_one(df).collect(), key=str)
+    assert left == sorted(df.where("gone in (5, 8, 1, 2)").collect(), key=str)
+    assert near_dedup.keep_one(df.limit(0)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201), (201, 200)], "a long, b long")
     got = {r["uid"]: r["label"] for r in near_dedup.components(edges).collect()}
