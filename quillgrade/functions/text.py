@@ -88,6 +88,7 @@ def strip_inline_options(text: Column, options: Column) -> Column:
     return F.when(cut, F.rtrim(F.substring(text, F.lit(1), at - 1))).otherwise(text)
 
 
+#: Words that introduce an author, and the forms of channel lines and handles in the texts.
 LABELS = "tuzuvchi|muallif|mualif|author"
 CREDIT = rf"(?im)[ \t]*(?:{LABELS}|составител[\p{{L}}]*)\s*[:：][^\n]*$"
 CHANNEL = r"(?im)^.*\btelegram\b[^\n]*\bkanal[\p{L}]*[^\n]*$"

@@ -84,7 +84,9 @@ def canonical_chain(text: str | None) -> str | None:
         lead, body = (m.group(1), m.group(2)) if m else ("", s)
         if i < len(segments) - 1 and "+" in body:
             head, tail = (x.strip() for x in body.split("+", 1))
-            if i and re.fullmatch(NODE, head):
+            if "(" in tail or ")" in tail:  # groups are part of the node's side
+                pass
+            elif i and re.fullmatch(NODE, head):
                 reagent, own = f"(+{tail})", f"{lead} {head}".strip() if lead else head
             elif not i and "+" not in tail and not re.fullmatch(NODE, head) and re.fullmatch(r"[A-Z][A-Za-z0-9₀-₉()]*", head):
                 reagent, own = f"({tail})", head
@@ -119,6 +121,10 @@ def unanswerable(text: Column) -> Column:
 _LEX = re.compile(r"\s+|\d+(?:[.,]\d+)?|[A-Za-zα-ωΑ-Ω]+|√|[\^_/()+\-*=<>≤≥·]|.")
 
 
+#: Function names that a formula may call, with the number of their arguments.
+ROOTS = {"sqrt": 1, "root": 2}
+
+
 class _Math:
     """Reads plain formulas by recursive descent and writes them as LaTeX."""
 
@@ -133,18 +139,24 @@ class _Math:
         self.at += 1
         return self.tokens[self.at - 1]
 
-    def formula(self, stop: str = "") -> str:
+    def formula(self, stop: tuple[str, ...] = ()) -> str:
         out = []
-        while self.peek() and self.peek() != stop:
+        while self.peek() and self.peek() not in stop:
             out.append(self.fraction())
         return " ".join(out)
 
+    def mixed(self) -> bool:
+        """Whether a whole number and a fraction of two numbers stand here."""
+        own = self.tokens[self.at : self.at + 4]
+        return len(own) == 4 and own[2] == "/" and all(own[i].isdecimal() for i in (0, 1, 3))
+
     def fraction(self) -> str:
+        whole = self.take() if self.mixed() else ""
         left = self.scripted()
         while self.peek() == "/":
             self.take()
             left = rf"\frac{{{self.bare(left)}}}{{{self.bare(self.scripted())}}}"
-        return left
+        return whole + left
 
     def scripted(self) -> str:
         base = self.atom()
@@ -157,16 +169,28 @@ class _Math:
     def bare(x: str) -> str:
         return x[1:-1] if x.startswith("(") and x.endswith(")") else x
 
+    def root(self, name: str) -> str:
+        args = []
+        while not args or self.peek() == ",":
+            self.take()
+            args.append(self.formula((",", ")")))
+        if self.peek() != ")" or len(args) != ROOTS[name] or "" in args:
+            raise ValueError("root is not closed or has other arguments")
+        self.take()
+        return rf"\sqrt[{args[0]}]{{{args[1]}}}" if name == "root" else rf"\sqrt{{{args[0]}}}"
+
     def atom(self) -> str:
         if not self.peek():
             raise ValueError("formula ends early")
         t = self.take()
         if t == "(":
-            inner = self.formula(")")
+            inner = self.formula((")",))
             if self.peek() != ")":
                 raise ValueError("parenthesis stays open")
             self.take()
             return f"({inner})"
+        if t in ROOTS and self.peek() == "(":
+            return self.root(t)
         if t == "√" or t == "sqrt":
             return rf"\sqrt{{{self.bare(self.atom())}}}"
         if t in (")", "/", "^", "_"):
@@ -174,7 +198,7 @@ class _Math:
         return {"≤": r"\le", "≥": r"\ge", "·": r"\cdot", "*": r"\cdot"}.get(t, t)
 
 
-_FORMULA = re.compile(r"[A-Za-z0-9α-ω()√^_/+\-*=<>≤≥·.,]*[√^_/][A-Za-z0-9α-ω()√^_/+\-*=<>≤≥·.,]*(?:\s*[+\-*=<>≤≥·]\s*[A-Za-z0-9α-ω()√^_/]+)*")
+_FORMULA = re.compile(r"(?:sqrt|root)\([^()]*(?:\([^()]*\)[^()]*)*\)|\b\d+ \d+/\d+\b|[A-Za-z0-9α-ω()√^_/+\-*=<>≤≥·.,]*[√^_/][A-Za-z0-9α-ω()√^_/+\-*=<>≤≥·.,]*(?:\s*[+\-*=<>≤≥·]\s*[A-Za-z0-9α-ω()√^_/]+)*")
 
 
 def math_segments(text: str | None) -> list[dict]:

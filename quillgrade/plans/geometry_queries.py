@@ -122,7 +122,7 @@ def geo_06(spark, d):
 
 @query(
     "jsn_09_label_recovery",
-    with_views("questions").rstrip() + """, q AS (SELECT question_id, part_id, option_b IS NOT NULL AS full_set FROM questions WHERE project_id < 500 AND option_a IS NOT NULL),
+    with_views("questions").rstrip() + """, q AS (SELECT question_id, part_id, option_b IS NOT NULL AS full_set FROM questions WHERE option_a IS NOT NULL),
 o AS (SELECT question_id, part_id, unnest(CASE WHEN full_set THEN [1, 2, 3, 4] ELSE [1] END) AS i FROM q),
 m AS (SELECT question_id, unnest(CASE WHEN part_id % 4 = 0 THEN [1, 2] ELSE [1, 2, 3, 4] END) AS i, part_id FROM q),
 l AS (SELECT question_id, i, CASE WHEN part_id % 5 = 0 THEN 'A' ELSE substr('ABDE', i, 1) END AS label FROM m),
@@ -130,7 +130,7 @@ c AS (SELECT question_id, (SELECT count(*) FROM o WHERE o.question_id = q.questi
 SELECT o.question_id, o.i, coalesce(CASE WHEN sound THEN label END, substr('ABCD', o.i, 1)) AS letter, NOT sound AS label_doubt FROM o JOIN c USING (question_id) LEFT JOIN l ON l.question_id = o.question_id AND l.i = o.i""",
 )
 def jsn_09(spark, d):
-    q = view(spark, d, "questions").where("project_id < 500 AND option_a IS NOT NULL")
+    q = view(spark, d, "questions").where("option_a IS NOT NULL")
     four = F.sequence(F.lit(1), F.lit(4))
     options = q.select("question_id", F.explode(F.when(F.col("option_b").isNotNull(), four).otherwise(F.array(F.lit(1)))).alias("pos")).withColumn("letter", F.substring(F.lit("ABCD"), F.col("pos"), F.lit(1)))
     marks = q.select("question_id", "part_id", F.explode(F.when(F.col("part_id") % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(four)).alias("pos"))

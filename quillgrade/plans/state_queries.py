@@ -130,7 +130,7 @@ def tri_03(spark, d):
     return M.decrement_uses(view(spark, d, "users"), c).join(M.first_charges(c.select("telegram_id", F.col("event_id").alias("first_event")), "first_event"), "telegram_id", "left")
 
 
-_LOG = "SELECT user_id AS telegram_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'grant' WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'limit' WHEN 'error' THEN 'block' ELSE CASE WHEN event_id % 2 = 0 THEN 'unblock' ELSE 'reset' END END AS command, CAST(event_id % 30 AS INT) AS amount FROM events WHERE event_id % 10 = 3"
+_LOG = "SELECT user_id AS telegram_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'grant' WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'limit' WHEN 'error' THEN 'block' ELSE CASE WHEN event_id % 2 = 0 THEN 'unblock' ELSE 'reset' END END AS command, CAST(event_id % 30 AS INT) AS amount FROM events"
 
 
 @query(

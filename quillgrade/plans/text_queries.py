@@ -169,11 +169,11 @@ def str_19(spark, d):
     return table(spark, d, "part").select("p_partkey", X.mixed_case(letters).alias("mixed"))
 
 
-@query("str_20_scripts", "SELECT l_orderkey AS para, string_agg(CASE l_linenumber % 3 WHEN 1 THEN '^' || CASE WHEN length(CAST(l_linenumber AS VARCHAR)) > 1 THEN '(' || l_linenumber || ')' ELSE CAST(l_linenumber AS VARCHAR) END WHEN 2 THEN '_(' || 'x' || l_linenumber || ')' ELSE 'ab' END, '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS text FROM lineitem WHERE l_orderkey < 3000 GROUP BY l_orderkey")
+@query("str_20_scripts", "SELECT l_orderkey AS para, string_agg(CASE l_linenumber % 3 WHEN 1 THEN '^' || CASE WHEN length(CAST(l_linenumber AS VARCHAR)) > 1 THEN '(' || l_linenumber || ')' ELSE CAST(l_linenumber AS VARCHAR) END WHEN 2 THEN '_(' || 'x' || l_linenumber || ')' ELSE 'ab' END, '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS text FROM lineitem GROUP BY l_orderkey")
 def str_20(spark, d):
     k = F.col("l_linenumber") % 3
     n = F.col("l_linenumber").cast("string")
-    runs = table(spark, d, "lineitem").where("l_orderkey < 3000").select(
+    runs = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("para"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("idx"),
         F.when(k == 1, n).when(k == 2, F.concat(F.lit("x"), n)).otherwise("ab").alias("text"), F.when(k == 1, "super").when(k == 2, "sub").alias("style"),
     )

@@ -42,9 +42,9 @@ def fil_08(spark, d):
     return Q.live(view(spark, d, "questions")).groupBy("project_id").agg(F.count("*").alias("n"))
 
 
-@query("fil_09_in_list", QS + " SELECT question_id FROM questions WHERE project_id < 500 AND question_number IN (2, 5, 7)")
+@query("fil_09_in_list", QS + " SELECT question_id FROM questions WHERE question_number IN (2, 5, 7)")
 def fil_09(spark, d):
-    return view(spark, d, "questions").where((F.col("project_id") < 500) & F.col("question_number").isin(2, 5, 7)).select("question_id")
+    return view(spark, d, "questions").where(F.col("question_number").isin(2, 5, 7)).select("question_id")
 
 
 @query("fil_13_skip_pages", "SELECT page_id, NOT (page_id % 4 = 0) AND (length(html) % 200 < 100 OR page_id % 10 = 9) AS skipped FROM pages")
@@ -80,10 +80,10 @@ def src_02(spark, d):
     return Q.live(view(spark, d, "questions")).where("project_id = 7").select("question_number", "question_id").orderBy("question_number")
 
 
-@query("src_03_pool_sources", with_views("questions", "projects") + "SELECT p.owner, p.source_index, q.question_id FROM (SELECT owner, project_id, row_number() OVER (PARTITION BY owner ORDER BY created_at, project_id) AS source_index FROM projects) p JOIN questions q USING (project_id) WHERE p.owner < 100 AND NOT q.is_deleted")
+@query("src_03_pool_sources", with_views("questions", "projects") + "SELECT p.owner, p.source_index, q.question_id FROM (SELECT owner, project_id, row_number() OVER (PARTITION BY owner ORDER BY created_at, project_id) AS source_index FROM projects) p JOIN questions q USING (project_id) WHERE NOT q.is_deleted")
 def src_03(spark, d):
     w = Window.partitionBy("owner").orderBy("created_at", "project_id")
-    sources = view(spark, d, "projects").where("owner < 100").withColumn("source_index", F.row_number().over(w))
+    sources = view(spark, d, "projects").withColumn("source_index", F.row_number().over(w))
     return sources.join(Q.live(view(spark, d, "questions")), "project_id").select("owner", "source_index", "question_id")
 
 
@@ -148,9 +148,9 @@ def ded_04(spark, d):
     return D.exact_duplicates(rows, ["fp"])
 
 
-@query("ded_05_siblings", QS + f", f AS (SELECT {_FP('stem')} AS stem_fp, {_QFP} AS fp FROM questions WHERE project_id < 2000) SELECT stem_fp, count(DISTINCT fp) AS kinds, count(*) AS n FROM f GROUP BY stem_fp HAVING count(DISTINCT fp) > 1")
+@query("ded_05_siblings", QS + f", f AS (SELECT {_FP('stem')} AS stem_fp, {_QFP} AS fp FROM questions) SELECT stem_fp, count(DISTINCT fp) AS kinds, count(*) AS n FROM f GROUP BY stem_fp HAVING count(DISTINCT fp) > 1")
 def ded_05(spark, d):
-    q = view(spark, d, "questions").where("project_id < 2000")
+    q = view(spark, d, "questions")
     own = F.array(*[F.col(f"option_{x}") for x in "abcd"])
     rows = q.select(D.fingerprint_norm(F.col("stem")).alias("stem_fp"), D.fingerprint(F.col("question_text"), own, F.lit("")).alias("fp"))
     return D.siblings(rows, ["stem_fp"])
@@ -186,17 +186,17 @@ def rpt_05(spark, d):
     return own.where("n > 1").drop("n")
 
 
-def _small(spark, d):
-    return Q.validate(Q.live(questions(spark, d)).where("project_id < 300")).where("reason IS NULL").drop("reason")
+def _valid(spark, d):
+    return Q.validate(Q.live(questions(spark, d))).where("reason IS NULL").drop("reason")
 
 
 _UNITS = QS + _VALID + """,
-q AS (SELECT *, coalesce(group_id, 'q-' || question_id) AS unit_id FROM v WHERE reason IS NULL AND NOT is_deleted AND project_id < 300)"""
+q AS (SELECT *, coalesce(group_id, 'q-' || question_id) AS unit_id FROM v WHERE reason IS NULL AND NOT is_deleted)"""
 
 
 @query("gen_01_units", _UNITS + " SELECT question_id, unit_id, min(question_number) OVER (PARTITION BY project_id, unit_id) AS unit_pos FROM q")
 def gen_01(spark, d):
-    return V.units(_small(spark, d)).select("question_id", "unit_id", "unit_pos")
+    return V.units(_valid(spark, d)).select("question_id", "unit_id", "unit_pos")
 
 
 _SHUFFLE = _UNITS + """,
@@ -209,7 +209,7 @@ w AS (SELECT a.question_id, a.variant_number, a.letter, b.text, b.letter AS was,
 
 @query("gen_02_option_shuffle", _SHUFFLE + " SELECT question_id, variant_number, string_agg(letter || '=' || text, '|' ORDER BY i) AS options, max(CASE WHEN was = correct_answer THEN letter END) AS correct_now FROM w GROUP BY question_id, variant_number")
 def gen_02(spark, d):
-    v = V.variants(_small(spark, d), 3, "s7").where("size(options) > 0")
+    v = V.variants(_valid(spark, d), 3, "s7").where("size(options) > 0")
     return v.select("question_id", F.col("variant_number").cast("long").alias("variant_number"), _told(F.col("shuffled")).alias("options"), V.new_label(F.col("shuffled"), F.col("correct_answer")).alias("correct_now"))
 
 
@@ -220,30 +220,30 @@ SELECT x.project_id, x.variant_number, row_number() OVER (PARTITION BY x.project
   x.question_id, CASE WHEN filled > 0 THEN coalesce(now, correct_answer) END AS key FROM x LEFT JOIN k USING (question_id, variant_number)""",
 )
 def gen_03(spark, d):
-    v = V.variants(_small(spark, d), 3, "s7")
+    v = V.variants(_valid(spark, d), 3, "s7")
     return v.select("project_id", F.col("variant_number").cast("long").alias("variant_number"), "position", "question_id", "key")
 
 
 @query("gen_04_counts", _UNITS + " SELECT project_id, count(*) * 4 AS rows, 4 AS variants FROM q GROUP BY project_id")
 def gen_04(spark, d):
-    v = V.variants(_small(spark, d), 4, "s9")
+    v = V.variants(_valid(spark, d), 4, "s9")
     return v.groupBy("project_id").agg(F.count("*").alias("rows"), F.count_distinct("variant_number").cast("int").alias("variants"))
 
 
 @query("snk_02_variant_rows", _UNITS + """, x AS (SELECT q.*, n AS variant_number FROM q, range(1, 3) r(n))
 SELECT project_id, variant_number, string_agg(CAST(question_id AS VARCHAR), ',' ORDER BY md5('s7|' || variant_number || '|' || project_id || '|' || unit_id), unit_id, question_number) AS question_order FROM x GROUP BY ALL""")
 def snk_02(spark, d):
-    v = V.variants(_small(spark, d), 2, "s7")
+    v = V.variants(_valid(spark, d), 2, "s7")
     own = v.groupBy("project_id", F.col("variant_number").cast("long").alias("variant_number")).agg(F.array_sort(F.collect_list(F.struct("position", "question_id"))).alias("o"))
     return own.select("project_id", "variant_number", F.array_join(F.transform("o", lambda x: x["question_id"]), ",").alias("question_order"))
 
 
-_CYCLE = QS + """, s AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY md5('s3|' || question_id), question_id) - 1 AS place, count(*) OVER (PARTITION BY project_id) AS pool FROM questions WHERE project_id < 300),
+_CYCLE = QS + """, s AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY md5('s3|' || question_id), question_id) - 1 AS place, count(*) OVER (PARTITION BY project_id) AS pool FROM questions),
 c AS (SELECT project_id, n AS variant_number, question_id FROM s, range(1, 6) r(n) WHERE ((place - (n - 1) * least(3, pool)) % pool + pool) % pool < least(3, pool))"""
 
 
 def _cycle(spark, d):
-    return V.select_cyclic(view(spark, d, "questions").where("project_id < 300"), 5, 3, "s3")
+    return V.select_cyclic(view(spark, d, "questions"), 5, 3, "s3")
 
 
 @query("gen_05_select_singles", _CYCLE + " SELECT * FROM c")
@@ -258,19 +258,19 @@ def agg_13(spark, d):
 
 @query("gen_05_select_units")
 def gen_05_units(spark, d):
-    pool = V.units(_small(spark, d)).withColumn("fp", D.fingerprint_norm(F.col("question_text")))
+    pool = V.units(_valid(spark, d)).withColumn("fp", D.fingerprint_norm(F.col("question_text")))
     return V.select_units(pool.select("project_id", "unit_id", "question_id", "fp"), 4, 4, "s5")
 
 
 @query("gen_06_pool_variants")
 def gen_06(spark, d):
     chosen = gen_05_units(spark, d).select(F.col("variant_number").alias("chosen"), "question_id")
-    rows = V.variants(_small(spark, d), 4, "s5").join(chosen, "question_id").where("variant_number = chosen")
+    rows = V.variants(_valid(spark, d), 4, "s5").join(chosen, "question_id").where("variant_number = chosen")
     return rows.select("project_id", "variant_number", "position", "question_id", "key")
 
 
-@query("rpt_07_missing_images", QS + " SELECT DISTINCT part_id FROM questions WHERE has_image AND part_id % 3 <> 0 AND project_id < 1000")
+@query("rpt_07_missing_images", QS + " SELECT DISTINCT part_id FROM questions WHERE has_image AND part_id % 3 <> 0")
 def rpt_07(spark, d):
     stored = table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("part_id"))
-    asked = view(spark, d, "questions").where("has_image AND project_id < 1000").select("part_id").distinct()
+    asked = view(spark, d, "questions").where("has_image").select("part_id").distinct()
     return asked.join(stored, "part_id", "left_anti")

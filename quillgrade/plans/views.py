@@ -139,7 +139,7 @@ SELECT conv_id AS doc_id, CAST(turn AS INT) AS page_number, CAST(pos AS INT) AS
     WHEN (conv_id + turn) % 13 = 0 AND pos = 1 THEN CAST(turn * 4 + pos + 2 AS INT)
     ELSE CAST((turn % 4) * 4 + pos AS INT) END AS question_number,
   CASE WHEN (conv_id + turn) % 7 = 0 AND pos = 2 THEN concat('Part ', CAST(turn AS STRING)) ELSE NULL END AS section_title,
-  substr(text, pos * 20 - 19, 20) AS question_text, (conv_id + pos) % 5 = 0 AS has_image
+  substr(text, CAST(floor(length(text) * (pos - 1) / 4) AS INT) + 1, CAST(floor(length(text) * pos / 4) AS INT) - CAST(floor(length(text) * (pos - 1) / 4) AS INT)) AS question_text, (conv_id + pos) % 5 = 0 AS has_image
 FROM {d.table('conversations')} CROSS JOIN (SELECT 1 AS pos UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) p"""
 
 

@@ -53,6 +53,7 @@ def sheets(raw: DataFrame) -> DataFrame:
     )
 
 
+#: Names that responses use for the fields of a question.
 _ALIASES = {
     "question_number": ("question_number", "number", "num", "n"),
     "question_text": ("question_text", "question", "text", "q"),
@@ -77,7 +78,7 @@ def _records(raw: str | None) -> list[dict]:
             inner = next((v for k, v in found.items() if isinstance(v, list) and k not in _ALIASES["options"]), None)
             found = [found] if inner is None else inner
         if isinstance(found, list):
-            return [x for x in found if isinstance(x, dict)]
+            return _ungrouped(x for x in found if isinstance(x, dict))
     reader, out, at = json.JSONDecoder(), [], text.find("{")
     while at >= 0:
         try:
@@ -86,7 +87,16 @@ def _records(raw: str | None) -> list[dict]:
             at = text.find("{", end)
         except ValueError:
             at = text.find("{", at + 1)
-    return [x for x in out if isinstance(x, dict)]
+    return _ungrouped(x for x in out if isinstance(x, dict))
+
+
+def _ungrouped(items) -> list[dict]:
+    """Groups of questions give their questions, in order."""
+    out = []
+    for x in items:
+        inner = x.get("questions")
+        out += [q for q in inner if isinstance(q, dict)] if isinstance(inner, list) else [x]
+    return out
 
 
 def _record(item: dict) -> dict:

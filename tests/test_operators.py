@@ -1,6 +1,7 @@
 """Unit cases of operators that data alone doesn't exercise."""
 
 import difflib
+import hashlib
 
 import pytest
 from hypothesis import given, settings
@@ -73,6 +74,42 @@ def test_selection_keeps_groups_and_balance(spark):
     assert max(uses.values()) - min(uses.values()) <= 2
 
 
+def plain_selection(units, n, m, seed):
+    """units: name -> (questions, prints). The rule in plain steps."""
+    uses, rows = {u: 0 for u in units}, set()
+    for v in range(1, n + 1):
+        draws = []
+        for a in range(variants.ATTEMPTS):
+            taken, prints = [], []
+            for u in sorted(units, key=lambda u: (uses[u], hashlib.md5(f"{seed}|{v}|{a}|{u}".encode()).hexdigest(), u)):
+                if sum(len(units[t][0]) for t in taken) + len(units[u][0]) <= m and not set(prints) & set(units[u][1]):
+                    taken.append(u)
+                    prints += units[u][1]
+            draws.append(taken)
+        filled = [sum(len(units[t][0]) for t in taken) for taken in draws]
+        for u in draws[filled.index(max(filled))]:
+            uses[u] += 1
+            rows |= {(v, u, q, max(filled) < m) for q in units[u][0]}
+    return rows
+
+
+@pytest.mark.parametrize("n, m", [(5, 3), (4, 7), (3, 40)])
+def test_selection_follows_the_rule(spark, n, m):
+    rows, pools = [], {}
+    for p in (1, 2, 3):
+        for i in range(4 * p + 3):
+            unit, fp = f"u{i // 2 if i < 6 else i}", f"f{i if i % 4 else 0}"
+            rows.append((p, unit, 100 * p + i, fp))
+            own = pools.setdefault(p, {}).setdefault(unit, ([], []))
+            own[0].append(100 * p + i), own[1].append(fp)
+    rows.append((4, "u0", 400, "same")), rows.append((4, "u0", 401, "same"))  # alike inside a unit: may be taken
+    pools[4] = {"u0": ([400, 401], ["same", "same"])}
+    df = spark.createDataFrame(rows, "project_id long, unit_id string, question_id long, fp string")
+    got = {p: {(r["variant_number"], r["unit_id"], r["question_id"], r["short"]) for r in variants.select_units(df, n, m, "s").collect() if r["project_id"] == p} for p in pools}
+    assert got == {p: plain_selection(u, n, m, "s") for p, u in pools.items()}
+    assert variants.select_units(df.limit(0), n, m, "s").count() == 0
+
+
 def test_sections_restart_and_inversion(spark):
     rows = [(1, 1, i, n, t) for i, (n, t) in enumerate([(5, None), (6, None), (0, None), (7, None), (1, None), (2, None), (9, None), (8, None), (4, "Part B"), (5, None)])]
     df = spark.createDataFrame(rows, "doc_id long, page_number int, pos int, question_number int, section_title string")
@@ -146,6 +183,7 @@ def test_chain_moves_reagents():
     assert U.canonical_chain("→ X₁ + NaPO₃ → X₂") == "→ X₁ →(+NaPO₃) X₂"
     assert U.canonical_chain("SiS₂ + H₂O → X₁ → X₂") == "SiS₂ →(H₂O) X₁ → X₂"
     assert U.canonical_chain("A + B → C") == "A + B → C"
+    assert U.canonical_chain("A → X₁ + Ca(OH)₂ → X₂") == "A → X₁ + Ca(OH)₂ → X₂"
 
 
 def test_unanswerable():
@@ -156,8 +194,11 @@ def test_unanswerable():
 def test_math():
     assert U._Math("(a+b)/2").formula() == r"\frac{a + b}{2}"
     assert U._Math("√(x^2)").formula() == r"\sqrt{x^{2}}"
-    with pytest.raises(ValueError):
-        U._Math("(a").formula()
+    assert U._Math("2 1/3 + root(3, x+1) - sqrt(y/2)").formula() == r"2\frac{1}{3} + \sqrt[3]{x + 1} - \sqrt{\frac{y}{2}}"
+    assert U.math_segments("take root(3, x), 2 1/3 of it") == [{"kind": "text", "body": "take "}, {"kind": "math", "body": r"\sqrt[3]{x}"}, {"kind": "text", "body": ", "}, {"kind": "math", "body": r"2\frac{1}{3}"}, {"kind": "text", "body": " of it"}]
+    for broken in ("(a", "root(3)", "sqrt(a, b)", "root(3, x"):
+        with pytest.raises(ValueError):
+            U._Math(broken).formula()
 
 
 def test_caption_takes_plain_digits_only(spark):
@@ -170,4 +211,6 @@ def test_responses_are_salvaged():
     got = [responses._record(r) for r in responses._records(cut)]
     assert [(r["question_number"], r["question_text"]) for r in got] == [(1, "a"), (2, "b")]
     assert [o["letter"] for o in got[0]["options"]] == ["B", "A"]
+    grouped = '{"groups": [{"title": "t", "questions": [{"n": 1}, {"n": 2}]}, {"questions": [{"n": 3}]}]}'
+    assert [responses._record(r)["question_number"] for r in responses._records(grouped)] == [1, 2, 3]
     assert responses._records("garbage") == [] and len(responses._records('{"questions": [{"n": 1}]}')) == 1
