@@ -44,7 +44,7 @@ from quillgrade.llm.flatwords import unit_keys
 TOKENS = 64
 TREES = 12
 SMALL = 1024
-BLOCK = 4096
+BLOCK = 512
 DEPTH = 10
 BLOCK_SHINGLES = 1_000_000
 BROADCAST_ROWS = 200_000
