@@ -2,33 +2,39 @@ r"""Language-model scores by masked pseudo-likelihood.
 
 A network reads the words on both sides of a position and predicts the word there:
 embeddings of the ``SIDE`` words before and after, one hidden layer, and a two-level
-output (a class, then a word of the class) whose probabilities sum to one. A
+output (a class, then a member of the class) whose probabilities sum to one. A
 document's score is the sum over its words of the log-probability of each given the
 others around it.
 
-The vocabulary holds the most frequent words of all documents. Of any other word the
-network predicts the id of its last byte's group, and a byte model spells it from its
-end to its start given that id, so each word has a probability of its own; those of all
-words sum to one at most (what is missing is on spellings of vocabulary words). The byte
-model is counted over all such words of the corpus. Training masks a fixed share of the positions of every document: each
+The members are the most frequent words of the corpus and, for all other words, the
+groups of their last bytes. Within a group a word's probability is its share of the
+corpus counts without the position that is predicted, with ``PRIOR`` added to each of
+the group's words. So every word has a probability of its own, and those of
+the corpus's words sum to one. The counts are of all words of all documents, a table
+that grows with the corpus and is joined by word; it never leaves the executors.
+
+Each text is cut into words twice: to count them, and to write its ids. Training masks a
+fixed share of the positions of every document: each
 partition trains in numpy from the same parameters, the parameters are averaged with
 the positions as weights, and the next round starts from the average. What the
-rounds gather grows with the partitions; only one set of parameters, the vocabulary
-and the byte model, all of bounded size, come to the driver.
+rounds gather grows with the partitions and is averaged in blocks by many tasks; one set
+of parameters, the frequent words and two numbers for each group come to the driver.
 
 Words are runs of ``[^\x20\x09-\x0D]`` with A-Z lower-cased. A null or empty text has no
-words and the score 0. Repeated rows score alike. Columns besides key and text
-aren't read.
+words and the score 0. Repeated rows score alike; an empty table gives no rows. Scores
+depend a little on how the rows are dealt over partitions, as their models are averaged.
+Columns besides key and text aren't read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, gather, materialise, utf8
+from quillgrade.llm.common import chunks, materialise, utf8
 from quillgrade.llm.flatwords import unit_keys
 
 WORDS = 4032
@@ -43,7 +49,11 @@ MASKED_PERMILLE = 150
 BATCH = 4096
 RATE = 0.08
 CHUNK_BYTES = 2_000_000
-BLOCK = 8192
+CHUNK_WORDS = 300_000
+SCORED = 32768
+BLOCK = 1024
+MERGED = 64
+PRIOR = 0.1
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, dtype=bool)
@@ -54,64 +64,28 @@ _GROUP = np.full(256, 59, dtype=np.int64)
 _GROUP[97:123], _GROUP[48:58] = np.arange(26), np.arange(26, 36)
 _GROUP[33:48], _GROUP[58:65] = np.arange(36, 51), np.arange(51, 58)
 _GROUP[91:97], _GROUP[128:] = 58, 60 + np.arange(128) % 4
-#: The byte model: the group of the byte after (64: none), the byte, and the byte before (256: none).
-SPELLED = (RARE + 1, 256, 257)
-_CODES = int(np.prod(SPELLED))
-_AFTER = (np.where(_SPACE, RARE, _GROUP) * (256 * 257)).astype(np.int32)
-_BEFORE = np.where(_SPACE, 256, np.arange(256)).astype(np.int32)
-PRIOR = 8.0
 
 
-def _cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all words, the text of each; all bytes, and each word's first and last place."""
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of all words, the last byte's group lowest, and the text of each."""
     data = np.frombuffer((b"\n".join(texts) + b"\n").translate(_LOWER), dtype=np.uint8)
     space = _SPACE[data]
     start = np.flatnonzero(~space & np.r_[True, space[:-1]])
     end = np.flatnonzero(~space & np.r_[space[1:], True])
     doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
     keys = unit_keys(data, start, space) if len(start) else np.zeros(0, np.uint64)
-    return (keys & ~np.uint64(RARE - 1)) | _GROUP[data[end]].astype(np.uint64), doc, data, start, end
-
-
-def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys of all words, the last byte's group lowest, and the text of each."""
-    return _cut(texts)[:2]
-
-
-class Spelling:
-    """Log-probabilities of a word's bytes from its end to its start, given the last byte's group."""
-
-    def __init__(self, counts: np.ndarray):
-        steps, last = counts[:_CODES].reshape(SPELLED), counts[_CODES:]
-        known = np.r_[~_SPACE, True]
-        one = steps.sum(axis=0) + PRIOR * known / known.sum()
-        two = steps + PRIOR * (one / one.sum(axis=1, keepdims=True))
-        with np.errstate(divide="ignore"):
-            self.steps = np.log(two / two.sum(axis=2, keepdims=True)).astype(np.float32).reshape(-1)
-            seen = (last + 1.0) * ~_SPACE
-            self.last = np.log(seen / np.bincount(_GROUP, seen, minlength=RARE)[_GROUP])
-
-    @staticmethod
-    def codes(data: np.ndarray, start: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        at = gather(start, lens)
-        return _AFTER[data[at + 1]] + data[at] * np.int32(257) + _BEFORE[data[at - 1]]
-
-    @classmethod
-    def count(cls, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return np.r_[np.bincount(cls.codes(data, start, end - start + 1), minlength=_CODES), np.bincount(data[end], minlength=256)]
-
-    def log_probs(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if not len(start):
-            return np.zeros(0)
-        lens = end - start + 1
-        return np.add.reduceat(self.steps[self.codes(data, start, lens)], np.cumsum(lens) - lens, dtype=np.float64) + self.last[data[end]]
+    return (keys & ~np.uint64(RARE - 1)) | _GROUP[data[end]].astype(np.uint64), doc
 
 
 class Vocabulary:
-    def __init__(self, keys: list[int]):
+    """The frequent words by their keys, and for each group of other words their count and number."""
+
+    def __init__(self, keys: list[int], counts: np.ndarray | None = None, kinds: np.ndarray | None = None):
         found = np.array(keys, dtype=np.int64).view(np.uint64)
         order = np.argsort(found)
         self.keys, self.ids = found[order], order
+        self.counts = np.zeros(RARE) if counts is None else counts
+        self.kinds = np.zeros(RARE) if kinds is None else kinds
 
     def ids_of(self, keys: np.ndarray) -> np.ndarray:
         rare = WORDS + (keys % np.uint64(RARE)).astype(np.int64)
@@ -120,6 +94,10 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.ids[at], rare)
 
+    def group_logs(self) -> np.ndarray:
+        """By id: 0 for a frequent word, for a group the logarithm of what its words' shares are divided by."""
+        return np.r_[np.zeros(WORDS), np.log(np.maximum(self.counts - 1, 0) + PRIOR * np.maximum(self.kinds, 1))]
+
 
 def contexts(ids: np.ndarray, doc: np.ndarray, chosen: np.ndarray | None = None) -> np.ndarray:
     """The words around each position, or each chosen one, the text's ends padded."""
@@ -134,12 +112,13 @@ def contexts(ids: np.ndarray, doc: np.ndarray, chosen: np.ndarray | None = None)
 class Network:
     SHAPES = {"embed": (PAD + 1, WIDTH), "mix": (2 * SIDE * WIDTH, WIDTH), "bias": (WIDTH,), "kinds": (CLASSES, WIDTH), "kinds_bias": (CLASSES,), "words": (CLASSES, PER_CLASS, WIDTH), "words_bias": (CLASSES, PER_CLASS)}
 
-    def __init__(self, flat: np.ndarray | None = None, spelling: Spelling | None = None):
-        self.spelling = spelling
+    DTYPE = np.float32
+
+    def __init__(self, flat: np.ndarray | None = None):
         if flat is None:
             rng = np.random.default_rng(11)
             flat = np.concatenate([(rng.standard_normal(int(np.prod(s))) * (0 if "bias" in k else 0.1)) for k, s in self.SHAPES.items()])
-        self.flat = np.asarray(flat, dtype=np.float32).copy()
+        self.flat = np.asarray(flat, dtype=self.DTYPE).copy()
         at = 0
         for k, s in self.SHAPES.items():
             setattr(self, k, self.flat[at : at + int(np.prod(s))].reshape(s))
@@ -205,17 +184,18 @@ class Network:
         self._step("embed", ids[order][head], np.add.reduceat(dx[order], head, axis=0), seen)
 
     def _step(self, name, at, grad, seen) -> None:
-        past = seen.setdefault(name, np.full(self.SHAPES[name], 1e-6, dtype=np.float32))
+        past = seen.setdefault(name, np.full(self.SHAPES[name], 1e-6, dtype=self.DTYPE))
         past[at] += grad * grad
         getattr(self, name)[at] -= RATE * grad / np.sqrt(past[at])
 
 
-def _masked(keys: np.ndarray, doc: np.ndarray, turn: int) -> np.ndarray:
-    """A fixed share of positions, chosen by word and place in the text."""
+def _masked(ids: np.ndarray, doc: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """A fixed share of positions, chosen by id and place in the text, and an order to learn them in."""
     first = np.searchsorted(doc, doc)
-    x = keys + (np.arange(len(keys)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn * 7919 + 1)
+    x = ids.astype(np.uint64) + (np.arange(len(ids)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn * 7919 + 1)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x >> np.uint64(20)) % np.uint64(1000)) < MASKED_PERMILLE
+    at = np.flatnonzero(((x >> np.uint64(20)) % np.uint64(1000)) < MASKED_PERMILLE)
+    return at, np.argsort((x[at] ^ at.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
 
 
 def _chunked(batches, column: int):
@@ -225,8 +205,18 @@ def _chunked(batches, column: int):
             yield batch, a, b, texts[a:b]
 
 
-def vocabulary(docs: DataFrame, text: str) -> Vocabulary:
-    """The most frequent words of all documents, by their keys; ties go to the smaller key."""
+def _id_chunks(batches, column: int):
+    """(batch, first row, row behind the last, ids, the row of each) of bounded numbers of words; a longer text stands alone."""
+    for batch in batches:
+        lists = batch.column(column)
+        sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy()
+        upto = np.r_[0, np.cumsum(sizes)]
+        for a, b in chunks((sizes + 1).tolist(), CHUNK_WORDS):
+            yield batch, a, b, flat[upto[a] : upto[b]], np.repeat(np.arange(b - a), sizes[a:b])
+
+
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): how often each word, by its key, stands in the documents."""
 
     def run(batches):
         for _, _, _, texts in _chunked(batches, 0):
@@ -234,79 +224,117 @@ def vocabulary(docs: DataFrame, text: str) -> Vocabulary:
             yield pa.RecordBatch.from_pydict({"word": pa.array(keys.view(np.int64)), "n": pa.array(n, pa.int64())})
 
     counts = docs.select(F.col(text)).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return Vocabulary([r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()])
+    return materialise(counts, "counts")
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The most frequent words, ties by the smaller key; of all others the sums of each group."""
+    top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    group = F.col("word").bitwiseAND(F.lit(RARE - 1)).cast("int")
+    sums = counts.groupBy(group.alias("group")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()  # RARE rows at most
+    n, kinds = np.zeros(RARE), np.zeros(RARE)
+    for r in sums:
+        n[r["group"]], kinds[r["group"]] = r["n"], r["kinds"]
+    for r in top:
+        n[r["word"] % RARE] -= r["n"]
+        kinds[r["word"] % RARE] -= 1
+    return Vocabulary([r["word"] for r in top], n, kinds)
+
+
+def word_ids(docs: DataFrame, words: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each document's ids and the keys of its other words, written once; ``row`` tells documents with equal keys apart."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        own, part, before = sent.value, TaskContext.get().partitionId(), 0
+        for batch, a, b, texts in _chunked(batches, 1):
+            keys, doc = word_keys(texts)
+            ids = own.ids_of(keys)
+            rare = ids >= WORDS
+            lists = lambda mark, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(doc[mark], minlength=b - a))], pa.int32()), values)
+            rows = pa.array((np.int64(part) << 33) + before + np.arange(b - a))
+            before += b - a
+            every = np.ones(len(ids), dtype=bool)
+            yield pa.RecordBatch.from_pydict({"row": rows, "key": batch.column(0).slice(a, b - a), "ids": lists(every, pa.array(ids, pa.int32())), "rare": lists(rare, pa.array(keys[rare].view(np.int64)))})
+
+    kind = docs.schema[key].dataType.simpleString()
+    return materialise(docs.select(F.col(key), F.col(text)).mapInArrow(run, f"row long, key {kind}, ids array<int>, rare array<long>"), "word-ids")
 
 
-def train(docs: DataFrame, text: str, words: Vocabulary, rounds: int = ROUNDS) -> Network:
-    spark = docs.sparkSession
-    network, spelling = Network(), None
+def _averaged(parts: DataFrame) -> DataFrame:
+    """Blocks of parameters averaged by their positions: first of some partitions, then of these."""
+
+    def run(batches):
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for block, weight, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                held = sums.setdefault(block, [0.0, 0.0])
+                held[0] += weight
+                held[1] = held[1] + own.values.to_numpy() * weight
+        for block, (weight, total) in sums.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "positions": pa.array([weight]), "own": pa.array([total / weight], pa.list_(pa.float64()))})
+
+    schema = "block long, positions double, own array<double>"
+    some = parts.repartition("block", "some").select("block", "positions", F.col("own").cast("array<double>").alias("own")).mapInArrow(run, schema)
+    return some.repartition("block").mapInArrow(run, schema)
+
+
+def train(rows: DataFrame, rounds: int = ROUNDS) -> Network:
+    """The network after ``rounds`` over the rows of :func:`word_ids`."""
+    network = Network()
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((network.flat, words))
+        sent = rows.sparkSession.sparkContext.broadcast(network.flat)
 
         def run(batches, sent=sent, turn=turn):
-            flat, own_words = sent.value
-            own, seen, total, spelled = Network(flat), {}, 0, 0
-            for _, _, _, texts in _chunked(batches, 0):
-                keys, doc, data, start, end = _cut(texts)
-                ids = own_words.ids_of(keys)
-                if turn == 0:
-                    rare = ids >= WORDS
-                    spelled = spelled + Spelling.count(data, start[rare], end[rare])
-                at = np.flatnonzero(_masked(keys, doc, turn))
-                at = at[np.argsort((keys[at] ^ at.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")]
+            own, seen, total = Network(sent.value), {}, 0
+            for _, _, _, ids, doc in _id_chunks(batches, 0):
+                at, order = _masked(ids, doc, turn)
+                at = at[order]
                 around = contexts(ids, doc, at)
                 for a in range(0, len(at), BATCH):
                     own.learn(around[a : a + BATCH], ids[at[a : a + BATCH]], seen)
                 total += len(at)
-            found = np.flatnonzero(spelled) if turn == 0 and np.ndim(spelled) else []
-            if len(found):  # counts of the byte model: below zero, without parameters
-                yield pa.RecordBatch.from_pydict({"block": pa.array(-1 - found, pa.int64()), "positions": pa.array(spelled[found], pa.float64()), "own": pa.array([[]] * len(found), pa.list_(pa.float32()))})
             if total:
-                for a in range(0, len(own.flat), BLOCK):
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([a], pa.int64()), "positions": pa.array([float(total)]), "own": pa.array([own.flat[a : a + BLOCK]], pa.list_(pa.float32()))})
-
-        trained = materialise(docs.select(F.col(text)).mapInArrow(run, "block long, positions double, own array<float>"), "trained")
-        parts = trained.select("block", "positions", F.posexplode("own").alias("at", "value"))
-        mean = parts.groupBy((F.col("block") + F.col("at")).alias("at")).agg((F.sum(F.col("value") * F.col("positions")) / F.sum("positions")).cast("float").alias("value"))
-        if turn == 0:
-            counted = trained.where("block < 0").groupBy("block").agg(F.sum("positions").alias("n")).toArrow()  # one value for each step met
-            counts = np.zeros(_CODES + 256)
-            counts[-1 - counted["block"].to_numpy()] = counted["n"].to_numpy()
-            spelling = Spelling(counts)
-        found = mean.toArrow()  # one value for each parameter
-        if found.num_rows:
-            flat = network.flat.copy()
-            flat[found["at"].to_numpy()] = found["value"].to_numpy()
-            network = Network(flat)
-    network.spelling = spelling
+                at = range(0, len(own.flat), BLOCK)
+                some = TaskContext.get().partitionId() // MERGED
+                yield pa.RecordBatch.from_pydict(
+                    {"block": pa.array(at, pa.int64()), "some": pa.array([some] * len(at), pa.int64()), "positions": pa.array([float(total)] * len(at)), "own": pa.array([own.flat[a : a + BLOCK] for a in at], pa.list_(pa.float32()))}
+                )
+
+        trained = materialise(rows.select("ids").mapInArrow(run, "block long, some long, positions double, own array<float>"), "trained")
+        flat = network.flat.copy()
+        for r in _averaged(trained).collect():  # one set of parameters
+            flat[r["block"] : r["block"] + len(r["own"])] = r["own"]
+        network = Network(flat)
     return network
 
 
-def score(docs: DataFrame, words: Vocabulary, network: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: key, n_tokens, log_prob (summed) and mean_log_prob (null without words). A network without a byte model scores ids."""
-    sent = docs.sparkSession.sparkContext.broadcast((network.flat, words, network.spelling))
+def score(rows: DataFrame, words: Vocabulary, network: Network, counts: DataFrame) -> DataFrame:
+    """Per row of :func:`word_ids`: key, n_tokens, log_prob (summed) and mean_log_prob (null without words)."""
+    sent = rows.sparkSession.sparkContext.broadcast((network.flat, words.group_logs()))
 
     def run(batches):
-        flat, own_words, spelling = sent.value
-        own = Network(flat, spelling)
-        for batch, a, b, texts in _chunked(batches, 1):
-            keys, doc, data, start, end = _cut(texts)
-            ids = own_words.ids_of(keys)
+        flat, groups = sent.value
+        own = Network(flat)
+        for batch, a, b, ids, doc in _id_chunks(batches, 2):
             around = contexts(ids, doc)
-            logs = np.zeros(len(ids))
-            for i in range(0, len(ids), 4 * BATCH):
-                logs[i : i + 4 * BATCH] = own.log_probs(around[i : i + 4 * BATCH], ids[i : i + 4 * BATCH])
-            if own.spelling:
-                rare = ids >= WORDS
-                logs[rare] += own.spelling.log_probs(data, start[rare], end[rare])
-            n = np.bincount(doc, minlength=b - a)
-            yield pa.RecordBatch.from_pydict({"key": batch.column(0).slice(a, b - a), "n_tokens": pa.array(n, pa.int64()), "log_prob": pa.array(np.bincount(doc, logs, minlength=b - a), pa.float64())})
+            logs = -groups[ids]
+            for i in range(0, len(ids), SCORED):
+                logs[i : i + SCORED] += own.log_probs(around[i : i + SCORED], ids[i : i + SCORED])
+            yield pa.RecordBatch.from_pydict(
+                {"row": batch.column(0).slice(a, b - a), "key": batch.column(1).slice(a, b - a), "n_tokens": pa.array(np.bincount(doc, minlength=b - a), pa.int64()), "log_prob": pa.array(np.bincount(doc, logs, minlength=b - a), pa.float64())}
+            )
 
-    kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, n_tokens long, log_prob double")
-    return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))).withColumnRenamed("key", key)
+    kind = rows.schema["key"].dataType.simpleString()
+    known = rows.select("row", "key", "ids").mapInArrow(run, f"row long, key {kind}, n_tokens long, log_prob double")
+    shares = rows.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
+    shares = shares.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(1)) - 1 + PRIOR)).alias("share"))
+    out = known.join(shares, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("share", F.lit(0.0)))
+    return out.select("key", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    words = vocabulary(docs, text)
-    return score(docs, words, train(docs, text, words), key, text)
+    counts = word_counts(docs, text)
+    words = vocabulary(counts)
+    rows = word_ids(docs, words, key, text)
+    return score(rows, words, train(rows), counts).withColumnRenamed("key", key)

@@ -3,6 +3,7 @@
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -137,14 +138,60 @@ def test_network_sums_to_one_and_scores_by_definition(spark):
     around = rng.integers(0, pseudo_likelihood.PAD + 1, (1, 4))
     every = np.arange(pseudo_likelihood.PAD)
     assert abs(np.exp(net.log_probs(np.repeat(around, len(every), axis=0), every)).sum() - 1) < 1e-3
-    words = pseudo_likelihood.Vocabulary([])
-    docs = spark.createDataFrame([(1, "a b c a"), (2, None), (3, "A")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pseudo_likelihood.score(docs, words, net).collect()}
-    keys, doc = pseudo_likelihood.word_keys([b"a b c a"])
-    ids = words.ids_of(keys).tolist()
-    padded = [pseudo_likelihood.PAD] * 2 + ids + [pseudo_likelihood.PAD] * 2
-    total = sum(net.log_probs(np.array([[*padded[i : i + 2], *padded[i + 3 : i + 5]]]), np.array([ids[i]]))[0] for i in range(4))
-    assert abs(got[1]["log_prob"] - total) < 1e-4 and got[2]["log_prob"] == 0 and got[2]["mean_log_prob"] is None and got[3]["n_tokens"] == 1
+    docs = spark.createDataFrame([(1, "a b c a"), (2, None), (3, "A"), (1, "zz a"), (None, ""), (4, "b"), (4, "b")], "doc_id long, text string")
+    counts = pseudo_likelihood.word_counts(docs)
+    for words in (pseudo_likelihood.vocabulary(counts), pseudo_likelihood.Vocabulary([], *grouped(counts))):
+        rows = pseudo_likelihood.word_ids(docs, words)
+        got = sorted(((r["key"], r["n_tokens"], r["log_prob"], r["mean_log_prob"]) for r in pseudo_likelihood.score(rows, words, net, counts).collect()), key=str)
+        n = Counter(w for t in ("a b c a", "a", "zz a", "b", "b") for w in t.split())
+        alike = lambda w: [x for x in n if x[-1] == w[-1]]
+        want = []
+        for d, t in [(1, "a b c a"), (2, ""), (3, "a"), (1, "zz a"), (None, ""), (4, "b"), (4, "b")]:
+            tokens = t.split()
+            ids = words.ids_of(pseudo_likelihood.word_keys([t.encode()])[0]).tolist()
+            padded = [pseudo_likelihood.PAD] * 2 + ids + [pseudo_likelihood.PAD] * 2
+            total = sum(net.log_probs(np.array([[*padded[i : i + 2], *padded[i + 3 : i + 5]]]), np.array([ids[i]]))[0] for i in range(len(ids)))
+            for w, i in zip(tokens, ids):
+                if i >= pseudo_likelihood.WORDS:
+                    total += np.log((n[w] - 1 + 0.1) / (sum(n[x] for x in alike(w)) - 1 + 0.1 * len(alike(w))))
+            want.append((d, len(tokens), total, total / len(tokens) if tokens else None))
+        assert [(g[0], g[1]) for g in got] == [(w[0], w[1]) for w in sorted(want, key=str)]
+        assert np.allclose(sorted(g[2] for g in got), sorted(w[2] for w in want), atol=1e-4)
+    assert sum(g[3] is None for g in got) == 2
+
+
+def grouped(counts):
+    n, kinds = np.zeros(pseudo_likelihood.RARE), np.zeros(pseudo_likelihood.RARE)
+    for r in counts.collect():
+        n[r["word"] % pseudo_likelihood.RARE] += r["n"]
+        kinds[r["word"] % pseudo_likelihood.RARE] += 1
+    return n, kinds
+
+
+def test_gradients_equal_differences():
+    """Each parameter block's gradient against central differences of the mean loss, in double precision."""
+
+    class Exact(pseudo_likelihood.Network):
+        DTYPE = np.float64
+
+        def _step(self, name, at, grad, seen):
+            seen.setdefault(name, np.zeros(self.SHAPES[name]))[at] += grad
+
+    rng = np.random.default_rng(4)
+    net = Exact(rng.standard_normal(pseudo_likelihood.Network().flat.size) * 0.3)
+    around, target = rng.integers(0, pseudo_likelihood.PAD + 1, (50, 4)), rng.integers(0, pseudo_likelihood.PAD, 50)
+    around[:, 1] = 7
+    grads: dict = {}
+    net.learn(around, target, grads)
+    for name, grad in grads.items():
+        own = getattr(net, name).reshape(-1)
+        for i in np.argsort(-np.abs(grad.reshape(-1)))[:4].tolist() + rng.integers(0, own.size, 2).tolist():
+            loss = []
+            for d in (1e-4, -2e-4):
+                own[i] += d
+                loss.append(-net.log_probs(around, target).mean())
+            own[i] += 1e-4
+            assert abs((loss[0] - loss[1]) / 2e-4 - grad.reshape(-1)[i]) < 1e-6, name
 
 
 def test_training_prefers_the_order_it_saw(spark):
@@ -152,27 +199,36 @@ def test_training_prefers_the_order_it_saw(spark):
     texts = [" ".join(f"k{(s + i) % 50}" for i in range(60)) for s in (r.randrange(50) for _ in range(300))]
     mixed = [" ".join(r.sample(t.split(), 60)) for t in texts[:30]]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    words = pseudo_likelihood.vocabulary(docs, "text")
-    net = pseudo_likelihood.train(docs, "text", words, 3)
-    mean = lambda ts: pseudo_likelihood.score(spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "doc_id long, text string"), words, net).agg(F.avg("mean_log_prob")).first()[0]
+    counts = pseudo_likelihood.word_counts(docs)
+    words = pseudo_likelihood.vocabulary(counts)
+    net = pseudo_likelihood.train(pseudo_likelihood.word_ids(docs, words), 3)
+
+    def mean(ts):
+        own = spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "doc_id long, text string")
+        return pseudo_likelihood.score(pseudo_likelihood.word_ids(own, words), words, net, counts).agg(F.avg("mean_log_prob")).first()[0]
+
     assert mean(texts[:30]) > mean(mixed) + 0.5
     assert pseudo_likelihood.lm_scores(docs.limit(0)).count() == 0
 
 
-def test_each_word_has_its_own_probability(spark):
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    r = random.Random(3)
-    docs = spark.createDataFrame([(i, " ".join("".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(30))) for i in range(60)], "doc_id long, text string")
-    words = pseudo_likelihood.Vocabulary([])
-    net = pseudo_likelihood.train(docs, "text", words, 1)
-    every = [*letters, *(a + b for a in letters for b in letters), *(a + b + c for a in "abc" for b in "abc" for c in "abc")]
-    one = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
-    got = {every[x["doc_id"]]: x["log_prob"] for x in pseudo_likelihood.score(one, words, net).collect()}
-    assert sum(np.exp(x) for x in got.values()) < 1
-    assert got["ba"] > got["qa"] + 1 and got["cab"] > got["zb"] and len({round(got[x + "a"], 6) for x in "abcq"}) == 4
-    steps = np.exp(net.spelling.steps.astype(float)).reshape(pseudo_likelihood.SPELLED).sum(axis=2)
-    groups = np.bincount(pseudo_likelihood._GROUP, np.exp(net.spelling.last), minlength=64)
-    assert np.allclose(steps, 1, atol=1e-4) and np.allclose(groups, 1)
+def test_parameters_are_averaged_by_positions(spark):
+    parts = [(b, p // 2, float(p + 1), [float(p), 2.0 * b]) for b in (0, 1024) for p in range(5)]
+    df = spark.createDataFrame(parts, "block long, some long, positions double, own array<float>")
+    got = {r["block"]: r["own"] for r in pseudo_likelihood._averaged(df).collect()}
+    assert np.allclose(got[0], [sum(p * (p + 1) for p in range(5)) / 15, 0]) and np.allclose(got[1024], [sum(p * (p + 1) for p in range(5)) / 15, 2048])
+
+
+def test_corpus_counts_tell_words_apart(spark):
+    """Words outside the vocabulary: one that stands twice is likelier than one that stands once; odd columns and long texts pass."""
+    base = " ".join(f"common{i}" for i in range(50))
+    rows = [(i, base, "x") for i in range(30)] + [(100, "onceword " * 1, "y"), (101, "twiceword", "y"), (102, "twiceword", "y"), (103, "w " * 400_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    counts = pseudo_likelihood.word_counts(docs)
+    words = pseudo_likelihood.Vocabulary([], *grouped(counts))
+    own = pseudo_likelihood.word_ids(docs, words)
+    got = {r["key"]: r for r in pseudo_likelihood.score(own, words, pseudo_likelihood.Network(), counts).collect()}
+    assert got[101]["log_prob"] > got[100]["log_prob"] + 1 and got[101]["log_prob"] == got[102]["log_prob"] and got[103]["n_tokens"] == 400_000
+    assert len({round(got[i]["log_prob"], 9) for i in range(30)}) == 1
 
 
 def test_hilbert_steps_are_adjacent():
