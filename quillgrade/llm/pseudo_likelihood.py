@@ -125,66 +125,84 @@ class Network:
             at += int(np.prod(s))
 
     @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    def _softmax(x: np.ndarray) -> np.ndarray:
+        x -= x.max(axis=1, keepdims=True)
+        np.exp(x, out=x)
+        x /= x.sum(axis=1, keepdims=True)
+        return x
 
     @staticmethod
-    def _log_of(x: np.ndarray, column: np.ndarray) -> np.ndarray:
-        """One column of the log-softmax of each row; ``x`` is overwritten."""
-        x -= x.max(axis=1, keepdims=True)
+    def _log_of(x: np.ndarray, column: np.ndarray, large: bool) -> np.ndarray:
+        """One column of the log-softmax of each row; ``x`` is overwritten. ``large``: its exponentials may overflow."""
+        if large:
+            x -= x.max(axis=1, keepdims=True)
         own = x[np.arange(len(x)), column]
-        return own - np.log(np.exp(x, out=x).sum(axis=1))
+        np.exp(x, out=x)
+        return own - np.log(x @ np.ones(x.shape[1], dtype=x.dtype))
+
+    @staticmethod
+    def _large(weights: np.ndarray, bias: np.ndarray) -> bool:
+        """Whether a product with a hidden layer, whose values are within 1, may pass what an exponential can hold."""
+        return bool((np.abs(weights).sum(axis=1) + np.abs(bias)).max() > 80)
+
+    @staticmethod
+    def _by_kind(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order by class, and where each class starts."""
+        kind = target % CLASSES
+        return np.argsort(kind.astype(np.uint8), kind="stable"), np.r_[0, np.cumsum(np.bincount(kind, minlength=CLASSES))]
 
     def hidden(self, around: np.ndarray):
-        x = self.embed[around].reshape(len(around), -1)
+        x = np.take(self.embed, around, axis=0).reshape(len(around), -1)
         return x, np.tanh(x @ self.mix + self.bias)
 
     def log_probs(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         _, h = self.hidden(around)
-        kind, word = target % CLASSES, target // CLASSES
-        out = self._log_of(h @ self.kinds.T + self.kinds_bias, kind).astype(np.float64)
-        order = np.argsort(kind, kind="stable")
-        cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        out = self._log_of(h @ self.kinds.T + self.kinds_bias, target % CLASSES, self._large(self.kinds, self.kinds_bias)).astype(np.float64)
+        order, cut = self._by_kind(target)
+        h, word = h[order], (target // CLASSES)[order]
+        inner = np.zeros(len(target))
         for c in range(CLASSES):
-            own = order[cut[c] : cut[c + 1]]
-            if len(own):
-                out[own] += self._log_of(h[own] @ self.words[c].T + self.words_bias[c], word[own])
+            a, b = cut[c], cut[c + 1]
+            if b > a:
+                inner[a:b] = self._log_of(h[a:b] @ self.words[c].T + self.words_bias[c], word[a:b], self._large(self.words[c], self.words_bias[c]))
+        out[order] += inner
         return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, seen: dict) -> None:
         """One Adagrad step on a batch."""
         n = len(target)
+        order, cut = self._by_kind(target)
+        around, target = around[order], target[order]
         x, h = self.hidden(around)
         kind, word = target % CLASSES, target // CLASSES
-        p = np.exp(self._log_softmax(h @ self.kinds.T + self.kinds_bias))
+        p = self._softmax(h @ self.kinds.T + self.kinds_bias)
         p[np.arange(n), kind] -= 1
         p /= n
         dh = p @ self.kinds
         self._step("kinds", slice(None), p.T @ h, seen)
         self._step("kinds_bias", slice(None), p.sum(axis=0), seen)
-        order = np.argsort(kind, kind="stable")
-        cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            own = order[cut[c] : cut[c + 1]]
-            if len(own):
-                q = np.exp(self._log_softmax(h[own] @ self.words[c].T + self.words_bias[c]))
-                q[np.arange(len(own)), word[own]] -= 1
+            a, b = cut[c], cut[c + 1]
+            if b > a:
+                q = self._softmax(h[a:b] @ self.words[c].T + self.words_bias[c])
+                q[np.arange(b - a), word[a:b]] -= 1
                 q /= n
-                dh[own] += q @ self.words[c]
-                self._step("words", c, q.T @ h[own], seen)
+                dh[a:b] += q @ self.words[c]
+                self._step("words", c, q.T @ h[a:b], seen)
                 self._step("words_bias", c, q.sum(axis=0), seen)
         dz = dh * (1 - h * h)
         dx = (dz @ self.mix.T).reshape(-1, WIDTH)
         self._step("mix", slice(None), x.T @ dz, seen)
         self._step("bias", slice(None), dz.sum(axis=0), seen)
         ids = around.reshape(-1)
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
         head = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
         self._step("embed", ids[order][head], np.add.reduceat(dx[order], head, axis=0), seen)
 
     def _step(self, name, at, grad, seen) -> None:
-        past = seen.setdefault(name, np.full(self.SHAPES[name], 1e-6, dtype=self.DTYPE))
+        if name not in seen:
+            seen[name] = np.full(self.SHAPES[name], 1e-6, dtype=self.DTYPE)
+        past = seen[name]
         past[at] += grad * grad
         getattr(self, name)[at] -= RATE * grad / np.sqrt(past[at])
 
@@ -327,7 +345,8 @@ def score(rows: DataFrame, words: Vocabulary, network: Network, counts: DataFram
 
     kind = rows.schema["key"].dataType.simpleString()
     known = rows.select("row", "key", "ids").mapInArrow(run, f"row long, key {kind}, n_tokens long, log_prob double")
-    shares = rows.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
+    again = counts.where("n > 1").hint("shuffle_hash")  # a row each word, so its parts are even and small
+    shares = rows.select("row", F.explode("rare").alias("word")).join(again, "word", "left")
     shares = shares.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(1)) - 1 + PRIOR)).alias("share"))
     out = known.join(shares, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("share", F.lit(0.0)))
     return out.select("key", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
