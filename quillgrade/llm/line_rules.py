@@ -2,14 +2,25 @@ r"""Quality rules: base counts, and line labels from a linear-chain conditional
 
 Each line with a word is an observation; Viterbi decoding marks it content or
 boilerplate, and a text stays when at least half of its word characters stand in
-content lines (and its base counts don't fail it). The field is trained by
-gradient ascent on the likelihood of the lines of at most ``most`` labelled
-documents that aren't held out (those with the least hash of their id), whose
-lines take their document's label.
+content lines (and its base counts don't fail it).
+
+The field is trained on the lines of at most ``most`` labelled documents that aren't
+held out (those with the least hash of their id, of ``MOST_LINES`` lines at most each).
+The labels are of documents, so the lines' own are latent:
+
+- lines that equal an earlier line of their text, or that stand in ``COMMON`` or more of these
+  documents (the field keeps their keys), are boilerplate;
+- all others start with their document's label. A first model without transitions
+  labels line by line, so that texts hold lines of both kinds; then the whole field is
+  trained ``ROUNDS`` times on its own labels. After each round the document's label is a
+  constraint: in a good document lines of at least half of the word characters are
+  content, in a bad one of less than half; where the labels break it, the least
+  certain lines change.
 
 Words are runs of ``[^\x20\x09-\x0D]``; a null text has none. A text without words
 fails the base rules. With no labelled rows every line counts as content. Repeated
-rows are judged alike; columns besides key and text aren't read.
+rows are judged alike; a text of any length is worked on whole, in one task; an empty
+table gives no rows. Columns besides key and text aren't read.
 """
 
 from __future__ import annotations
@@ -24,6 +35,9 @@ from quillgrade.llm.flatwords import unit_keys
 from quillgrade.llm.knn_quality import held_out
 
 MOST_LABELLED = 2000
+MOST_LINES = 2000
+COMMON = 3
+ROUNDS = 4
 CHUNK_BYTES = 2_000_000
 CONTENT_SHARE = 0.5
 CONTENT = 1
@@ -53,7 +67,8 @@ STEPS = {
     "word_chars": [3, 6, 10],
     "bangs": [0.01, 0.05],
 }
-N_FEATURES = 3 + sum(map(len, STEPS.values()))
+#: One for all lines, a repeated line, a sentence end, the steps, and a line known to be common.
+N_FEATURES = 4 + sum(map(len, STEPS.values()))
 
 
 class Lines:
@@ -119,7 +134,11 @@ class Lines:
         last = np.zeros(len(line_end), dtype=np.int64)
         last[line] = end - 1
         columns = [np.ones(len(w)), later[full], _END[data[last[full]]]] + [measures[k] >= s for k, steps in STEPS.items() for s in steps]
-        self.features = np.stack(columns, axis=1).astype(np.float32)
+        self.features = np.stack([*columns, np.zeros(len(w))], axis=1).astype(np.float32)
+        place = (np.arange(len(line)) - np.searchsorted(line, line)).astype(np.uint64)
+        mixed = (keys ^ (keys >> np.uint64(29))) * (place * np.uint64(2) + _MIX[2])
+        head = np.flatnonzero(fresh_line)
+        self.line_keys = np.add.reduceat(mixed, head) if len(head) else np.zeros(0, np.uint64)
         self.line_doc = line_doc[full]
         self.line_chars = chars[b] - chars[a]
         self.lines = np.bincount(self.line_doc, minlength=n)
@@ -157,9 +176,17 @@ class Lines:
 class LineField:
     """A two-state linear-chain conditional random field."""
 
-    def __init__(self):
+    def __init__(self, common: np.ndarray | None = None):
         self.emit = np.zeros((N_FEATURES, 2))
         self.move = np.zeros((2, 2))
+        self.common = np.zeros(0, np.uint64) if common is None else np.sort(common)
+
+    def observed(self, features: np.ndarray, line_keys: np.ndarray) -> np.ndarray:
+        """The features, with the mark of lines that are known to be common."""
+        out = features.astype(np.float64)
+        if len(self.common):
+            out[:, -1] = self.common[np.minimum(np.searchsorted(self.common, line_keys), len(self.common) - 1)] == line_keys
+        return out
 
     @staticmethod
     def _layout(lines: np.ndarray):
@@ -169,9 +196,28 @@ class LineField:
         sizes = lines[order]
         return starts[order], sizes, [int(np.searchsorted(-sizes, -t, side="left")) for t in range(int(sizes[0]) if len(sizes) else 0)]
 
-    def train(self, features: np.ndarray, labels: np.ndarray, lines: np.ndarray, steps: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> None:
-        """Adam on the mean log-likelihood of the label sequences."""
-        starts, sizes, active = self._layout(lines)
+    def marginals(self, features: np.ndarray, lines: np.ndarray, layout=None) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of each line's labels, and the expected transitions, by the forward-backward algorithm."""
+        starts, _, active = layout or self._layout(lines)
+        n = len(features)
+        e = features @ self.emit
+        fore, back = np.zeros((n, 2)), np.zeros((n, 2))
+        for t, k in enumerate(active):
+            at = starts[:k] + t
+            fore[at] = e[at] + (np.logaddexp.reduce(fore[at - 1][:, :, None] + self.move, axis=1) if t else 0)
+        for t in range(len(active) - 1, 0, -1):
+            at = starts[: active[t]] + t
+            back[at - 1] = np.logaddexp.reduce(self.move + (e[at] + back[at])[:, None, :], axis=2)
+        total = np.logaddexp.reduce(fore + back, axis=1)
+        inner = np.ones(n, dtype=bool)
+        inner[starts] = False
+        to = np.flatnonzero(inner)
+        pair = np.exp(fore[to - 1][:, :, None] + self.move + (e[to] + back[to])[:, None, :] - total[to][:, None, None]).sum(axis=0)
+        return np.exp(fore + back - total[:, None]), pair
+
+    def train(self, features: np.ndarray, labels: np.ndarray, lines: np.ndarray, steps: int = 200, rate: float = 0.1, ridge: float = 1e-3, chain: bool = True) -> None:
+        """Adam on the mean log-likelihood of the label sequences; without ``chain`` transitions stay 0."""
+        layout = self._layout(lines)
         n = len(features)
         if not n:
             return
@@ -179,24 +225,13 @@ class LineField:
         gold[np.arange(n), labels] = 1
         want_emit = features.T @ gold
         inner = np.ones(n, dtype=bool)
-        inner[starts] = False
+        inner[layout[0]] = False
         to = np.flatnonzero(inner)
         want_move = gold[to - 1].T @ gold[to]
         state = [np.zeros_like(self.emit), np.zeros_like(self.emit), np.zeros_like(self.move), np.zeros_like(self.move)]
         for step in range(1, steps + 1):
-            e = features @ self.emit
-            fore, back = np.zeros((n, 2)), np.zeros((n, 2))
-            for t, k in enumerate(active):
-                at = starts[:k] + t
-                fore[at] = e[at] + (np.logaddexp.reduce(fore[at - 1][:, :, None] + self.move, axis=1) if t else 0)
-            for t in range(len(active) - 1, 0, -1):
-                at = starts[: active[t]] + t
-                back[at - 1] = np.logaddexp.reduce(self.move + (e[at] + back[at])[:, None, :], axis=2)
-            total = np.zeros(n)
-            total[:] = np.logaddexp.reduce(fore + back, axis=1)
-            p = np.exp(fore + back - total[:, None])
-            pair = np.exp(fore[to - 1][:, :, None] + self.move + (e[to] + back[to])[:, None, :] - total[to][:, None, None]).sum(axis=0)
-            for name, grad, i in (("emit", (want_emit - features.T @ p) / n, 0), ("move", (want_move - pair) / n, 2)):
+            p, pair = self.marginals(features, lines, layout)
+            for name, grad, i in (("emit", (want_emit - features.T @ p) / n, 0), ("move", (want_move - pair) / n * chain, 2)):
                 value = getattr(self, name)
                 grad = grad - ridge * value
                 state[i] = 0.9 * state[i] + 0.1 * grad
@@ -228,6 +263,39 @@ class LineField:
         return out
 
 
+def constrained(marks: np.ndarray, content: np.ndarray, fixed: np.ndarray, chars: np.ndarray, lines: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Line labels that keep each document's label: the least certain lines that aren't ``fixed`` change until its content share does."""
+    out = marks.copy()
+    upto = np.r_[0, np.cumsum(lines)]
+    for d, is_good in enumerate(good):
+        own = np.arange(upto[d], upto[d + 1])
+        total, have = chars[own].sum(), chars[own][out[own] == CONTENT].sum()
+        ranked = own[np.argsort(-content[own] if is_good else content[own], kind="stable")]
+        for i in ranked:
+            if (have >= CONTENT_SHARE * total) == bool(is_good):
+                break
+            if not fixed[i] and (out[i] == CONTENT) != is_good:
+                out[i] = int(is_good)
+                have += chars[i] if is_good else -chars[i]
+    return out
+
+
+def learn(features: np.ndarray, line_keys: np.ndarray, chars: np.ndarray, lines: np.ndarray, good: np.ndarray) -> LineField:
+    """The field of documents with labels; the labels of their lines are latent."""
+    doc = np.repeat(np.arange(len(lines)), lines)
+    pairs = np.unique(np.stack([line_keys, doc.astype(np.uint64)]), axis=1)
+    found, n = np.unique(pairs[0], return_counts=True)
+    field = LineField(found[n >= COMMON])
+    x = field.observed(features, line_keys)
+    fixed = (x[:, 1] > 0) | (x[:, -1] > 0)
+    marks = np.where(fixed, 1 - CONTENT, np.repeat(good.astype(np.int64), lines))
+    for turn in range(1 + ROUNDS):
+        field.train(x, marks, lines, steps=80 if turn else 200, chain=turn > 0)
+        content = field.marginals(x, lines)[0][:, CONTENT]
+        marks = constrained(np.where(fixed, 1 - CONTENT, field.decode(x, lines)), content, fixed, chars, lines, good)
+    return field
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELLED) -> LineField:
     chosen = labels.where(~held_out(key) & F.col(label).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("__key"), "__label").limit(most)
@@ -236,21 +304,31 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def run(batches):
         for batch in batches:
             for i, t in enumerate(utf8(batch.column(1))):
-                lines = Lines([t or b""])
-                yield pa.RecordBatch.from_pydict({"key": batch.column(2).slice(i, 1), "label": batch.column(0).slice(i, 1), "lines": pa.array([int(lines.lines[0])], pa.int64()), "features": pa.array([np.packbits(lines.features > 0, axis=1).tobytes()], pa.binary())})
-
-    found = sorted(rows.mapInArrow(run, "key string, label int, lines long, features binary").collect(), key=lambda r: (r["key"], r["label"], bytes(r["features"])))
-    field = LineField()
-    if found:
-        counts = np.array([r["lines"] for r in found], dtype=np.int64)
-        packed = np.frombuffer(b"".join(bytes(r["features"]) for r in found), np.uint8).reshape(int(counts.sum()), -1)
-        features = np.unpackbits(packed, axis=1)[:, :N_FEATURES].astype(np.float64)
-        field.train(features, np.repeat([int(r["label"] == 1) for r in found], counts), counts)
-    return field
+                own = Lines([t or b""])
+                if own.lines[0] <= MOST_LINES:
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "key": batch.column(2).slice(i, 1),
+                            "label": batch.column(0).slice(i, 1),
+                            "lines": pa.array([int(own.lines[0])], pa.int64()),
+                            "features": pa.array([np.packbits(own.features > 0, axis=1).tobytes()], pa.binary()),
+                            "line_keys": pa.array([own.line_keys.tobytes()], pa.binary()),
+                            "chars": pa.array([own.line_chars.astype(np.int64).tobytes()], pa.binary()),
+                        }
+                    )
+
+    # rows after the join are bounded too: an id may stand in many documents
+    found = rows.mapInArrow(run, "key string, label int, lines long, features binary, line_keys binary, chars binary").orderBy("key", "label", "features", "line_keys").limit(most).collect()
+    if not found:
+        return LineField()
+    counts = np.array([r["lines"] for r in found], dtype=np.int64)
+    joined = lambda c, kind: np.frombuffer(b"".join(bytes(r[c]) for r in found), kind)
+    features = np.unpackbits(joined("features", np.uint8).reshape(int(counts.sum()), -1), axis=1)[:, :N_FEATURES] if counts.sum() else np.zeros((0, N_FEATURES))
+    return learn(features, joined("line_keys", np.uint64), joined("chars", np.int64), counts, np.array([r["label"] == 1 for r in found]))
 
 
 def judge(docs: DataFrame, field: LineField, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts and verdict of each text, with the share of its word characters in content lines."""
+    """Counts and verdict of each text, with the share of its word characters in content lines and the numbers of lines."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(field)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -261,7 +339,7 @@ def judge(docs: DataFrame, field: LineField, key: str = "doc_id", text: str = "t
             texts = [b"" if t is None else t for t in utf8(batch.column(1))]
             for a, b in chunks([len(t) for t in texts], CHUNK_BYTES):
                 lines = Lines(texts[a:b])
-                marks = f.decode(lines.features.astype(np.float64), lines.lines)
+                marks = f.decode(f.observed(lines.features, lines.line_keys), lines.lines)
                 content = np.bincount(lines.line_doc, lines.line_chars * (marks == CONTENT), minlength=b - a)
                 share = np.divide(content, lines.word_chars, out=np.zeros(b - a), where=lines.word_chars > 0)
                 failed = (lines.n_words < 50) | (100 * lines.n_repeat_words > 50 * lines.n_words)
@@ -269,10 +347,11 @@ def judge(docs: DataFrame, field: LineField, key: str = "doc_id", text: str = "t
                     {"key": batch.column(0).slice(a, b - a)}
                     | {c: pa.array(getattr(lines, c), pa.int64()) for c in names}
                     | {"base_failed": failed, "kept": ~failed & (share >= CONTENT_SHARE), "content_share": share}
+                    | {"n_lines": pa.array(lines.lines, pa.int64()), "n_content_lines": pa.array(np.bincount(lines.line_doc[marks == CONTENT], minlength=b - a), pa.int64())}
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, " + ", ".join(f"{c} long" for c in names) + ", base_failed boolean, kept boolean, content_share double"
+    schema = f"key {kind}, " + ", ".join(f"{c} long" for c in names) + ", base_failed boolean, kept boolean, content_share double, n_lines long, n_content_lines long"
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 

@@ -177,12 +177,80 @@ def test_viterbi_and_gradient():
     assert (field.decode(features, lines) == gold).mean() > 0.85
 
 
+def rule_corpus():
+    """Good texts with a common footer and noise lines, bad texts with a few plain lines."""
+    r = np.random.default_rng(6)
+    plain = lambda: " ".join("w%d" % x for x in r.integers(0, 3000, 14)) + "."
+    noise = lambda: " ".join("W%d###" % x for x in r.integers(0, 3000, 14))
+    rows, labels, kinds = [], [], {}
+    for i in range(120):
+        good = i % 4 != 0
+        own = [(noise() if r.random() < (0.15 if good else 0.85) else plain()) for _ in range(12)]
+        if good:
+            own.insert(6, "Printed by the same press, all rights kept.")
+        kinds[i] = own
+        rows.append((i, "\n".join(own)))
+        labels.append((i, int(good)))
+    return rows, labels, kinds
+
+
+def test_lines_of_one_text_get_labels_of_both_kinds(spark):
+    rows, labels, kinds = rule_corpus()
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, kept double")
+    field = line_rules.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    hits = total = mixed = 0
+    for i, own in kinds.items():
+        x = line_rules.Lines([rows[i][1].encode()])
+        marks = field.decode(field.observed(x.features, x.line_keys), x.lines)
+        truth = ["###" not in t and not t.startswith("Printed") for t in own]
+        hits += sum(int(a) == int(b) for a, b in zip(marks, truth))
+        total += len(own)
+        mixed += 0 < marks.sum() < len(marks)
+    assert hits / total > 0.95 and mixed > 80
+    # the verdict, line by line in plain steps
+    got = {r["doc_id"]: r for r in line_rules.judge(docs, field).collect()}
+    for i, t in rows:
+        x = line_rules.Lines([t.encode()])
+        e = field.observed(x.features, x.line_keys) @ field.emit
+        best = [([m], e[0, m]) for m in (0, 1)]
+        for k in range(1, len(e)):
+            best = [max(((path + [m], v + field.move[path[-1], m] + e[k, m]) for path, v in best), key=lambda b: b[1]) for m in (0, 1)]
+        path = max(best, key=lambda b: b[1])[0]
+        chars = [sum(len(w) for w in line.split()) for line in t.split("\n")]
+        share = sum(c for c, m in zip(chars, path) if m) / sum(chars)
+        n, *_, repeats = brute_counts(t)
+        assert abs(got[i]["content_share"] - share) < 1e-9 and got[i]["n_content_lines"] == sum(path)
+        assert got[i]["kept"] == (share >= 0.5 and not (n < 50 or 100 * repeats > 50 * n))
+
+
+def test_documents_hold_the_labels_of_their_lines():
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        lines = r.integers(0, 7, 4)
+        n = int(lines.sum())
+        marks, fixed, chars, content, good = r.integers(0, 2, n), r.random(n) < 0.3, r.integers(1, 30, n), r.random(n), r.integers(0, 2, 4)
+        out = line_rules.constrained(marks, content, fixed, chars, lines, good)
+        at = 0
+        for k, g in zip(lines, good):
+            own = slice(at, at + k)
+            at += k
+            assert (out[own][fixed[own]] == marks[own][fixed[own]]).all()
+            met = (chars[own][out[own] == 1].sum() >= 0.5 * chars[own].sum()) == bool(g)
+            free = ~fixed[own] & (marks[own] != g)
+            assert met or (out[own][free] == g).all()  # else nothing is left to change
+            changed = out[own] != marks[own]
+            assert not changed.any() or max(abs(content[own][changed] - g)) <= min([*abs(content[own][free & ~changed] - g), 1])
+
+
 def test_rules_on_odd_rows(spark):
-    docs = frame(spark, [None, "", "word " * 20, "a b c " * 40, " ".join(f"w{i}" for i in range(80))])
-    labels = spark.createDataFrame([(4, 1), (None, 1), (2, None)], "doc_id long, quality int")
-    got = {r["doc_id"]: r for r in line_rules.quality_rules(docs, labels).collect()}
-    assert [got[i]["base_failed"] for i in range(5)] == [True, True, True, True, False] and got[4]["kept"] and not got[0]["kept"]
+    texts = [None, "", "word " * 20, "a b c " * 40, " ".join(f"w{i}" for i in range(80)), "x y z\n" * 200_000]
+    docs = frame(spark, texts).withColumn("kept", F.lit("clash"))
+    labels = spark.createDataFrame([(4, 1), (None, 1), (2, None), (4, 1), (5, 0)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in line_rules.quality_rules(docs.union(docs), labels).collect()}
+    assert [got[i]["base_failed"] for i in range(6)] == [True, True, True, True, False, True] and got[4]["kept"] and not got[0]["kept"]
+    assert got[5]["n_lines"] == 200_000 and got[5]["n_dup_lines"] == 199_999
     assert line_rules.quality_rules(docs, labels.limit(0)).where("doc_id = 4").first()["kept"]
+    assert line_rules.quality_rules(docs.limit(0), labels).count() == 0
 
 
 TRICKY = [r"\### Assistant: </turn> ok", "", None, "<turn>a</turn><turn>b", "#### \\h \\b \\\\", "😀 ###### : user: ", "\n### user: <turn>"]
