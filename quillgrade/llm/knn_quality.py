@@ -8,9 +8,11 @@ The labelled vectors go to every executor, exact cosine products with all of the
 are computed in blocks, and the nearest vote with their similarity.
 
 The fit uses at most ``most`` labelled rows, those with the least hash of their id;
-scores cover every row. A null text counts as empty; a text without words has no
+document frequencies are counted over all documents, and scores cover every row. A null text counts as empty; a text without words has no
 direction and gets the labelled rows' mean. Rows without a label, or with a null
-one, don't vote; a document labelled twice votes twice. Label, language, source and
+one, don't vote; a document labelled twice votes twice. Repeated rows score alike, a
+text of any length is worked on whole, an empty table gives no rows, and a column
+that stands under the score's name is replaced. Label, language, source and
 id are no inputs of a score.
 """
 
@@ -19,10 +21,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, fresh, utf8
+from quillgrade.llm.common import chunks, fresh, sum_arrays, utf8
 from quillgrade.llm.flatwords import unit_keys
 
 WORD_TERMS = 2048
@@ -93,10 +96,9 @@ def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 class Model:
     """Term weights, directions, and the labelled vectors with their labels."""
 
-    def __init__(self, rows, terms, shares, labels, directions: int = DIRECTIONS, neighbours: int = NEIGHBOURS):
+    def __init__(self, rows, terms, shares, labels, documents: float, df: np.ndarray, directions: int = DIRECTIONS, neighbours: int = NEIGHBOURS):
         n = len(labels)
-        df = np.bincount(terms, minlength=TERMS)
-        self.weight = np.log((1 + n) / (1 + df)) + 0.1
+        self.weight = np.log((1 + documents) / (1 + df)) + 0.1
         self.weight[:WORD_TERMS] *= 0.3
         self.neighbours = min(neighbours, n)
         x = np.zeros((n, TERMS), dtype=np.float32)
@@ -145,8 +147,25 @@ def held_out(key) -> F.Column:
     return F.coalesce(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
+def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[float, np.ndarray]:
+    """The number of documents with a word, and how many of all hold each term."""
+
+    def run(batches):
+        total = np.zeros(TERMS + 1)
+        for batch in batches:
+            texts = [b"" if t is None else t for t in utf8(batch.column(0))]
+            for a, b in chunks([len(t) for t in texts], CHUNK_BYTES):
+                rows, terms, _ = term_counts(texts[a:b])
+                total[:TERMS] += np.bincount(terms, minlength=TERMS)
+                total[TERMS] += np.count_nonzero(np.diff(rows)) + 1 if len(rows) else 0
+        yield pa.RecordBatch.from_pydict({"some": pa.array([TaskContext.get().partitionId()], pa.int64()), "value": pa.array([total], pa.list_(pa.float64()))})
+
+    total = sum_arrays(docs.select(F.col(text)).mapInArrow(run, "some long, value array<double>"))
+    return (0.0, np.zeros(TERMS)) if total is None else (float(total[TERMS]), total[:TERMS])
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELLED) -> Model | None:
-    """Trains on at most ``most`` labelled rows that aren't held out; None where there are none."""
+    """Trains on at most ``most`` labelled rows that aren't held out, also where an id stands in many documents; None where there are none."""
     chosen = labels.where(~held_out(key) & F.col(label).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("float").alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("__key"), "__label").limit(most)
     rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__k") == F.col("__key")).select("__label", "__text", "__key")
@@ -158,17 +177,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 _, terms, shares = term_counts([t])
                 yield pa.RecordBatch.from_pydict({"key": batch.column(2).slice(i, 1).cast(pa.string()), "label": batch.column(0).slice(i, 1), "terms": pa.array([terms.tolist()], pa.list_(pa.int32())), "shares": pa.array([shares.tolist()], pa.list_(pa.float32()))})
 
-    found = rows.mapInArrow(run, "key string, label float, terms array<int>, shares array<float>").toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
+    found = rows.mapInArrow(run, "key string, label float, terms array<int>, shares array<float>").orderBy("key", "label", "terms", "shares").limit(most).toArrow()
     if not found.num_rows:
         return None
     lens = pc.list_value_length(found["terms"]).to_numpy()
     flat = lambda c: pc.list_flatten(found[c]).to_numpy()
-    return Model(np.repeat(np.arange(len(lens)), lens), flat("terms").astype(np.int64), flat("shares").astype(np.float64), found["label"].to_numpy())
+    return Model(np.repeat(np.arange(len(lens)), lens), flat("terms").astype(np.int64), flat("shares").astype(np.float64), found["label"].to_numpy(), *document_frequencies(docs, text))
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", into: str = "score") -> DataFrame:
     """Adds the score to every row and keeps all columns; 0.5 everywhere where nothing was learned."""
     spark = docs.sparkSession
+    docs = docs.drop(into)
     if model is None:
         return docs.withColumn(into, F.lit(0.5))
     sent = spark.sparkContext.broadcast(model)

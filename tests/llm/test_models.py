@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgrade.llm import knn_quality, near_dedup, pseudo_likelihood, sharding
+from quillgrade.llm import common, knn_quality, near_dedup, pseudo_likelihood, sharding
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -122,6 +122,44 @@ def test_quality_on_held_out_labels(spark):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows)
 
 
+def test_votes_equal_plain_loops(spark):
+    r = random.Random(9)
+    texts = [None, "", "one"] + [" ".join(r.choice(["word", "Text", "###", "12", "x!", "zz"]) + r.choice(["", "s", "!"]) for _ in range(r.randrange(1, 60))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int(r.random() < 0.6)) for i in range(0, 60, 2)], "doc_id long, quality int")
+    model = knn_quality.fit(docs, labels)
+    held = [set(knn_quality.term_counts([(t or "").encode()])[1].tolist()) for t in texts]
+    n = sum(map(bool, held))
+    df = np.array([sum(k in h for h in held) for k in range(knn_quality.TERMS)])
+    weight = np.log((1 + n) / (1 + df)) + 0.1
+    weight[: knn_quality.WORD_TERMS] *= 0.3
+    assert np.allclose(model.weight, weight)
+
+    def unit(t):
+        _, terms, shares = knn_quality.term_counts([(t or "").encode()])
+        x = np.zeros(knn_quality.TERMS)
+        x[terms] = np.sqrt(shares) * weight[terms]
+        y = (x / (np.linalg.norm(x) or 1)) @ model.v
+        return y / np.linalg.norm(y) if np.linalg.norm(y) > 1e-6 else y
+
+    def plain(t):
+        sims = [(float(unit(t) @ v), float(y)) for v, y in zip(model.labelled, model.labels)]
+        near = sorted(sims, key=lambda s: -s[0])[: model.neighbours]
+        votes = [(max(s, 0) ** 4, y) for s, y in near]
+        total = sum(v for v, _ in votes)
+        return sum(v * y for v, y in votes) / total if total else model.mean
+
+    got = {x["doc_id"]: x["score"] for x in knn_quality.score(docs.union(docs), model).collect()}
+    assert all(abs(got[i] - plain(t)) < 1e-3 for i, t in enumerate(texts))
+    long = spark.createDataFrame([(1, "word " * 300_000), (2, "word " * 3)], "doc_id long, text string")
+    assert all(0 <= x["score"] <= 1 for x in knn_quality.score(long, model).collect())
+
+
+def test_arrays_are_summed(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(300)], "some long, value array<double>")
+    assert common.sum_arrays(df).tolist() == [sum(range(300)), 300] and common.sum_arrays(df.limit(0)) is None
+
+
 def test_quality_without_labels_and_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.2), (3, "a b c", 0.3)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(3, 1), (None, 0), (1, None)], "doc_id long, quality int")
