@@ -1,24 +1,28 @@
 """Hilbert-curve sharding: rows near each other in several metadata dimensions share files.
 
 Each dimension is quantised into cells of about equal row counts: cut points are
-percentiles over all rows. Text dimensions count by the bytes behind the prefix that
-all values share. The cells' Hilbert index orders the rows, ties by key and by the
-rest of the row; the order is cut into runs whose row counts differ by one at most.
+percentiles over all rows, for text dimensions the values themselves where the running
+row count of the sorted values passes a step. The cells' Hilbert index orders the rows,
+then the columns of ``together`` (rows alike in them stand side by side in their cell), the
+key and the rest of the row; the order is cut into runs whose row counts differ by one
+at most. The cut goes by counts alone: it may run through a group of equal rows.
 
 Null dimension values lie in the first cell; null texts have no bytes. A cell may
 hold a third of all rows: the cut runs through it, and so do the partitions, as the
-key is part of the order. Repeated rows are adjacent; an empty table gives no rows.
+key is part of the order. Repeated rows are adjacent; an empty table gives no rows. Where
+a table has a column named as one of the new ones, the new one has an underscore in
+front.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrade.llm.common import materialise
+from quillgrade.llm.common import fresh, materialise
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -49,59 +53,54 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _shared_prefix(a: str | None, b: str | None) -> int:
-    x, y = (a or "").encode(), (b or "").encode()
-    n = 0
-    while n < min(len(x), len(y)) and x[n] == y[n]:
-        n += 1
-    return n
-
-
-def _codes(df: DataFrame, dims: list[str]) -> list[Column]:
-    """Each dimension as a double that keeps its order."""
-    texts = [d for d in dims if isinstance(df.schema[d].dataType, T.StringType)]
-    prefix = {}
-    if texts:
-        ends = df.agg(*[f(F.col(d)).alias(f"{k}{i}") for i, d in enumerate(texts) for k, f in (("lo", F.min), ("hi", F.max))]).first()
-        prefix = {d: _shared_prefix(ends[f"lo{i}"], ends[f"hi{i}"]) for i, d in enumerate(texts)}
-    coded = []
-    for d in dims:
-        if d in prefix:
-            bytes_ = F.rpad(F.hex(F.substring(F.encode(F.col(d), "UTF-8"), prefix[d] + 1, 6)), 12, "0")
-            coded.append(F.conv(bytes_, 16, 10).cast("double"))
-        else:
-            coded.append(F.col(d).cast("double"))
-    return coded
-
-
-def hilbert_shards(df: DataFrame, dims: list[str], key: str, n_shards: int, bits: int = 5) -> DataFrame:
+def _running(rows: DataFrame, order: list[str], into: str, label: str, weight: Column | None = None) -> tuple[DataFrame, int]:
+    """The rows, sorted and written, with the sum of ``weight`` (else their number) over all rows before each; and the sum of all."""
+    part, at, own = fresh(rows, "__part"), fresh(rows, "__at"), fresh(rows, "__weight")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(own, F.lit(1).cast("long") if weight is None else weight.cast("long"))
+    placed = materialise(placed.withColumn(at, F.monotonically_increasing_id()), label)
+    placed = placed.withColumn(part, F.shiftright(at, 33))
+    sums = placed.groupBy(part).agg(F.sum(own).alias(own)).orderBy(part).collect()  # one row a partition
+    total, starts = 0, []
+    for r in sums:
+        starts.append((r[part], total))
+        total += r[own]
+    before, inner = fresh(placed, "__before"), Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    known = placed.sparkSession.createDataFrame(starts, f"{part} long, {before} long")
+    ahead = F.col(at).bitwiseAND((1 << 33) - 1) if weight is None else F.coalesce(F.sum(own).over(inner), F.lit(0))
+    out = placed.withColumn(into, ahead).join(F.broadcast(known), part).withColumn(into, F.col(into) + F.col(before))
+    return out.drop(part, at, own, before), total
+
+
+def _text_cuts(df: DataFrame, dim: str, cells: int) -> list[str]:
+    """The values at which a new cell starts: at most ``cells`` - 1."""
+    counts = df.where(F.col(dim).isNotNull()).groupBy(F.col(dim).alias("value")).agg(F.count("*").alias("n"))
+    ranked, total = _running(counts, ["value"], "before", "values", F.col("n"))
+    if not total:
+        return []
+    cell = F.floor(F.col("before") * cells / total)
+    return sorted(r["value"] for r in ranked.groupBy(cell.alias("cell")).agg(F.min("value").alias("value")).where("cell > 0").collect())  # a row each cell
+
+
+def hilbert_shards(df: DataFrame, dims: list[str], key: str, n_shards: int, bits: int = 5, together: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``hilbert``, ``position``, ``shard`` and ``slot``; the rows are written once to the shared folder."""
-    names = [f"__dim{i}" for i in range(len(dims))]
-    rows = df.withColumns(dict(zip(names, _codes(df, dims))))
+    hilbert, position, shard, slot = (fresh(df, n) for n in ("hilbert", "position", "shard", "slot"))
+    texts = [d for d in dims if isinstance(df.schema[d].dataType, T.StringType)]
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = rows.agg(*[F.percentile_approx(n, steps, 10_000).alias(n) for n in names]).first()
-    cuts = [np.unique(np.array(found[n] or [], dtype=float)) for n in names]
+    numbers = [d for d in dims if d not in texts]
+    found = df.agg(*[F.percentile_approx(F.col(d).cast("double"), steps, 10_000).alias(f"d{i}") for i, d in enumerate(numbers)]).first() if numbers else {}
+    cuts = {d: [F.lit(float(c)) for c in np.unique(found[f"d{i}"] or [])] for i, d in enumerate(numbers)} | {d: [F.lit(c) for c in _text_cuts(df, d, 1 << bits)] for d in texts}
+    cell = lambda d: sum(((F.col(d) if d in texts else F.col(d).cast("double")) >= c).cast("int") for c in cuts[d]) if cuts[d] else F.lit(0)
 
     @F.pandas_udf("long")
     def curve(*columns: pd.Series) -> pd.Series:
-        cells = np.stack([np.searchsorted(c, v.fillna(-np.inf).to_numpy(float), side="right") for c, v in zip(cuts, columns)], axis=1)
-        return pd.Series(hilbert_index(cells, bits))
-
-    order = ["hilbert", key, *[c for c in df.columns if c != key]]
-    placed = rows.withColumn("hilbert", curve(*names)).drop(*names).repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = materialise(placed.withColumn("__at", F.monotonically_increasing_id()), "hilbert")
-    part = F.shiftright("__at", 33)
-    sizes = placed.groupBy(part.alias("__part")).count().orderBy("__part").collect()  # one row a partition
-    total, starts = 0, []
-    for r in sizes:
-        starts.append((r["__part"], total))
-        total += r["count"]
-    before = placed.sparkSession.createDataFrame(starts, "__part long, __before long")
-    at = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)
-    placed = placed.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn("position", at)
-    shard = F.expr(f"position * {n_shards}L div {max(total, 1)}L")
-    first = F.expr(f"(shard * {total}L + {n_shards - 1}L) div {n_shards}L")
-    return placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("position") - first).drop("__part", "__before", "__at")
+        return pd.Series(hilbert_index(np.stack([v.to_numpy(np.int64) for v in columns], axis=1), bits))
+
+    rows = df.withColumn(hilbert, curve(*[F.coalesce(cell(d), F.lit(0)) for d in dims]))
+    first = [hilbert, *together, key]
+    placed, total = _running(rows, [*first, *[c for c in df.columns if c not in first]], position, "hilbert")
+    number = F.expr(f"`{position}` * {n_shards}L div {max(total, 1)}L")
+    start = F.expr(f"(`{shard}` * {total}L + {n_shards - 1}L) div {n_shards}L")
+    return placed.withColumn(shard, number.cast("int")).withColumn(slot, F.col(position) - start)
 
 
 def write_shards(sharded: DataFrame, out: str) -> None:
@@ -118,6 +117,6 @@ def document_shards(docs: DataFrame, n_shards: int = 40) -> DataFrame:
         "source",
         F.length("text").cast("long").alias("chars"),
     )
-    rows = rows.withColumn("size", F.col("size") + 16)
-    placed = hilbert_shards(rows, ["lang", "source", "size", "chars"], "doc_id", n_shards)
+    rows = materialise(rows.withColumn("size", F.col("size") + 16), "slim")  # the texts are read once
+    placed = hilbert_shards(rows, ["lang", "source", "size", "chars"], "doc_id", n_shards, together=("size", "text_crc32"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")

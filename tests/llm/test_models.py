@@ -290,6 +290,31 @@ def test_shards_are_even_and_gapless(spark):
     assert sharding.document_shards(docs.limit(0)).count() == 0
 
 
+def test_placement_equals_plain_sorting(spark):
+    """Cells by plain counting, order by plain sorting; one odd value doesn't merge the cells of the others."""
+    r = random.Random(4)
+    rows = [(i, r.choice(["https://a/%03d" % r.randrange(200), "https://a/hot", None]) if i else "web", r.randrange(1000) if i % 7 else None, "c%d" % r.randrange(3), "x") for i in range(900)]
+    rows += rows[:40]
+    df = spark.createDataFrame(rows, "doc_id long, url string, n long, t string, slot string")
+    got = sharding.hilbert_shards(df, ["url", "n"], "doc_id", 7, together=("t",)).collect()
+    urls = sorted(u for _, u, *_ in rows if u)
+    cell = {u: urls.index(u) * 32 // len(urls) for u in urls}
+    cut = [min(u for u in cell if cell[u] == c) for c in sorted(set(cell.values())) if c]
+    numbers = sorted(n for _, _, n, *_ in rows if n is not None)
+    cuts = sorted({numbers[max(0, -(-len(numbers) * k // 32) - 1)] for k in range(1, 32)})
+    cells = np.array([(sum(u >= c for c in cut) if u else 0, sum(n >= c for c in cuts) if n is not None else 0) for _, u, n, *_ in rows])
+    assert len(set(cells[:, 0])) > 15
+    h = sharding.hilbert_index(cells, 5).tolist()
+    first = lambda x: (x is not None, x)
+    want = sorted((a, t, d, first(u), first(n)) for a, (d, u, n, t, _) in zip(h, rows))
+    own = sorted(got, key=lambda x: x["position"])
+    assert [(x["hilbert"], x["t"], x["doc_id"], first(x["url"]), first(x["n"])) for x in own] == want
+    assert [x["position"] for x in own] == list(range(940)) and all(x["slot"] == "x" for x in own)
+    assert [(x["shard"], x["_slot"]) for x in own] == [(s, k) for s in range(7) for k in range(-(-(s + 1) * 940 // 7) - -(-s * 940 // 7))]
+    same = sharding.hilbert_shards(df.withColumn("url", F.lit("one")).withColumn("n", F.lit(None).cast("long")), ["url", "n"], "doc_id", 7).collect()
+    assert {x["hilbert"] for x in same} == {0} and len({x["shard"] for x in same}) == 7
+
+
 @tables
 def test_pipeline_equals_its_stages(spark):
     import corpus_pipeline as P
