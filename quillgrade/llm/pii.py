@@ -4,18 +4,20 @@ Values that pass validation are permuted within their format, so equal values ge
 equal pseudonyms in every document and no two values of a format share one:
 
 - card: 13 to 19 digits with a right Luhn digit; the first digit stays, the Luhn digit is made anew
-- social: three, two and four digits in the issued ranges (they stay in the format, not in the ranges)
+- social: three, two and four digits in the issued ranges (areas 001 to 899 but 666, groups from 01, serials from 0001), permuted within these
 - phone: ten digits in the usual grouping, with or without country code, which stays
 - ip: four octets, as one 32-bit number
 - date: a calendar day from 1800 to 2199 (400 years, 146097 = 189 * 773 days), year first or last
 - email: letters and digits of the local part within their kind; the domain stays
-- secret: 32 or more hexadecimal digits
+- secret: 32 or more hexadecimal digits, as a number: letters count without case, and the pseudonym has capital letters
+  where the value has no small ones
 
 Cards are validated before the cut: at each start of a digit run, every length from 19
 to 13 digits is tried. A text is then cut by one pattern, with its own valid cards in
 it, into gaps and candidates, so numbers that are no card hide no values beside or
 inside them; candidates that fail validation stay as they are. A null text stays null, an empty one empty. Every row
-is rewritten by itself: nothing is shuffled, and repeated rows stay repeated.
+is rewritten by itself: nothing is shuffled, and repeated rows stay repeated; an empty table gives no rows.
+All columns stay as they are but ``text`` and the one that ``counts`` names, which is replaced.
 """
 
 from __future__ import annotations
@@ -108,7 +110,12 @@ def _card(value: Column, key: str) -> Column:
 
 def _social(value: Column, key: str) -> Column:
     valid = value.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
-    return F.when(valid, let(permute_digits(digits_of(value), key, "social"), lambda d: put_digits(value, d)))
+    number = lambda at, n: F.substring(value, at, n).cast("long")
+    area = number(1, 3) - 1 - (number(1, 3) > 666).cast("long")
+    mixed = feistel(area * 99 + number(5, 2) - 1, number(8, 4) - 1, F.lit(898 * 99), F.lit(9999), key, F.lit("social"))
+    told = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    back = lambda s: let(F.floor(s["a"] / 99), lambda i: F.concat_ws("-", told(i + 1 + (i >= 665).cast("long"), 3), told(s["a"] % 99 + 1, 2), told(s["b"] + 1, 4)))
+    return F.when(valid, let(mixed, back))
 
 
 def _phone(value: Column, key: str) -> Column:
@@ -179,7 +186,7 @@ def _mixed(value: Column, key: str, kind: str, hexadecimal: bool) -> Column:
     )
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.concat(s["x"], s["y"]))
     if hexadecimal:
-        letter = F.when(value.rlike("[A-F]"), F.lit(65)).otherwise(F.lit(97))
+        letter = F.when(value.rlike("[A-F]") & ~value.rlike("[a-f]"), F.lit(65)).otherwise(F.lit(97))
         spell = lambda v, j: F.chr(F.when(v < 10, v + 48).otherwise(v - 10 + letter))
     else:
         spell = lambda v, j: let(code(j + 1), lambda c: F.when((c >= 48) & (c <= 57), F.chr(v + 48)).when((c >= 97) & (c <= 122), F.chr(v + 97)).when((c >= 65) & (c <= 90), F.chr(v + 65)).otherwise(F.chr(c)))
@@ -217,7 +224,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: str | No
     column, own, new, cut = F.col(text), fresh(docs, "found"), fresh(docs, "rebuilt"), fresh(docs, "cut")
     gaps = F.split(column, F.col(cut), -1)
     found = F.transform(F.regexp_extract_all(column, F.col(cut), 0), lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
-    some = docs.withColumn(cut, _cut(column)).withColumn(own, F.when(column.rlike("[0-9@]"), found))
+    some = docs.withColumn(cut, _cut(column)).withColumn(own, F.when(column.rlike("[0-9@]|[A-Fa-f]{32}"), found))
     told = F.transform(own, lambda p: F.coalesce(p["new"]["value"], p["old"]))
     rebuilt = F.array_join(F.zip_with(gaps, F.concat(told, F.array(F.lit(""))), lambda g, m: F.concat(g, m)), "")
     out = some.withColumn(new, F.when(F.size(own) > 0, rebuilt).otherwise(column))

@@ -1,5 +1,7 @@
 """Operators on texts against plain versions: encoding, files, decontamination, rules, chat, pseudonyms."""
 
+import datetime
+import hashlib
 import itertools
 import os
 import re
@@ -31,8 +33,6 @@ def frame(spark, texts):
 def test_encoding_equals_the_library(spark):
     lib = Tokenizer.from_file(BYTE)
     out = {r["doc_id"]: r for r in bpe.encode_decode(frame(spark, ODD), BYTE, ids=True).collect()}
-    import hashlib
-
     for i, t in enumerate(ODD):
         ids = lib.encode(t or "", add_special_tokens=False).ids
         assert out[i]["ids"] == ids and out[i]["n_tokens"] == len(ids), t
@@ -292,8 +292,6 @@ def test_pseudonyms_keep_their_format(spark):
         if kind == "card":
             assert luhn(new) and new[0] == v[0]
         if kind == "date":
-            import datetime
-
             datetime.date.fromisoformat(new)
     assert sum(v == n for (k, n), v in seen.items()) <= 2
 
@@ -309,6 +307,87 @@ def test_values_beside_numbers_are_found(spark):
     assert got[1].endswith(" 12/25") and got[4].startswith("2019 ") and got[5].startswith("10023 ")
 
 
+def plain_feistel(a, b, m, n, tweak, key="key"):
+    for i in range(1, pii.ROUNDS + 1):
+        number = lambda half: int(hashlib.sha256("|".join([key, tweak, str(i), str(half)]).encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        a, b = ((a + number(b)) % m, b) if i % 2 else (a, (b + number(a)) % n)
+    return a, b
+
+
+def plain_digits(d, kind):
+    u = len(d) // 2
+    a, b = plain_feistel(int(d[:u]), int(d[u:]), 10**u, 10 ** (len(d) - u), f"{kind}{len(d)}")
+    return f"{a:0{u}d}{b:0{len(d) - u}d}"
+
+
+def plain_places(values, bases, shape):
+    h = len(values) // 2
+    x, y, r, q = values[:h], values[h:], bases[:h], bases[h:]
+    for i in range(1, pii.ROUNDS + 1):
+        told = hashlib.sha512("|".join(["key", shape, str(i), ",".join(map(str, y))]).encode()).hexdigest()
+        x, y = y, [(v + int(told[j % 32 * 4 : j % 32 * 4 + 4], 16)) % r[j] for j, v in enumerate(x)]
+        r, q = q, r
+    return x + y
+
+
+def plain_pseudonym(kind, v):
+    digits = "".join(c for c in v if c.isdigit())
+    put = lambda new: (lambda it: "".join(next(it) if c.isdigit() else c for c in v))(iter(new))
+    if kind == "card":
+        body = digits[0] + plain_digits(digits[1:-1], "card")
+        return put(body + next(c for c in "0123456789" if luhn(body + c)))
+    if kind == "phone":
+        return put(digits[:-10] + plain_digits(digits[-10:], "phone"))
+    if kind == "social":
+        areas = [x for x in range(1, 900) if x != 666]
+        a, b = plain_feistel(areas.index(int(v[:3])) * 99 + int(v[4:6]) - 1, int(v[7:]) - 1, 898 * 99, 9999, "social")
+        return f"{areas[a // 99]:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+    if kind == "ip":
+        o = [int(x) for x in v.split(".")]
+        a, b = plain_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "date":
+        first = datetime.date(1800, 1, 1)
+        a, b = plain_feistel(*divmod((datetime.date.fromisoformat(v) - first).days, 773), 189, 773, "date")
+        return (first + datetime.timedelta(a * 773 + b)).isoformat()
+    if kind == "secret":
+        new = plain_places([int(c, 16) for c in v], [16] * len(v), f"secret{len(v)}")
+        told = "".join("%x" % x for x in new)
+        return told.upper() if any(c.isupper() for c in v) and not any(c.islower() for c in v) else told
+    local, _, domain = v.partition("@")
+    kinds = [("0123456789", "0"), ("abcdefghijklmnopqrstuvwxyz", "a"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A")]
+    of = [next((k for k in kinds if c in k[0]), (c, c)) for c in local]
+    new = plain_places([k[0].index(c) for c, k in zip(local, of)], [len(k[0]) for k in of], "email" + "".join(k[1] for k in of))
+    return "".join(k[0][x] for k, x in zip(of, new)) + "@" + domain
+
+
+def test_pseudonyms_equal_a_plain_feistel(spark):
+    r = np.random.default_rng(3)
+    values = [("social", f"{a:03d}-{g:02d}-{n:04d}") for a, g, n in [(1, 1, 1), (665, 99, 9999), (667, 5, 5), (899, 99, 9999), *zip(r.integers(1, 600, 20), r.integers(1, 100, 20), r.integers(1, 10000, 20))]]
+    values += [("phone", "+1 (132) 555-1352"), ("phone", "555-123-4567"), ("ip", "10.0.255.7"), ("ip", "255.255.255.255"), ("date", "1800-01-01"), ("date", "2199-12-31"), ("date", "2024-02-29")]
+    values += [("card", "4111 1111 1111 1111"), ("card", "4929348385146306"), ("email", "oscin.97@mail6.example.com"), ("email", "A.bc+D-9@x.org"), ("email", "q@x.org")]
+    values += [("secret", s) for s in ("9b0b3c6a43eb78aa99cbd7049c572391524f37a8", "abcdef" * 6, "ABCDEF" * 6, "aBCDEF" * 6, "F" * 33)]
+    rows = [(i, f"see {v} there") for i, (_, v) in enumerate(values)] * 2  # repeated rows stay repeated
+    out = pii.pseudonymise(spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, kinds string"), "key", counts="kinds").orderBy("doc_id").collect()
+    got = {x["doc_id"]: (x["kinds"], x["text"][4:-6]) for x in out}
+    assert len(out) == len(rows)
+    assert got == {i: ([k], plain_pseudonym(k, v)) for i, (k, v) in enumerate(values)}
+    new = [g[1] for g in got.values()]
+    assert all(pii_social(v) for (k, _), v in zip(values, new) if k == "social")
+    by = {v: n for (_, v), n in zip(values, new)}
+    assert by["abcdef" * 6] == by["aBCDEF" * 6] == by["ABCDEF" * 6].lower() and by["ABCDEF" * 6].isupper()
+
+
+def pii_social(v):
+    return re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", v) is not None
+
+
+def test_a_long_text_of_many_candidates(spark):
+    text = " ".join(f"user{i}@mail.org and 10.0.{i % 250}.{i % 9} or {i}" for i in range(5000))
+    got = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "key", counts="n").first()
+    assert len(got["n"]) == 10_000 and len(got["text"].split()) == len(text.split())
+
+
 def test_pseudonyms_leave_others_alone(spark):
     plain = [None, "", "Version 2.0, CC BY-NC 4.0", "4111111111111112", "999.1.1.1", "1.2.3.4.5", "2021-02-30", "000-12-1234", "a@b", "x" * 5000, "1" * 25, "123e4567"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(plain)], "doc_id long, text string")
