@@ -59,6 +59,15 @@ def discard(df: DataFrame) -> None:
             fs.delete(path, True)
 
 
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 8_000_000
+
+
+def sent_if_small(rows: DataFrame, most_rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast where the size and the rows of the written table show that it is small; joined by shuffle beyond."""
+    return F.broadcast(rows) if folder_bytes(rows) <= most_bytes and rows.count() <= most_rows else rows
+
+
 #: Rows that one step of :func:`sum_arrays` adds up.
 MERGED = 64
 

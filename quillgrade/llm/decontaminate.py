@@ -1,34 +1,38 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is partitioned by documents: each row is a shard, the postings (term,
-position) of a run of documents, sorted by term. It is written to the shared
-folder and searched there. It holds the postings that a phrase of the test set can
-touch: words of the test set standing in a run of such words that is long enough.
+The index holds the postings (term, position) of every word of every training text,
+whatever the test set: a table partitioned by documents, whose rows are shards, each a run
+of documents with its terms in order, how often each stands there, and their places. It is
+written to the shared folder once and searched for any number of test sets. Terms are
+64-bit keys of words.
 
 Test items are cut into windows. A shard drops windows with a term it lacks, takes
 the shortest posting list of each other window, shifts it by the term's offset to
 candidate starts, and intersects these with the shifted lists of the other terms,
-rarest first. What remains are exact phrase matches. With ``slop`` over 0, the
-terms have to occur in order with at most that many other words among them.
-
-The test set goes to the executors in blocks of bounded size; more blocks mean more
-passes over the documents. Null and empty texts have no words and no matches. A
-null item id is written as "null"; rows with one item id count as one item.
-Repeated documents each get their row. Columns besides key and text aren't read.
+rarest first. What remains inside one document are exact phrase matches. With ``slop``
+over 0, the terms have to occur in order with at most that many other words among them.
+
+The test set goes to the executors in blocks of bounded size, of which a single longer
+text is one; more blocks mean more passes over the index. Null and empty texts have no
+words and no matches; without documents there are no rows. A
+null item id is written as "null"; rows with one item id count as one item, and copies
+of an item are searched once. Repeated documents each get their row. A text of any
+length is worked on whole. Keys are whole numbers. Columns besides key and text aren't read.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, fresh, gather, materialise, utf8
+from quillgrade.llm.common import chunks, fresh, gather, materialise, sent_if_small, utf8
+from quillgrade.llm.flatwords import unit_keys
 
 #: Bytes that aren't part of words become spaces, A-Z become a-z.
 WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -38,56 +42,50 @@ WINDOW = 13
 WINDOWS_AT_ONCE = 100_000
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(WORD_BYTES).split()
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of all words, and the number of words of each text."""
+    data = np.frombuffer((b" ".join(texts) + b" ").translate(WORD_BYTES), dtype=np.uint8)
+    space = data == 32
+    start = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], dtype=np.int64))
+    counts = np.diff(np.r_[0, np.searchsorted(start, ends)])
+    return unit_keys(data, start, space) if len(start) else np.zeros(0, np.uint64), counts
 
 
 class TestSet:
-    """Windows of the test items, over ids of their words."""
+    """Windows of the test items, over ids of their words; ``vocab`` holds the words' keys in order."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        self.vocab: dict[bytes, int] = {}
-        flat: list[int] = []
+        keys, counts = word_keys([(text or "").encode() for _, text in items])
+        self.vocab, self.flat = np.unique(keys, return_inverse=True)
         starts: list[int] = []
         lens: list[int] = []
         owners: list[int] = []
         names: dict[str, int] = {}
-        for name, text in items:
-            words = words_of((text or "").encode())
+        for (name, _), words, at in zip(items, counts.tolist(), (np.cumsum(counts) - counts).tolist()):
             if not words:
                 continue
             owner = names.setdefault("null" if name is None else name, len(names))
-            at, n = len(flat), min(window, len(words))
-            flat += [self.vocab.setdefault(w, len(self.vocab)) for w in words]
-            k = len(words) - n + 1
+            n = min(window, words)
+            k = words - n + 1
             starts += range(at, at + k)
             lens += [n] * k
             owners += [owner] * k
         self.names = np.array(list(names), dtype=object)
-        self.flat = np.array(flat, dtype=np.int64)
         self.starts, self.lens, self.owners = (np.array(x, dtype=np.int64) for x in (starts, lens, owners))
         self.lengths = sorted(set(lens))
-        #: which terms occur in windows of each length
-        self.member = {n: np.zeros(len(self.vocab) + 1, dtype=bool) for n in self.lengths}
-        for n in self.lengths:
-            s = self.starts[self.lens == n]
-            self.member[n][np.unique(self.flat[(s[:, None] + np.arange(n)).ravel()])] = True
-
-    def touched(self, ids: np.ndarray, slop: int) -> np.ndarray:
-        """Which positions can be part of a match; ids are -1 for words outside the test set."""
-        keep = np.zeros(len(ids), dtype=bool)
-        for n in self.lengths:
-            own = self.member[n][ids]
-            if n > 1 and not slop:
-                edge = np.diff(np.r_[False, own, False].astype(np.int8))
-                begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                long = end - begin >= n
-                own = np.zeros(len(ids), dtype=bool)
-                own[gather(begin[long], (end - begin)[long])] = True
-            keep |= own
-        return keep
+
+    def postings(self, terms: np.ndarray, counts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and places of the test set's words in a shard, sorted by both."""
+        if not len(terms):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(terms, self.vocab), len(terms) - 1)
+        have = np.flatnonzero(terms[at] == self.vocab)
+        n = counts[at[have]].astype(np.int64)
+        first = (np.cumsum(counts, dtype=np.int64) - counts)[at[have]]
+        return np.repeat(have, n), places[gather(first, n)].astype(np.int64)
 
     def matches(self, terms: np.ndarray, positions: np.ndarray, slop: int):
         """Window, first and last position of each match in postings sorted by (term, position)."""
@@ -139,66 +137,57 @@ class TestSet:
         return w[of[ok]], start[ok], at[ok]
 
 
-def build_index(docs: DataFrame, tests, key: str = "doc_id", text: str = "text", slop: int = 0) -> DataFrame:
-    """The shards: documents (key, text hash, number of words) and postings. ``tests`` is a broadcast TestSet."""
+INDEX = "row long, keys array<long>, hashes array<long>, words array<long>, terms binary, counts binary, places binary"
+
+
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The shards: documents (key, text hash, number of words) and the postings of all their words.
+
+    ``terms`` (64-bit) are in order, ``counts`` (32-bit) says how many of the ``places``
+    (32-bit, from the shard's first word on, in order) belong to each. ``row`` numbers the
+    first document of the shard.
+    """
 
     def run(batches):
-        found: TestSet = tests.value
-        gap = WINDOW + slop + 1
-        get = found.vocab.get
+        row = np.int64(TaskContext.get().partitionId()) << 33
         for batch in batches:
             texts = [b"" if t is None else t for t in utf8(batch.column(2))]
             for a, b in chunks([len(t) for t in texts], SHARD_BYTES):
-                counts, terms, places, base = [], [], [], 0
-                for t in texts[a:b]:
-                    words = words_of(t)
-                    n = len(words)
-                    counts.append(n)
-                    if n:
-                        ids = np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=n)
-                        keep = np.flatnonzero(found.touched(ids, slop))
-                        if len(keep):
-                            terms.append(ids[keep])
-                            places.append(keep + base)
-                    base += n + gap
-                term = np.concatenate(terms) if terms else np.zeros(0, np.int64)
-                place = np.concatenate(places) if places else np.zeros(0, np.int64)
-                order = np.argsort(term, kind="stable")
-                listed = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "keys": pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(0).slice(a, b - a)),
-                        "hashes": pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(1).slice(a, b - a)),
-                        "words": listed(counts, pa.int64()),
-                        "terms": listed(term[order], pa.int32()),
-                        "places": listed(place[order], pa.int64()),
-                    }
-                )
+                keys, words = word_keys(texts[a:b])
+                order = np.argsort(keys, kind="stable").astype(np.uint32)
+                keys = keys[order]
+                head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+                listed = lambda x: pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), x)  # noqa: B023, E731
+                made = {"row": pa.array([int(row)], pa.int64()), "keys": listed(batch.column(0).slice(a, b - a)), "hashes": listed(batch.column(1).slice(a, b - a)), "words": listed(pa.array(words, pa.int64()))}
+                blobs = {"terms": keys[head], "counts": np.diff(np.r_[head, len(keys)]).astype(np.uint32), "places": order}
+                yield pa.RecordBatch.from_pydict(made | {k: pa.array([v.tobytes()], pa.binary()) for k, v in blobs.items()})
+                row += b - a
 
-    rows = docs.select(F.col(key).cast("long"), F.xxhash64(text), F.col(text))
-    return rows.mapInArrow(run, "keys array<long>, hashes array<long>, words array<long>, terms array<int>, places array<long>")
+    return docs.select(F.col(key).cast("long"), F.xxhash64(text), F.col(text)).mapInArrow(run, INDEX)
 
 
 def search_index(index: DataFrame, tests, slop: int = 0) -> DataFrame:
-    """A row each document: words, the disjoint spans [first, last] of matches, and the matching items sorted."""
+    """A row each document: words, the disjoint spans [first, last] of matches, and the matching items sorted. ``tests`` is a broadcast TestSet."""
 
     def run(batches):
         found: TestSet = tests.value
-        gap = WINDOW + slop + 1
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, hashes, words, terms, places = (batch.column(c)[i].values for c in range(5))
+                keys, hashes, words = (batch.column(c)[i].values for c in range(1, 4))
+                terms, sizes, places = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in ((4, np.uint64), (5, np.uint32), (6, np.uint32)))
                 counts = words.to_numpy(zero_copy_only=False)
-                bases = np.cumsum(counts + gap) - counts - gap
-                w, first, last = found.matches(terms.to_numpy(zero_copy_only=False), places.to_numpy(zero_copy_only=False), slop)
+                ends = np.cumsum(counts)
+                bases = ends - counts
+                w, first, last = found.matches(*found.postings(terms, sizes, places), slop)
                 n = len(counts)
-                doc = np.searchsorted(bases, first, side="right") - 1
+                doc = np.searchsorted(ends, first, side="right")
+                inside = last < ends[doc] if len(doc) else np.zeros(0, bool)
+                w, first, last, doc = w[inside], first[inside], last[inside], doc[inside]
                 order = np.lexsort((first, doc))
                 doc_s, first_s, last_s = doc[order], first[order], last[order]
-                # spans that meet or overlap become one
+                # spans of a document that meet or overlap become one
                 reach = np.maximum.accumulate(last_s) if len(last_s) else last_s
-                fresh = np.r_[True, first_s[1:] > reach[:-1] + 1] if len(first_s) else np.zeros(0, bool)
-                head = np.flatnonzero(fresh)
+                head = np.flatnonzero(np.r_[True, (first_s[1:] > reach[:-1] + 1) | (doc_s[1:] != doc_s[:-1])]) if len(first_s) else np.zeros(0, np.int64)
                 tail = np.r_[head[1:], len(first_s)] - 1
                 spans_doc = doc_s[head]
                 cut = np.searchsorted(spans_doc, np.arange(n + 1))
@@ -207,9 +196,10 @@ def search_index(index: DataFrame, tests, slop: int = 0) -> DataFrame:
                 items: list[list[str]] = [[] for _ in range(n)]
                 for d, o in zip((pairs // max(1, len(found.names))).tolist(), (pairs % max(1, len(found.names))).tolist()):
                     items[d].append(found.names[o])
-                listed = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int64()))
+                listed = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int64()))  # noqa: B023, E731
                 yield pa.RecordBatch.from_pydict(
                     {
+                        "row": pa.array(batch.column(0)[i].as_py() + np.arange(n)),
                         "key": keys,
                         "text_hash": hashes,
                         "n_words": words,
@@ -219,7 +209,7 @@ def search_index(index: DataFrame, tests, slop: int = 0) -> DataFrame:
                     }
                 )
 
-    return index.mapInArrow(run, "key long, text_hash long, n_words long, span_from array<long>, span_to array<long>, items array<string>")
+    return index.mapInArrow(run, "row long, key long, text_hash long, n_words long, span_from array<long>, span_to array<long>, items array<string>")
 
 
 def _joined(firsts: pd.Series, lasts: pd.Series, items: pd.Series) -> pd.DataFrame:
@@ -239,14 +229,14 @@ def _joined(firsts: pd.Series, lasts: pd.Series, items: pd.Series) -> pd.DataFra
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", block_bytes: int = BLOCK_BYTES, slop: int = 0) -> DataFrame:
     """Per document: key, text_hash, n_words, n_hit, items (sorted array) and contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
     spark = docs.sparkSession
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    items = benchmark.select(F.col(item).cast("string").alias("name"), F.col("text").alias("text")).distinct()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
+    index = materialise(build_index(docs, key, text), "index")
     found = []
     for b in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else benchmark
-        items = [(r[0], r[1]) for r in part.select(F.col(item).cast("string"), "text").toLocalIterator()]
-        tests = spark.sparkContext.broadcast(TestSet(items))
-        index = materialise(build_index(docs, tests, key, text, slop), f"index-{b}")
+        part = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        tests = spark.sparkContext.broadcast(TestSet([(r[0], r[1]) for r in part.toLocalIterator()]))
         found.append(search_index(index, tests, slop))
     if blocks == 1:
         n_hit = F.aggregate(F.zip_with("span_to", "span_from", lambda a, b: a - b + 1), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -255,10 +245,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         every = found[0]
         for f in found[1:]:
             every = every.unionByName(f)
-        # equal rows of a block have equal results, so one of each block is enough, and the number of rows is kept
-        every = every.groupBy("key", "text_hash").agg(F.max("n_words").alias("n_words"), (F.count("*") / blocks).cast("int").alias("times"), F.collect_set(F.struct("span_from", "span_to", "items")).alias("found"))
+        every = every.groupBy("row").agg(*[F.first(c).alias(c) for c in ("key", "text_hash", "n_words")], F.collect_list(F.when(F.size("items") > 0, F.struct("span_from", "span_to", "items"))).alias("found"))
         joined = every.withColumn("j", F.pandas_udf(_joined, "struct<n_hit:long,items:array<string>>")("found.span_from", "found.span_to", "found.items"))
-        out = joined.select("key", "text_hash", "n_words", "j.n_hit", "j.items", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
+        out = joined.select("key", "text_hash", "n_words", "j.n_hit", "j.items")
     flag = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return out.withColumn("contaminated", flag).withColumnRenamed("key", key)
 
@@ -267,6 +256,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """The documents that aren't contaminated, with all their columns."""
     k, h = fresh(docs, "bad_key"), fresh(docs, "bad_hash")
     bad = contamination(docs, benchmark, key, text).where("contaminated").select(F.col(key).alias(k), F.col("text_hash").alias(h)).distinct()
+    bad = sent_if_small(materialise(bad, "contaminated"))
     return docs.join(bad, docs[key].cast("long").eqNullSafe(bad[k]) & (F.xxhash64(docs[text]) == bad[h]), "left_anti")
 
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, discard, folder_bytes, fresh, gather, materialise, utf8
+from quillgrade.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, chunks, discard, fresh, gather, materialise, sent_if_small, utf8
 from quillgrade.llm.flatwords import unit_keys
 
 TOKENS = 64
@@ -47,8 +47,6 @@ SMALL = 1024
 BLOCK = 512
 DEPTH = 10
 BLOCK_SHINGLES = 1_000_000
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 8_000_000
 CHUNK_BYTES = 2_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -152,8 +150,7 @@ def _sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def _sent(rows: DataFrame) -> DataFrame:
-    """Broadcast where the size and the rows of the written table show that it is small; joined by shuffle beyond."""
-    return F.broadcast(rows) if folder_bytes(rows) <= BROADCAST_BYTES and rows.count() <= BROADCAST_ROWS else rows
+    return sent_if_small(rows, BROADCAST_ROWS, BROADCAST_BYTES)
 
 
 SKETCH = ["s0", "s1", "s2", "s3"]

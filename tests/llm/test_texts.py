@@ -142,6 +142,34 @@ def test_proximity(spark):
     assert near == exact | {8}
 
 
+@pytest.mark.parametrize("shard_bytes, block_bytes", [(50, 8_000_000), (4_000_000, 60)])
+def test_contamination_of_repeated_rows_and_long_texts(spark, monkeypatch, shard_bytes, block_bytes):
+    """Repeated documents keep their rows over several blocks; matches end at a document's end; a text beyond a shard's size is whole."""
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard_bytes)
+    phrase = " ".join(f"p{i}" for i in range(13))
+    items = [("a", phrase), ("a", phrase), ("b", "tail one two"), (None, "lonely"), ("c", None), ("d", "split " + "here " * 12)]
+    texts = [phrase, phrase, "p0 p1 p2 p3 p4 p5", "p6 p7 p8 p9 p10 p11 p12", "x " * 40_000 + phrase + " x" * 40_000, None, "", "say tail one", "two lonely", "split", "here " * 12]
+    rows = [(i // 2 if i < 2 else i, t, "clash") for i, t in enumerate(texts)] + [(None, phrase, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items string").coalesce(1)
+    found = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id string, text string"), block_bytes=block_bytes).collect()
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], ",".join(r["items"]), r["contaminated"]) for r in found)
+    want = [("0", 13, 13, "a", True)] * 2 + [("2", 6, 0, "", False), ("3", 7, 0, "", False), ("4", 80_013, 13, "a", False), ("5", 0, 0, "", False), ("6", 0, 0, "", False)]
+    want += [("7", 3, 0, "", False), ("8", 2, 1, "null", True), ("9", 1, 0, "", False), ("10", 12, 0, "", False), ("None", 13, 13, "a", True)]
+    assert got == sorted(want)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+    left = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string"))
+    assert left.count() == len(rows) - 4 and left.columns == docs.columns
+    assert decontaminate.contamination(docs.limit(0), spark.createDataFrame(items, "item_id string, text string")).count() == 0
+
+
+def test_one_index_serves_several_test_sets(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "three four five"), (3, "six")], "doc_id long, text string")
+    index = common.materialise(decontaminate.build_index(docs), "index")
+    search = lambda items: {r["key"]: list(r["items"]) for r in decontaminate.search_index(index, spark.sparkContext.broadcast(decontaminate.TestSet(items))).collect()}
+    assert search([("a", "three four"), ("b", "six")]) == {1: ["a"], 2: ["a"], 3: ["b"]}
+    assert search([("c", "four five"), ("d", "unseen")]) == {1: [], 2: ["c"], 3: []}
+
+
 def brute_counts(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     c = Counter(zip(w, w[1:], w[2:]))
