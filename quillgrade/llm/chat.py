@@ -11,13 +11,14 @@ and texts are written as a backslash and a letter, which no other text can give,
 
 A null text or role counts as empty, a null turn number sorts first, repeated rows
 are repeated turns, a null conversation id is a conversation of its own. A
-conversation is one string, so its turns meet in one task; nothing else does.
+conversation is one string, so its turns meet in one task; nothing else does. An empty
+table gives no rows.
 Other columns aren't read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What is written in place of each control string; the backslash comes first when writing and last when reading.
@@ -39,11 +40,16 @@ def unescape(text: Column, codes=CODES) -> Column:
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant") -> DataFrame:
     """One row a conversation: the formatted string and ``loss_mask``, the spans (0-based start, length in code points) of ``learn`` texts."""
-    rows = turns.select(
-        F.col(conv).alias("conv"),
-        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
-    )
-    chats = rows.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    told = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), told(role).alias("role"), told(text).alias("text"))
+    # where each text starts: a running sum of what stands before it since the text before, and of the texts
+    order = Window.partitionBy("conv").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    before = F.lag("role").over(order)
+    head = lambda r: F.concat(F.lit("### "), escape(r, ROLE_CODES), F.lit(": "))
+    opening = F.length(head(F.col("role"))) + 6 + F.when(before.isNull(), 0).otherwise(8)
+    rows = rows.withColumn("lead", F.when(before.isNull() | (before != F.col("role")), opening).otherwise(13)).withColumn("n", F.length(escape(F.col("text"))))
+    rows = rows.withColumn("start", F.sum(F.col("lead") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    chats = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "start", "n"))).alias("turns"))
     turns_ = F.col("turns")
     starts = F.filter(F.sequence(F.lit(1), F.size(turns_)), lambda i: (i == 1) | (F.element_at(turns_, i)["role"] != F.element_at(turns_, F.greatest(i - 1, F.lit(1)))["role"]))
     chats = chats.withColumn("starts", starts)
@@ -53,36 +59,9 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         ends,
         lambda s, e: F.struct(F.element_at(turns_, s)["role"].alias("role"), F.transform(F.slice(turns_, s, e - s), lambda t: escape(t["text"])).alias("texts")),
     )
-    chats = chats.select("conv", blocks.alias("blocks"))
-    head = lambda b: F.concat(F.lit("### "), escape(b["role"], ROLE_CODES), F.lit(": "))
     body = lambda b: F.concat(F.lit("<turn>"), F.array_join(b["texts"], "</turn><turn>"), F.lit("</turn>\n"))
-    formatted = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), body(b))), "")
-
-    # each text with the length of what stands before it since the text before
-    pieces = F.flatten(
-        F.transform(
-            "blocks",
-            lambda b: F.transform(
-                b["texts"],
-                lambda t, i: F.struct(
-                    (F.when(i == 0, F.length(head(b)) + 6).otherwise(F.lit(13)) + F.lit(0)).alias("before"),
-                    F.length(t).alias("n"),
-                    F.when(i == F.size(b["texts"]) - 1, F.lit(8)).otherwise(F.lit(0)).alias("after"),
-                    (b["role"] == learn).alias("learn"),
-                ),
-            ),
-        )
-    )
-    spans_type = "array<struct<start:int,length:int>>"
-    mask = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast(spans_type).alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + p["before"] + p["n"] + p["after"]).alias("at"),
-            F.when(p["learn"], F.concat(a["spans"], F.array(F.struct((a["at"] + p["before"]).alias("start"), p["n"].alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
+    formatted = F.array_join(F.transform(blocks, lambda b: F.concat(head(b["role"]), body(b))), "")
+    mask = F.transform(F.filter(turns_, lambda t: t["role"] == learn), lambda t: F.struct(t["start"].cast("int").alias("start"), t["n"].alias("length")))
     return chats.select(F.col("conv").alias(conv), formatted.alias("formatted"), mask.alias("loss_mask"))
 
 

@@ -299,6 +299,15 @@ def test_chat_reads_back(spark):
     assert chat.digest(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_chat_of_many_and_of_equal_turns(spark):
+    rows = [(1, i // 3, "user" if i % 4 else "assistant", f"t{i % 5} ###") for i in range(9000)] + [(2, 0, "assistant", "same")] * 3 + [(3, None, "assistant", "x" * 1_000_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.format_chats(df).select("conv_id", "formatted", chat.learned(F.col("formatted"), F.col("loss_mask")).alias("loss"), F.size(chat.parse(F.col("formatted"))).alias("n")).collect()}
+    for conv in (1, 2, 3):
+        own = sorted(((t if t is not None else -1, r, x) for c, t, r, x in rows if c == conv))
+        assert got[conv]["n"] == len(own) and got[conv]["loss"] == [x for _, r, x in own if r == "assistant"]
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
