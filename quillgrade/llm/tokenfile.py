@@ -7,10 +7,12 @@ frame and the low half of the XXH64 of its content. A reader fetches the two
 trailing frames, then decompresses only the frames that hold wanted documents.
 
 Files follow each other in ascending key order: rows are range-partitioned by key,
-so equal keys stand together, ordered by a hash of their text. Null keys come
-first, null texts count as empty; every document ends with the end id, so an empty
+so equal keys stand together, ordered by a hash of their text. Keys are whole numbers
+of 64 bits; null keys come first, marked in the index, and null texts count as empty; every document ends with the end id, so an empty
 one has one id. Each attempt of a task writes a file of its own; the manifest
-names those of the attempts that succeeded.
+names those of the attempts that succeeded. An empty table gives no files. Repeated
+rows are documents of their own; columns besides key and text aren't read. Files are
+written through pyarrow's file systems; ``s3a`` and ``s3n`` paths name the same objects as ``s3``.
 """
 
 from __future__ import annotations
@@ -41,7 +43,6 @@ CHECKSUM_FLAG = 0x80
 
 FRAME_IDS = 1 << 16
 CHUNK_BYTES = 2_000_000
-NULL_KEY = -(1 << 63)
 
 
 @lru_cache(maxsize=2)
@@ -69,6 +70,7 @@ class Writer:
     def __init__(self, sink, level: int = 3):
         self.sink, self.pack = sink, zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.keys: list[int] = []
+        self.nulls: list[bool] = []
         self.counts: list[int] = []
         self.frames: list[tuple[int, int, int]] = []
         self.frame_docs: list[int] = []
@@ -76,7 +78,8 @@ class Writer:
         self.held_ids = self.held_docs = 0
 
     def add(self, key: int | None, ids: np.ndarray) -> None:
-        self.keys.append(NULL_KEY if key is None else key)
+        self.keys.append(0 if key is None else key)
+        self.nulls.append(key is None)
         self.counts.append(len(ids))
         self.held.append(ids)
         self.held_ids += len(ids)
@@ -97,7 +100,7 @@ class Writer:
     def close(self) -> None:
         self._flush()
         body = struct.pack("<QQ", len(self.keys), len(self.frames))
-        body += np.array(self.keys, "<i8").tobytes() + np.array(self.counts, "<u8").tobytes() + np.array(self.frame_docs, "<u8").tobytes()
+        body += np.array(self.keys, "<i8").tobytes() + np.array(self.counts, "<u8").tobytes() + np.array(self.frame_docs, "<u8").tobytes() + np.packbits(np.array(self.nulls, dtype=bool)).tobytes()
         body = self.pack.compress(body)
         self.sink.write(struct.pack("<II", SKIPPABLE_INDEX, len(body)) + body)
         entries = [*self.frames, (len(body) + 8, 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF)]
@@ -122,7 +125,9 @@ class Reader:
         self.keys = np.frombuffer(body, "<i8", docs, 16)
         self.counts = np.frombuffer(body, "<u8", docs, 16 + 8 * docs).astype(np.int64)
         self.frame_docs = np.frombuffer(body, "<u8", frames, 16 + 16 * docs).astype(np.int64)
+        self.nulls = np.unpackbits(np.frombuffer(body, np.uint8, offset=16 + 16 * docs + 8 * frames), count=docs).astype(bool)
         self.first_doc = np.cumsum(self.frame_docs) - self.frame_docs
+        self.starts = np.cumsum(self.counts) - self.counts
 
     def _at(self, offset: int, n: int) -> bytes:
         self.source.seek(offset)
@@ -138,24 +143,27 @@ class Reader:
         """Key, place among the file's ids, and ids of each document of a frame."""
         ids, at = self.frame(i), 0
         first = int(self.first_doc[i])
-        start = int(self.counts[:first].sum())
         for d in range(first, first + int(self.frame_docs[i])):
             n = int(self.counts[d])
-            key = int(self.keys[d])
-            yield (None if key == NULL_KEY else key), start + at, ids[at : at + n]
+            yield (None if self.nulls[d] else int(self.keys[d])), int(self.starts[d]), ids[at : at + n]
             at += n
 
     def documents(self, wanted) -> dict[int, np.ndarray]:
         """The ids of the wanted keys; only frames that hold one are decompressed."""
-        hits = np.flatnonzero(np.isin(self.keys, np.fromiter(wanted, np.int64)))
+        hits = np.flatnonzero(np.isin(self.keys, np.fromiter(wanted, np.int64)) & ~self.nulls)
         out = {}
         for f in np.unique(np.searchsorted(self.first_doc, hits, side="right") - 1).tolist():
             out |= {k: ids.copy() for k, _, ids in self.frame_documents(f) if k in wanted}
         return out
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    scheme, sep, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri("s3" + sep + rest if scheme in ("s3a", "s3n") else uri)
+
+
 def open_reader(uri: str) -> Reader:
-    store, path = pafs.FileSystem.from_uri(uri)
+    store, path = file_system(uri)
     return Reader(store.open_input_file(path), store.get_file_info(path).size)
 
 
@@ -168,7 +176,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, ke
     def run(batches):
         encoder = _encoder(tokenizer_path)
         place = TaskContext.get().partitionId()
-        store, folder = pafs.FileSystem.from_uri(out)
+        store, folder = file_system(out)
         store.create_dir(folder, recursive=True)
         name = f"part-{place:06d}-{uuid.uuid4().hex}.tok.zst"
         writer = sink = None
