@@ -95,7 +95,7 @@ def test_damaged_frames_are_found(tmp_path):
         w.close()
     back = tokenfile.open_reader(f"file://{odd}")
     assert [(k, s) for k, s, _ in back.frame_documents(0)] == [(None, 0), (-(1 << 63), 1), (0, 2), ((1 << 63) - 1, 3)] and list(back.documents({0, -(1 << 63)})) == [-(1 << 63), 0]
-    assert type(tokenfile.file_system("s3a://bucket/a/b")[0]) is type(tokenfile.file_system("s3://bucket/a/b")[0])
+    assert tokenfile.file_system("s3a://bucket/a?region=eu-west-1")[0].type_name == "s3"
     reader = tokenfile.open_reader(f"file://{path}")
     assert len(reader.frame_docs) > 1 and reader.documents({2999})[2999].tolist() == list(range(2999, 3049))
     raw = bytearray(path.read_bytes())
