@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, fresh, gather, per_group, utf8
+from quillgrade.llm.common import chunks, fresh, gather, per_group, sliced, utf8
 from quillgrade.llm.flatwords import FlatEncoder
 
 #: Fixed value: the public pre-token pattern of byte-level BPE vocabularies.
@@ -184,7 +184,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
     def run(batches):
         bpe = load(path)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [b"" if t is None else t for t in utf8(batch.column(1))]
             for a, b in chunks([len(t) for t in texts], CHUNK_CHARS):
                 flat, counts = bpe.encode(texts[a:b])
@@ -212,7 +212,7 @@ def encode_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches):
         bpe = load(path)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [b"" if t is None else t for t in utf8(batch.column(at))]
             for a, b in chunks([len(t) for t in texts], CHUNK_CHARS):
                 flat, counts = bpe.encode(texts[a:b])

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, fresh, gather, materialise, sent_if_small, utf8
+from quillgrade.llm.common import chunks, fresh, gather, materialise, sent_if_small, sliced, utf8
 from quillgrade.llm.flatwords import unit_keys
 
 #: Bytes that aren't part of words become spaces, A-Z become a-z.
@@ -150,7 +150,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches):
         row = np.int64(TaskContext.get().partitionId()) << 33
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [b"" if t is None else t for t in utf8(batch.column(2))]
             for a, b in chunks([len(t) for t in texts], SHARD_BYTES):
                 keys, words = word_keys(texts[a:b])
@@ -237,7 +237,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         tests = spark.sparkContext.broadcast(TestSet([(r[0], r[1]) for r in part.toLocalIterator()]))
-        found.append(search_index(index, tests, slop))
+        found.append(materialise(search_index(index, tests, slop), f"found-{b}"))  # rows of the index are large, so batches are bounded
     if blocks == 1:
         n_hit = F.aggregate(F.zip_with("span_to", "span_from", lambda a, b: a - b + 1), F.lit(0).cast("long"), lambda a, x: a + x)
         out = found[0].select("key", "text_hash", "n_words", n_hit.alias("n_hit"), "items")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, fresh, sum_arrays, utf8
+from quillgrade.llm.common import chunks, fresh, sum_arrays, sliced, utf8
 from quillgrade.llm.flatwords import unit_keys
 
 WORD_TERMS = 2048
@@ -152,7 +152,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[float, np
 
     def run(batches):
         total = np.zeros(TERMS + 1)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [b"" if t is None else t for t in utf8(batch.column(0))]
             for a, b in chunks([len(t) for t in texts], CHUNK_BYTES):
                 rows, terms, _ = term_counts(texts[a:b])
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__k") == F.col("__key")).select("__label", "__text", "__key")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [b"" if t is None else t for t in utf8(batch.column(1))]
             for i, t in enumerate(texts):
                 _, terms, shares = term_counts([t])
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", into: str =
 
     def run(batches):
         m = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [b"" if t is None else t for t in utf8(batch.column(at))]
             for a, b in chunks([len(t) for t in texts], CHUNK_BYTES):
                 part = batch.slice(a, b - a)

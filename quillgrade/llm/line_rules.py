@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, utf8
+from quillgrade.llm.common import chunks, sliced, utf8
 from quillgrade.llm.flatwords import unit_keys
 from quillgrade.llm.knn_quality import held_out
 
@@ -302,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__k") == F.col("__key")).select("__label", "__text", F.col("__key").cast("string").alias("__key"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             for i, t in enumerate(utf8(batch.column(1))):
                 own = Lines([t or b""])
                 if own.lines[0] <= MOST_LINES:
@@ -335,7 +335,7 @@ def judge(docs: DataFrame, field: LineField, key: str = "doc_id", text: str = "t
 
     def run(batches):
         f = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [b"" if t is None else t for t in utf8(batch.column(1))]
             for a, b in chunks([len(t) for t in texts], CHUNK_BYTES):
                 lines = Lines(texts[a:b])

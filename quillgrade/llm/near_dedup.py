@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, chunks, discard, fresh, gather, materialise, sent_if_small, utf8
+from quillgrade.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, chunks, discard, fresh, gather, materialise, sent_if_small, sliced, utf8
 from quillgrade.llm.flatwords import unit_keys
 
 TOKENS = 64
@@ -109,7 +109,7 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 def _features(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [b"" if t is None else t for t in utf8(batch.column(1))]
             for a, b in chunks([len(t) for t in texts], CHUNK_BYTES):
                 sets = shingle_sets(texts[a:b], width)
@@ -134,7 +134,7 @@ def _features(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 def _sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [b"" if t is None else t for t in utf8(batch.column(1))]
             for a, b in chunks([len(t) for t in texts], CHUNK_BYTES):
                 sets = shingle_sets(texts[a:b], width)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, materialise, utf8
+from quillgrade.llm.common import chunks, materialise, sliced, utf8
 from quillgrade.llm.flatwords import unit_keys
 
 WORDS = 4032
@@ -217,7 +217,7 @@ def _masked(ids: np.ndarray, doc: np.ndarray, turn: int) -> tuple[np.ndarray, np
 
 
 def _chunked(batches, column: int):
-    for batch in batches:
+    for batch in sliced(batches):
         texts = [b"" if t is None else t for t in utf8(batch.column(column))]
         for a, b in chunks([len(t) for t in texts], CHUNK_BYTES):
             yield batch, a, b, texts[a:b]

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, materialise, scratch, utf8
+from quillgrade.llm.common import chunks, materialise, scratch, sliced, utf8
 from quillgrade.llm.flatwords import FlatEncoder
 
 #: Fixed values of the public seekable-zstandard layout.
@@ -181,7 +181,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, ke
         name = f"part-{place:06d}-{uuid.uuid4().hex}.tok.zst"
         writer = sink = None
         total = 0
-        for batch in batches:
+        for batch in sliced(batches):
             keys = batch.column(0).to_pylist()
             texts = [b"" if t is None else t for t in utf8(batch.column(1))]
             for a, b in chunks([len(t) for t in texts], CHUNK_BYTES):
