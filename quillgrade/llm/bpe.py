@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, fresh, gather, per_group, sliced, utf8
+from quillgrade.llm.common import bounded_batches, chunks, fresh, gather, per_group, sliced, utf8
 from quillgrade.llm.flatwords import FlatEncoder
 
 #: Fixed value: the public pre-token pattern of byte-level BPE vocabularies.
@@ -202,7 +202,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return bounded_batches(docs).select(F.col(key), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def encode_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -223,4 +223,4 @@ def encode_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), ids], names=names)
 
     fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    return docs.mapInArrow(run, fields + ", n_tokens long, ids array<int>").toDF(*docs.columns, fresh(docs, "n_tokens"), fresh(docs, "ids"))
+    return bounded_batches(docs).mapInArrow(run, fields + ", n_tokens long, ids array<int>").toDF(*docs.columns, fresh(docs, "n_tokens"), fresh(docs, "ids"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,23 +34,24 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quillgrade/{label}-{uuid.uuid4().hex}"
 
 
-@contextmanager
-def small_batches(spark: SparkSession, most: int = 8_000_000):
-    """Bounds the bytes of the batches that actions inside hand to Python; the session's setting stays as it was."""
+def bounded_batches(df: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """The same table; batches that the session hands to Python hold at most so many bytes from now on.
+
+    Texts can be very long, and a batch stands in the memory of both sides. The result of a
+    query is worked out after the operator has returned, so the bound is the session's; a
+    lower one of its own stays.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(most))
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    jvm = df.sparkSession._jsparkSession.sessionState().conf()
+    if jvm.arrowMaxBytesPerBatch() > most:
+        df.sparkSession.conf.set(name, str(most))
+    return df
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, label)
-    with small_batches(df.sparkSession):
-        df.write.parquet(path)
+    bounded_batches(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, fresh, sum_arrays, sliced, utf8
+from quillgrade.llm.common import bounded_batches, chunks, fresh, sum_arrays, sliced, utf8
 from quillgrade.llm.flatwords import unit_keys
 
 WORD_TERMS = 2048
@@ -160,7 +160,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[float, np
                 total[TERMS] += np.count_nonzero(np.diff(rows)) + 1 if len(rows) else 0
         yield pa.RecordBatch.from_pydict({"some": pa.array([TaskContext.get().partitionId()], pa.int64()), "value": pa.array([total], pa.list_(pa.float64()))})
 
-    total = sum_arrays(docs.select(F.col(text)).mapInArrow(run, "some long, value array<double>"))
+    total = sum_arrays(bounded_batches(docs).select(F.col(text)).mapInArrow(run, "some long, value array<double>"))
     return (0.0, np.zeros(TERMS)) if total is None else (float(total[TERMS]), total[:TERMS])
 
 
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Trains on at most ``most`` labelled rows that aren't held out, also where an id stands in many documents; None where there are none."""
     chosen = labels.where(~held_out(key) & F.col(label).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("float").alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("__key"), "__label").limit(most)
-    rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__k") == F.col("__key")).select("__label", "__text", "__key")
+    rows = bounded_batches(docs).select(F.col(key).alias("__k"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__k") == F.col("__key")).select("__label", "__text", "__key")
 
     def run(batches):
         for batch in sliced(batches):
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", into: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m.scores(texts[a:b]), pa.float64())], names=names)
 
     fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    return docs.mapInArrow(run, fields + ", score double").toDF(*docs.columns, into)
+    return bounded_batches(docs).mapInArrow(run, fields + ", score double").toDF(*docs.columns, into)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, sliced, utf8
+from quillgrade.llm.common import bounded_batches, chunks, sliced, utf8
 from quillgrade.llm.flatwords import unit_keys
 from quillgrade.llm.knn_quality import held_out
 
@@ -299,7 +299,7 @@ def learn(features: np.ndarray, line_keys: np.ndarray, chars: np.ndarray, lines:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELLED) -> LineField:
     chosen = labels.where(~held_out(key) & F.col(label).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("__key"), "__label").limit(most)
-    rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__k") == F.col("__key")).select("__label", "__text", F.col("__key").cast("string").alias("__key"))
+    rows = bounded_batches(docs).select(F.col(key).alias("__k"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__k") == F.col("__key")).select("__label", "__text", F.col("__key").cast("string").alias("__key"))
 
     def run(batches):
         for batch in sliced(batches):
@@ -352,7 +352,7 @@ def judge(docs: DataFrame, field: LineField, key: str = "doc_id", text: str = "t
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, " + ", ".join(f"{c} long" for c in names) + ", base_failed boolean, kept boolean, content_share double, n_lines long, n_content_lines long"
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return bounded_batches(docs).select(F.col(key), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

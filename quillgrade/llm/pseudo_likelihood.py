@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrade.llm.common import chunks, materialise, sliced, utf8
+from quillgrade.llm.common import bounded_batches, chunks, materialise, sliced, utf8
 from quillgrade.llm.flatwords import unit_keys
 
 WORDS = 4032
@@ -344,7 +344,7 @@ def score(rows: DataFrame, words: Vocabulary, network: Network, counts: DataFram
             )
 
     kind = rows.schema["key"].dataType.simpleString()
-    known = rows.select("row", "key", "ids").mapInArrow(run, f"row long, key {kind}, n_tokens long, log_prob double")
+    known = bounded_batches(rows).select("row", "key", "ids").mapInArrow(run, f"row long, key {kind}, n_tokens long, log_prob double")
     again = counts.where("n > 1").hint("shuffle_hash")  # a row each word, so its parts are even and small
     shares = rows.select("row", F.explode("rare").alias("word")).join(again, "word", "left")
     shares = shares.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(1)) - 1 + PRIOR)).alias("share"))
