@@ -26,7 +26,7 @@ from quillgrade.llm.flatwords import FlatEncoder
 
 #: Fixed value: the public pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 NO_RANK = np.int64(1) << 40
 
 

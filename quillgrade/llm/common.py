@@ -116,10 +116,11 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches in slices, so that a worker holds the Python objects of few rows at once."""
+    """Batches in slices, so that a worker holds the Python objects of few rows at once; freed memory goes back."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

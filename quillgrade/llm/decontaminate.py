@@ -36,7 +36,7 @@ from quillgrade.llm.flatwords import unit_keys
 
 #: Bytes that aren't part of words become spaces, A-Z become a-z.
 WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_500_000
 BLOCK_BYTES = 8_000_000
 WINDOW = 13
 WINDOWS_AT_ONCE = 100_000

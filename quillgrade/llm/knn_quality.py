@@ -36,7 +36,7 @@ TERMS = WORD_TERMS + SHAPES + PAIR_TERMS + 3 + REPEAT_STEPS
 MOST_LABELLED = 4000
 DIRECTIONS = 48
 NEIGHBOURS = 15
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True

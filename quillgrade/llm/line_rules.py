@@ -38,7 +38,7 @@ MOST_LABELLED = 2000
 MOST_LINES = 2000
 COMMON = 3
 ROUNDS = 4
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 CONTENT_SHARE = 0.5
 CONTENT = 1
 

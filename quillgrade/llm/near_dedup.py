@@ -46,8 +46,8 @@ TREES = 12
 SMALL = 1024
 BLOCK = 512
 DEPTH = 10
-BLOCK_SHINGLES = 1_000_000
-CHUNK_BYTES = 2_000_000
+BLOCK_SHINGLES = 500_000
+CHUNK_BYTES = 1_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, dtype=bool)
