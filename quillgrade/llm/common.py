@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -48,10 +49,13 @@ def bounded_batches(df: DataFrame, most: int = 4_000_000) -> DataFrame:
     return df
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    The default codec works in the heap; others hold buffers beside it.
+    """
     path = scratch(df.sparkSession, label)
-    bounded_batches(df).write.parquet(path)
+    bounded_batches(df).write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -115,12 +119,21 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def _trim() -> None:
+    """Gives the allocator's free pages back, where it can be told to."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches in slices, so that a worker holds the Python objects of few rows at once; freed memory goes back."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
         pa.default_memory_pool().release_unused()
+        _trim()
 
 
 def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

@@ -232,7 +232,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     items = benchmark.select(F.col(item).cast("string").alias("name"), F.col("text").alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
-    index = materialise(build_index(docs, key, text), "index")
+    index = materialise(build_index(docs, key, text), "index", "none")  # keys and places don't compress
     found = []
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == b) if blocks > 1 else items
