@@ -6,6 +6,7 @@ applies the same rules to micro-batches.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +22,27 @@ def _ordered(events: DataFrame, key: str) -> DataFrame:
 
 
 def throttle(events: DataFrame, key: str, rate_micros: int) -> DataFrame:
-    """Events that come at least the rate after the last accepted one; dropped ones don't move the mark."""
-
-    def step(s, e):
-        ok = s["last"].isNull() | (e["t"] - s["last"] >= rate_micros)
-        return F.struct(F.when(ok, e["t"]).otherwise(s["last"]).alias("last"), F.when(ok, F.concat(s["ids"], F.array(e["id"]))).otherwise(s["ids"]).alias("ids"))
-
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("ids"))
-    return _ordered(events, key).select(key, F.explode(F.aggregate("log", start, step, lambda s: s["ids"])).alias("event_id"))
+    """Events that come at least the rate after the last accepted one; dropped ones don't move the mark.
+
+    Each task reads its keys' events in order and holds one mark: a key's history is never
+    gathered, however long it is.
+    """
+
+    def run(batches):
+        own, last = object(), None
+        for batch in batches:
+            keep = []
+            for i, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if k != own:
+                    own, last = k, None
+                if last is None or t - last >= rate_micros:
+                    last = t
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64())).select([0, 2])
+
+    rows = events.select(F.col(key).alias("k"), micros(F.col("ts")).alias("t"), F.col("event_id").cast("long").alias("event_id"))
+    rows = rows.repartition("k").sortWithinPartitions("k", "t", "event_id")
+    return rows.mapInArrow(run, f"k {events.schema[key].dataType.simpleString()}, event_id long").withColumnRenamed("k", key)
 
 
 def quota(events: DataFrame, key: str, limit: Column, period_micros: int) -> DataFrame:

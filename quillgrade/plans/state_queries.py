@@ -27,14 +27,13 @@ def stf_01(spark, d):
 
 @query("stf_01_throttle_stream", _THROTTLE)
 def stf_01_stream(spark, d):
+    from quillgrade.sources import files
     from quillgrade.streaming import throttle as X
 
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).parquet(path.replace("events.parquet", "event[s].parquet"))
-    name = f"throttled_{abs(hash(d)) % 10**9}"
-    X.run_available(X.throttle_stream(events, "user_id", 12 * HOUR), name)
-    return spark.table(name)
+    return X.run_available(X.throttle_stream(events, "user_id", 12 * HOUR), files.work_dir(spark, "throttled"))
 
 
 _QUOTA = f"""

@@ -89,10 +89,9 @@ def str_08(spark, d):
 
 @query("str_08_credits", ST + " SELECT id, CASE WHEN id % 12 = 9 THEN p_name ELSE regexp_replace(regexp_replace(stem, '[ \\t]{2,}', ' ', 'g'), '^[ _\\n\\t]+|[ _\\n\\t]+$', '', 'g') END AS stripped FROM t")
 def str_08_credits(spark, d):
-    rows = _stems(spark, d).withColumn("doc", F.lit(1))
-    names = X.credit_names(rows, "doc", "stem")
-    names = names.withColumn("names", F.filter("names", lambda n: n.isin("Alisher", "Navoiy")))
-    return rows.join(F.broadcast(names), "doc").select("id", X.strip_credits(F.col("stem"), F.col("names")).alias("stripped"))
+    rows = _stems(spark, d)  # parts of a brand stand for a document
+    names = F.coalesce("names", F.array().cast("array<string>"))
+    return rows.join(X.credit_names(rows, "p_brand", "stem"), "p_brand", "left").select("id", X.strip_credits(F.col("stem"), names).alias("stripped"))
 
 
 _KEYS = ["1-a 2-b 3-c", "abcd", "1: foo / bar", "1: foo 3: bar", "2) 5\n3) 7,5", "1 A 1 B", "5: ab", "1.word\n2.b", ""]

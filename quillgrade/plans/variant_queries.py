@@ -108,12 +108,13 @@ _DOCFP = f"d AS (SELECT doc_id, text, source, lang, {_FP('text')} AS fp FROM doc
 
 
 def _doc_fp(spark, d):
-    return table(spark, d, "documents").withColumn("fp", D.fingerprint_norm(F.col("text")))
+    """Documents under a 128-bit hash of their fingerprint: the texts themselves are never a key."""
+    return table(spark, d, "documents").select("doc_id", "source", "text", F.md5(D.fingerprint_norm(F.col("text"))).alias("fp"))
 
 
 @query("ded_01_norm", f"SELECT doc_id, md5({_FP('text')}) AS h FROM documents")
 def ded_01(spark, d):
-    return _doc_fp(spark, d).select("doc_id", F.md5("fp").alias("h"))
+    return _doc_fp(spark, d).select("doc_id", F.col("fp").alias("h"))
 
 
 @query("ded_01_norm_composed", f"SELECT doc_id, md5({_FP('text')}) AS h FROM documents")
@@ -132,19 +133,19 @@ def ded_02(spark, d):
 
 @query("ded_03_pool", f"WITH {_DOCFP}, r AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY source, doc_id) AS rn FROM d) SELECT h.doc_id, string_agg(DISTINCT x.source, ',' ORDER BY x.source) AS sources FROM r h JOIN d x USING (fp) WHERE h.rn = 1 GROUP BY h.doc_id")
 def ded_03(spark, d):
-    heads, _ = D.pool(_doc_fp(spark, d).withColumn("pos", F.col("doc_id")))
+    heads, _ = D.pool(_doc_fp(spark, d).select("doc_id", "source", "fp", F.col("doc_id").alias("pos")))
     return heads.select("doc_id", "sources")
 
 
 @query("set_01_pool_pairs", f"WITH {_DOCFP}, r AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY source, doc_id) AS rn FROM d) SELECT h.source AS kept_source, h.doc_id AS kept_pos, x.source AS dropped_source, x.doc_id AS dropped_pos FROM r h JOIN r x USING (fp) WHERE h.rn = 1 AND x.rn > 1")
 def set_01(spark, d):
-    parts = [_doc_fp(spark, d).where(F.col("doc_id") % 2 == k).withColumn("pos", F.col("doc_id")) for k in (0, 1)]
+    parts = [_doc_fp(spark, d).where(F.col("doc_id") % 2 == k).select("source", "fp", F.col("doc_id").alias("pos")) for k in (0, 1)]
     return D.pool(parts[0].unionByName(parts[1]))[1]
 
 
 @query("ded_04_exact_dups", f"WITH {_DOCFP} SELECT md5(fp) AS fp, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS numbers, substr(arg_min(text, doc_id), 1, 80) AS preview FROM d GROUP BY d.fp HAVING count(*) > 1")
 def ded_04(spark, d):
-    rows = _doc_fp(spark, d).select(F.md5("fp").alias("fp"), F.col("doc_id").alias("number"), "text")
+    rows = _doc_fp(spark, d).select("fp", F.col("doc_id").alias("number"), F.substring("text", 1, D.PREVIEW).alias("text"))
     return D.exact_duplicates(rows, ["fp"])
 
 

@@ -42,7 +42,8 @@ def first_events_stream(events: DataFrame, key: str, lateness: str = "1 hour") -
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key])
 
 
-def run_available(stream: DataFrame, table: str, mode: str = "append") -> None:
-    """Runs a stream over what is there, into a memory table, and stops."""
-    q = stream.writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, out: str) -> DataFrame:
+    """Runs a stream over what is there, into files under ``out`` with its checkpoint beside them, and reads them back."""
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")
     q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")

@@ -145,6 +145,20 @@ def test_throttle_drops_do_not_move_the_mark(spark):
     assert got == [0, 2, 4]
 
 
+def test_throttle_of_a_long_history(spark):
+    """One key holds most events; nulls are a key; order of arrival doesn't matter."""
+    df = spark.range(60_000).selectExpr("CASE WHEN id % 10 < 8 THEN 1 WHEN id % 10 = 8 THEN NULL ELSE id % 7 END AS user_id", "59999 - id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, 59999 - id) AS ts")
+    marks, want = {}, set()
+    for e in range(60_000):
+        i = 59_999 - e
+        k = 1 if i % 10 < 8 else None if i % 10 == 8 else i % 7
+        if k not in marks or e - marks[k] >= 50:
+            marks[k] = e
+            want.add((k, e))
+    assert {tuple(r) for r in state.throttle(df, "user_id", 50 * state.MICROS).collect()} == want
+    assert state.throttle(df.limit(0), "user_id", 1).count() == 0
+
+
 def test_quota_rolls_over_and_null_is_unlimited(spark):
     rows = [(u, 10 * u + i, f"2024-01-0{d} 00:00:00") for u in (1, 2) for i, d in enumerate((1, 1, 2, 9))]
     df = spark.createDataFrame(rows, "user_id long, event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
