@@ -299,9 +299,11 @@ def _crossing(own: DataFrame, percent: int) -> DataFrame:
 def _full(own: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """Confirmed links between the components of groups, on full sets: a forest of each block."""
     sets = _sets_of(materialise(own.select("uid").distinct(), "uids"), nodes, docs, key, text, width)
-    volumes = own.groupBy("path").agg(F.sum("n").alias("volume"), F.sum(F.when(F.col("label") != F.col("main"), F.col("n")).otherwise(0)).alias("few_volume"))
+    other = F.col("label") != F.col("main")
+    volumes = own.groupBy("path").agg(F.count("*").alias("c"), F.sum("n").alias("volume"), F.count_if(other).alias("others"), F.sum(F.when(other, F.col("n")).otherwise(0)).alias("few_volume"))
     rows = own.join(_sent(materialise(volumes, "volumes")), "path")
-    rows = _blocks(rows, F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("few_volume") / BLOCK_SHINGLES)).cast("int"))
+    parts = lambda c, volume: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK), F.ceil(F.col(volume) / BLOCK_SHINGLES)).cast("int")
+    rows = _blocks(rows, parts("c", "volume"), parts("others", "few_volume"))
     rows = rows.join(sets, "uid")
 
     def work(path, few, every):

@@ -315,6 +315,27 @@ def test_placement_equals_plain_sorting(spark):
     assert {x["hilbert"] for x in same} == {0} and len({x["shard"] for x in same}) == 7
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Null and repeated keys, null, empty and equal texts, a further column with a name that stages use, and no rows at all."""
+    import corpus_pipeline as P
+
+    r = random.Random(7)
+    texts = [" ".join(f"w{r.randrange(500)}" for _ in range(60)) for _ in range(13)]
+    rows = [(i, t) for i, t in enumerate(texts[:12])] + [(20, texts[0]), (None, texts[1]), (3, texts[3]), (3, "quite another text of few words"), (21, None), (22, ""), (None, None), (23, "mail me@example.org " + texts[12])]
+    docs = spark.createDataFrame([(d, t, "en", None, len(t or ""), "clash") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, n_tokens string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("a", texts[2]), (None, None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = P.run(spark, str(tmp_path))
+    got = sorted(((x["doc_id"], x["text"]) for x in out.collect()), key=str)
+    assert set(docs.columns) <= set(out.columns)
+    ids = [d for d, _ in got]
+    assert 2 not in ids and 20 not in ids and {0, 1, 4, 6, 11, 23} <= set(ids) and ids.count(3) == 3
+    assert all(t is None or "me@example.org" not in t for _, t in got)
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
 @tables
 def test_pipeline_equals_its_stages(spark):
     import corpus_pipeline as P
