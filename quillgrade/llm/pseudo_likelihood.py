@@ -242,7 +242,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_pydict({"word": pa.array(keys.view(np.int64)), "n": pa.array(n, pa.int64())})
 
     counts = docs.select(F.col(text)).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return materialise(counts, "counts")
+    return materialise(counts, "counts", "snappy")
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -276,7 +276,7 @@ def word_ids(docs: DataFrame, words: Vocabulary, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_pydict({"row": rows, "key": batch.column(0).slice(a, b - a), "ids": lists(every, pa.array(ids, pa.int32())), "rare": lists(rare, pa.array(keys[rare].view(np.int64)))})
 
     kind = docs.schema[key].dataType.simpleString()
-    return materialise(docs.select(F.col(key), F.col(text)).mapInArrow(run, f"row long, key {kind}, ids array<int>, rare array<long>"), "word-ids")
+    return materialise(docs.select(F.col(key), F.col(text)).mapInArrow(run, f"row long, key {kind}, ids array<int>, rare array<long>"), "word-ids", "snappy")
 
 
 def _averaged(parts: DataFrame) -> DataFrame:
