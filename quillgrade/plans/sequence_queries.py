@@ -216,7 +216,23 @@ def src_06(spark, d):
     return S.question_rows(raw).select("doc_id", "page_number", "pos", "question_number", "question_text", told.alias("options"))
 
 
-query("src_08_aliases", "SELECT CAST(n AS INT) AS question_number, count(*) AS n FROM (SELECT turn + 1 AS n FROM conversations UNION ALL SELECT turn + 2 FROM conversations) x GROUP BY x.n")(lambda spark, d: src_06(spark, d).groupBy("question_number").agg(F.count("*").alias("n")))
+_ALIASED = """SELECT conv_id AS doc_id, CAST(turn AS INT) AS page_number, concat('[{', CASE turn % 4
+ WHEN 0 THEN concat('"num": "', CAST(turn AS STRING), ')", "text": "', role, '", "choices": ["x", "', role, '"], "img": true, "section": "s1"')
+ WHEN 1 THEN concat('"question_number": ', CAST(turn AS STRING), ', "question_text": "', role, '", "options": [{"letter": "b", "text": "', role, '"}], "is_fragment": true')
+ WHEN 2 THEN concat('"number": ', CAST(turn AS STRING), ', "q": "', role, '", "E": "5", "B": "', role, '", "desc": "d1"')
+ ELSE concat('"question": "', role, '", "has_image": false, "fragment": true, "section_title": "s2", "image_description": "d2"') END, '}]') AS raw FROM """
+_FIELDS = """SELECT conv_id AS doc_id, CAST(turn AS INT) AS page_number, CASE WHEN turn % 4 = 3 THEN 0 ELSE CAST(turn AS INT) END AS question_number, role AS question_text,
+  CASE turn % 4 WHEN 0 THEN 'A=x;B=' || role WHEN 1 THEN 'b=' || role WHEN 2 THEN 'B=' || role || ';E=5' ELSE '' END AS options,
+  turn % 4 = 0 AS has_image, turn % 4 IN (1, 3) AS is_fragment, CASE turn % 4 WHEN 2 THEN 'd1' WHEN 3 THEN 'd2' END AS image_description, CASE turn % 4 WHEN 0 THEN 's1' WHEN 3 THEN 's2' END AS section_title FROM conversations"""
+
+
+@query("src_08_aliases", _FIELDS)
+def src_08(spark, d):
+    from quillgrade.sources import responses as S
+
+    raw = spark.sql(_ALIASED.replace("{", "{{").replace("}", "}}") + "{conversations}", conversations=table(spark, d, "conversations"))
+    told = F.array_join(F.transform("options", lambda o: F.concat(o["letter"], F.lit("="), o["text"])), ";")
+    return S.question_rows(raw).select("doc_id", "page_number", "question_number", "question_text", told.alias("options"), "has_image", "is_fragment", "image_description", "section_title")
 
 
 @query("srt_04_final_order", P + _SECT + " SELECT doc_id, page_number, pos, row_number() OVER (PARTITION BY doc_id ORDER BY section, question_number, page_number, pos) AS place FROM s")

@@ -103,13 +103,13 @@ def srt_05(spark, d):
     return ordered.select(F.posexplode("o").alias("at", "x")).select("x.user_id", (F.col("at") + 1).cast("long").alias("place"))
 
 
-_CHARGES = "c AS (SELECT user_id AS telegram_id, count(*) AS n FROM events WHERE event_type = 'purchase' AND event_id % 20 = 0 GROUP BY user_id)"
+_CHARGES = "c AS (SELECT user_id AS telegram_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY user_id)"
 _UC = with_views("users").rstrip() + "," + _CHARGES
 _TAKEN = "CASE WHEN uses_left IS NOT NULL THEN greatest(0, uses_left - coalesce(n, 0)) END AS uses_left, CASE WHEN uses_left IS NULL THEN 0 ELSE least(uses_left, coalesce(n, 0)) END::BIGINT AS granted"
 
 
 def _charges(spark, d):
-    return table(spark, d, "events").where("event_type = 'purchase' AND event_id % 20 = 0").select(F.col("user_id").alias("telegram_id"), "event_id", "ts")
+    return table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("telegram_id"), "event_id", "ts")
 
 
 @query("mut_01_decrement", _UC + f" SELECT telegram_id, {_TAKEN} FROM users LEFT JOIN c USING (telegram_id)")
@@ -117,13 +117,13 @@ def mut_01(spark, d):
     return M.decrement_uses(view(spark, d, "users"), _charges(spark, d))
 
 
-@query("mut_02_session_charge", with_views("users").rstrip() + f", c AS (SELECT user_id AS telegram_id, count(*) AS n FROM ({_FIRST}) y WHERE event_id % 5 = 0 GROUP BY user_id) SELECT telegram_id, {_TAKEN} FROM users LEFT JOIN c USING (telegram_id)")
+@query("mut_02_session_charge", with_views("users").rstrip() + f", c AS (SELECT user_id AS telegram_id, count(*) AS n FROM ({_FIRST}) y GROUP BY user_id) SELECT telegram_id, {_TAKEN} FROM users LEFT JOIN c USING (telegram_id)")
 def mut_02(spark, d):
-    charged = win_11(spark, d).where("event_id % 5 = 0").select(F.col("user_id").alias("telegram_id"), "event_id")
+    charged = win_11(spark, d).select(F.col("user_id").alias("telegram_id"), "event_id")
     return M.decrement_uses(view(spark, d, "users"), charged)
 
 
-@query("tri_03_charge_notice", _UC + f", f AS (SELECT user_id AS telegram_id, min(event_id) AS first_event FROM events WHERE event_type = 'purchase' AND event_id % 20 = 0 GROUP BY user_id) SELECT telegram_id, {_TAKEN}, first_event FROM users LEFT JOIN c USING (telegram_id) LEFT JOIN f USING (telegram_id)")
+@query("tri_03_charge_notice", _UC + f", f AS (SELECT user_id AS telegram_id, min(event_id) AS first_event FROM events WHERE event_type = 'purchase' GROUP BY user_id) SELECT telegram_id, {_TAKEN}, first_event FROM users LEFT JOIN c USING (telegram_id) LEFT JOIN f USING (telegram_id)")
 def tri_03(spark, d):
     c = _charges(spark, d)
     return M.decrement_uses(view(spark, d, "users"), c).join(M.first_charges(c.select("telegram_id", F.col("event_id").alias("first_event")), "first_event"), "telegram_id", "left")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from quillgrade.functions import text as X
 from quillgrade.functions import udfs as U
 from quillgrade.plans.registry import query
-from quillgrade.plans.views import questions, table, with_views
+from quillgrade.plans.views import fp_sql, questions, table, with_views
 
 _STEM = r"""SELECT p_partkey AS id, p_size AS n, p_name, p_brand, p_type, CASE p_partkey % 12
  WHEN 0 THEN concat(CAST(p_size AS STRING), '. $\\frac{', CAST(p_size AS STRING), '}{2}$ va \\alpha \\cdot x^{', CAST(p_size AS STRING), '} \\leq 3')
@@ -74,7 +76,13 @@ def str_05(spark, d):
     return _stems(spark, d).select("id", X.strip_backticks(F.col("stem")).alias("stripped"))
 
 
-@query("str_06_inline_options", ST + " SELECT id, CASE WHEN id % 12 = 3 THEN p_name ELSE stem END AS stripped FROM t")
+_INLINE = f""", a AS (SELECT id, stem, [p_name, p_brand, p_type] AS options, length(regexp_extract(stem, '(?s)^(.*?)\\bA\\)', 1)) AS head, regexp_matches(stem, '\\bA\\)') AS found FROM t),
+b AS (SELECT *, substr(stem, head + 1) AS tail FROM a),
+c AS (SELECT *, len(list_filter(options, lambda o: {fp_sql('o')} <> '' AND contains({fp_sql('tail')}, left({fp_sql('o')}, 12)))) AS hits FROM b)
+SELECT id, CASE WHEN found AND len(options) >= 3 AND contains(tail, 'B)') AND contains(tail, 'C)') AND hits >= 2 THEN rtrim(left(stem, head)) ELSE stem END AS stripped FROM c"""
+
+
+@query("str_06_inline_options", ST + _INLINE)
 def str_06(spark, d):
     return _stems(spark, d).select("id", X.strip_inline_options(F.col("stem"), F.array("p_name", "p_brand", "p_type")).alias("stripped"))
 
@@ -103,22 +111,51 @@ def str_11(spark, d):
     return rows.select("text", F.array_join(F.transform("k.entries", lambda e: F.concat(e["position"].cast("string"), F.lit("="), F.array_join(e["accepted"], "/"))), ";").alias("key"), "k.reason")
 
 
-@query("str_12_skip_marks", ST + " SELECT id, CASE WHEN id % 12 = 11 THEN '12,5' ELSE '' END AS skips FROM t")
-def str_12(spark, d):
-    return _stems(spark, d).select("id", F.array_join(X.skip_numbers(F.col("stem")), ",").alias("skips"))
+# the keys of all questions that have a letter, as labelled lines, and read back
+_KEY_LINES = "SELECT project_id, question_number AS n, correct_answer AS a FROM questions WHERE correct_answer IS NOT NULL"
 
 
-@query("str_13_caption", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Ali' ELSE 'Ali Vali' END AS name, CASE WHEN o_orderkey % 3 = 1 THEN NULL ELSE CAST(o_orderkey % 50 AS INT) END AS variant FROM orders")
-def str_13(spark, d):
-    k = (F.col("o_orderkey") % 50).cast("string")
-    caption = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" Ali  "), k)).when(F.col("o_orderkey") % 3 == 1, "Ali Vali").otherwise(F.concat(F.lit("Ali "), k, F.lit(" Vali")))
-    return table(spark, d, "orders").select("o_orderkey", X.parse_caption(caption).alias("c")).select("o_orderkey", "c.name", "c.variant")
+@query("str_11_sheet_keys", with_views("questions") + f"SELECT project_id, string_agg(n || '=' || upper(a), ';' ORDER BY n) AS key FROM ({_KEY_LINES}) k GROUP BY project_id")
+def str_11_sheets(spark, d):
+    rows = questions(spark, d).where("correct_answer IS NOT NULL").groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("question_number", F.lower("correct_answer").alias("a")))).alias("r"))
+    text = F.array_join(F.transform("r", lambda x: F.concat(x["question_number"].cast("string"), F.lit("-"), x["a"])), " ")
+    key = F.array_join(F.transform("k.entries", lambda e: F.concat(e["position"].cast("string"), F.lit("="), F.array_join(e["accepted"], "/"))), ";")
+    return rows.select("project_id", U.answer_key(text).alias("k")).select("project_id", key.alias("key"))
+
 
+@query("str_12_skip_marks", ST + " SELECT id, array_to_string(list_transform(list_filter(string_split_regex(stem, '\\s+'), lambda w: regexp_matches(w, '^[0-9]{1,3}-$')), lambda w: CAST(replace(w, '-', '') AS INT)), ',') AS skips FROM t")
+def str_12(spark, d):
+    return _stems(spark, d).select("id", F.array_join(X.skip_numbers(F.col("stem")), ",").alias("skips"))
 
-_SLUGS = "CASE id % 12 WHEN 1 THEN 'ocr_confusion' WHEN 4 THEN 'repeated_element,ratio_element_mismatch' WHEN 5 THEN 'empty_equation_side,dangling_product' WHEN 6 THEN 'broken_isotope' WHEN 8 THEN 'mangled_radical' WHEN 10 THEN 'ocr_confusion' ELSE '' END"
 
+_CAPTION = "CASE o_orderkey % 5 WHEN 0 THEN concat(' Ali  ', o_orderkey % 50) WHEN 1 THEN 'Ali Vali' WHEN 2 THEN concat('Ali ', o_orderkey % 50, ' Vali') WHEN 3 THEN concat(o_orderkey % 50, ' ', o_orderpriority, ' 7') ELSE concat('  ', o_orderkey % 50, ' ') END"
+_PARTS = f"""WITH p AS (SELECT o_orderkey, list_filter(string_split_regex({_CAPTION}, '\\s+'), lambda w: w <> '') AS parts FROM orders),
+d AS (SELECT *, list_position(list_transform(parts, lambda w: regexp_matches(w, '^[0-9]+$')), true) AS spot FROM p)
+SELECT o_orderkey, nullif(CASE WHEN coalesce(spot, 0) = 0 THEN array_to_string(parts, ' ') ELSE array_to_string(list_concat(parts[1:spot - 1], parts[spot + 1:]), ' ') END, '') AS name, CASE WHEN spot > 0 THEN CAST(parts[spot] AS INT) END AS variant FROM d"""
 
-@query("str_14_suspicious", ST + f" SELECT id, {_SLUGS} AS reasons FROM t")
+
+@query("str_13_caption", _PARTS)
+def str_13(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", X.parse_caption(F.expr(_CAPTION)).alias("c")).select("o_orderkey", "c.name", "c.variant")
+
+
+# an element twice in a row, spelled out for each, as this dialect has no backreferences
+_TWICE = "|".join(f"{e}[0-9]*{e}[0-9]*" for a in string.ascii_uppercase for e in (a, *(a + b for b in string.ascii_lowercase)))
+_CHECKS = {
+    "repeated_element": f"regexp_matches(w, '\\b(?:{_TWICE})\\b')",
+    "empty_equation_side": "regexp_matches(stem, '(?m)^[ \\t]*=|=[ \\t]*$')",
+    "dangling_product": "regexp_matches(stem, '(?i)\\bva\\s+hosil\\s+bo')",
+    "ratio_element_mismatch": "ratio <> '' AND contains(lower(w), 'birikma') AND len(string_split(ratio, ':')) > list_max(list_transform(regexp_extract_all(w, '\\b(?:[A-Z][a-z]?[0-9]*){2,}\\b'), lambda f: len(list_distinct(regexp_extract_all(f, '[A-Z][a-z]?')))))",
+    "possible_lost_bond": "contains(lower(stem), 'oksidlan') AND regexp_matches(stem, '\\bC?H?[0-9]*\\(?CH') AND NOT contains(stem, '=') AND NOT contains(stem, '≡')",
+    "ocr_confusion": "list_contains(regexp_extract_all(lower(w), '\\p{L}+'), 'fill')",
+    "broken_isotope": "regexp_matches(w, '\\b[0-9]{4,6}[A-Z][a-z]?\\b|\\b[a-z][0-9]+α')",
+    "mangled_radical": "regexp_matches(w, '\\^\\(?\\s*[^\\s()]*√')",
+}
+_SLUGS = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _CHECKS.items()) + ")"
+_WHOLE = ", x AS (SELECT id, stem, stem || ' ' AS w, regexp_extract(stem, '\\b([0-9]+(?:\\s*:\\s*[0-9]+)+)\\b', 1) AS ratio FROM t)"
+
+
+@query("str_14_suspicious", ST + _WHOLE + f" SELECT id, {_SLUGS} AS reasons FROM x")
 def str_14(spark, d):
     return _stems(spark, d).select("id", F.array_join(X.suspicious(F.col("stem"), F.lit("")), ",").alias("reasons"))
 
@@ -126,25 +163,32 @@ def str_14(spark, d):
 query("str_15_unanswerable")(lambda spark, d: _stems(spark, d).select("id", F.array_join(U.unanswerable(F.concat("stem", F.lit(". Y ni toping"))), ",").alias("missing")))
 
 
-@query("str_16_lint", ST + " SELECT id, concat_ws(',', CASE WHEN regexp_matches(stem, '^\\s*[0-9]+\\s*[.)]\\s') THEN 'stem_starts_with_number' END, CASE WHEN id % 12 = 3 THEN 'options_inside_stem' END) AS found FROM t")
+@query("str_16_lint", ST + " SELECT id, concat_ws(',', CASE WHEN regexp_matches(stem, '^\\s*[0-9]+\\s*[.)]\\s') THEN 'stem_starts_with_number' END, CASE WHEN regexp_matches(stem, '\\bA\\)') AND regexp_matches(stem, '\\bB\\)') THEN 'options_inside_stem' END) AS found FROM t")
 def str_16(spark, d):
     own = X.lint(F.col("stem"), F.array(*[F.lit(x) for x in "abcd"]), F.lit(""), F.lit("zz yy"))
     return _stems(spark, d).select("id", F.array_join(own, ",").alias("found"))
 
 
-@query("str_17_schemes", ST + " SELECT id, id % 12 = 6 AS needs, contains(stem, '→') AS has, FALSE AS meta FROM t")
+_DESCRIBED = "CASE p_partkey % 4 WHEN 0 THEN concat('There is no ', p_name) WHEN 1 THEN concat('The page does not show ', p_name) WHEN 2 THEN p_name END"
+_NEEDS = "(" + " OR ".join(f"contains(lower(stem), '{w.replace(chr(39), chr(39) * 2)}')" for w in X.SCHEME_WORDS) + ")"
+
+
+@query("str_17_schemes", ST + f" SELECT id, {_NEEDS} AS needs, contains(stem, '→') AS has, coalesce(meta, FALSE) AS meta FROM t JOIN (SELECT p_partkey AS id, regexp_matches({_DESCRIBED}, '(?i)\\b(?:does|do|did)\\s*not\\s+(?:contain|have|include|show|depict)\\b|\\bthere\\s+is\\s+no\\b') AS meta FROM part) m USING (id)")
 def str_17(spark, d):
     none = F.lit(None).cast("string")
-    return _stems(spark, d).select("id", X.needs_scheme(F.col("stem"), F.lit(False), none).alias("needs"), X.has_scheme(F.col("stem"), F.lit(""), none, none).alias("has"), X.meta_description(F.col("p_name")).alias("meta"))
+    rows = _stems(spark, d).withColumn("p_partkey", F.col("id"))
+    return rows.select("id", X.needs_scheme(F.col("stem"), F.lit(False), none).alias("needs"), X.has_scheme(F.col("stem"), F.lit(""), none, none).alias("has"), X.meta_description(F.expr(_DESCRIBED)).alias("meta"))
 
 
 _TOK = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'))"
 
 
-@query("str_18_reveals", f"SELECT p_partkey, len(list_filter({_TOK('p_name')}, lambda t: regexp_matches(t, '\\p{{L}}'))) >= 2 AND list_has_all({_TOK('p_name')}, {_TOK('p_name')}) AND p_partkey % 2 = 0 AS reveals FROM part")
+_SHOWN = "CASE p_partkey % 3 WHEN 0 THEN concat('the ', p_name, ' is shown') WHEN 1 THEN concat(p_type, ' ', p_brand) ELSE concat(p_brand, ' ', substr(p_name, 1, 9)) END"
+
+
+@query("str_18_reveals", f"WITH p AS (SELECT p_partkey, list_filter({_TOK('p_name')}, lambda w: regexp_matches(w, '\\p{{L}}')) AS words, {_TOK(_SHOWN)} AS shown FROM part) SELECT p_partkey, len(words) >= 2 AND list_has_all(shown, words) AS reveals FROM p")
 def str_18(spark, d):
-    desc = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("the "), "p_name", F.lit(" is shown"))).otherwise(F.substring_index("p_name", " ", 1))
-    return table(spark, d, "part").select("p_partkey", X.reveals_answer(desc, F.col("p_name")).alias("reveals"))
+    return table(spark, d, "part").select("p_partkey", X.reveals_answer(F.expr(_SHOWN), F.col("p_name")).alias("reveals"))
 
 
 @query("set_03_subset", f"SELECT a.p_partkey, list_has_all({_TOK('b.p_name')}, {_TOK('a.p_name')}) AS is_subset FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
@@ -161,11 +205,13 @@ def set_04(spark, d):
     return both.select("p_partkey", X.overlap(X.tokens(F.col("p_name")), X.tokens(F.col("other"))).alias("share"))
 
 
-@query("str_19_mixed_case", "SELECT p_partkey, p_partkey % 3 = 1 AS mixed FROM part")
+_LETTERS = "substr(md5(CAST(p_partkey AS STRING)), 1, 4)"
+_CASED = f"concat(substr({_LETTERS}, 1, 2), upper(substr({_LETTERS}, 3, 2)))"
+
+
+@query("str_19_mixed_case", f"SELECT p_partkey, regexp_matches({_CASED}, '[A-Z]') AND regexp_matches({_CASED}, '[a-z]') AS mixed FROM part")
 def str_19(spark, d):
-    k = F.col("p_partkey") % 3
-    letters = F.when(k == 0, F.array(F.lit("A"), F.lit("B"))).when(k == 1, F.array(F.lit("a"), F.lit("b"), F.lit("D"))).otherwise(F.array(F.lit("a"), F.lit("b")))
-    return table(spark, d, "part").select("p_partkey", X.mixed_case(letters).alias("mixed"))
+    return table(spark, d, "part").select("p_partkey", X.mixed_case(F.split(F.expr(_CASED), "")).alias("mixed"))
 
 
 @query("str_20_scripts", "SELECT l_orderkey AS para, string_agg(CASE l_linenumber % 3 WHEN 1 THEN '^' || CASE WHEN length(CAST(l_linenumber AS VARCHAR)) > 1 THEN '(' || l_linenumber || ')' ELSE CAST(l_linenumber AS VARCHAR) END WHEN 2 THEN '_(' || 'x' || l_linenumber || ')' ELSE 'ab' END, '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS text FROM lineitem GROUP BY l_orderkey")
@@ -193,7 +239,7 @@ def str_23(spark, d):
     return table(spark, d, "documents").select("doc_id", X.truncate(F.col("text"), 40).alias("short"))
 
 
-@query("lad_01_scheme_ladder", ST + " SELECT id, CASE WHEN id % 12 = 7 AND id % 2 = 0 THEN 'present' WHEN contains(stem, '→') AND (id % 12 = 6 OR id % 3 = 0) THEN 'present' WHEN NOT (id % 12 = 6 OR id % 3 = 0) THEN 'none_needed' WHEN id % 5 = 0 THEN 'transcript' ELSE 'failed' END AS step FROM t")
+@query("lad_01_scheme_ladder", ST + f" SELECT id, CASE WHEN NOT ({_NEEDS} OR id % 3 = 0) THEN 'none_needed' WHEN contains(stem, '→') THEN 'present' WHEN id % 5 = 0 THEN 'transcript' ELSE 'failed' END AS step FROM t")
 def lad_01(spark, d):
     transcript = F.when(F.col("id") % 5 == 0, "1) NaOH\n2) H2O").otherwise("nothing")
     none = F.lit(None).cast("string")

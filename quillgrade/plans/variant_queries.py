@@ -10,7 +10,7 @@ from quillgrade.operators import questions as Q
 from quillgrade.operators import reports as R
 from quillgrade.operators import variants as V
 from quillgrade.plans.registry import query
-from quillgrade.plans.views import questions, table, view, with_views
+from quillgrade.plans.views import fp_sql, questions, table, view, with_views
 
 QS = with_views("questions").rstrip()
 _FILLED = " + ".join(f"CASE WHEN trim(coalesce(option_{x}, '')) <> '' THEN 1 ELSE 0 END" for x in "abcd")
@@ -103,8 +103,7 @@ def src_05(spark, d):
 
 
 # fingerprints over documents: text, two lines as options
-_FP = lambda x: f"regexp_replace(translate(lower(coalesce({x}, '')), '''‘’ʻʼʹ′`´', ''), '[^a-zа-яё0-9+\\-:/%=<>→≡]', '', 'g')"
-_DOCFP = f"d AS (SELECT doc_id, text, source, lang, {_FP('text')} AS fp FROM documents)"
+_DOCFP = f"d AS (SELECT doc_id, text, source, lang, {fp_sql('text')} AS fp FROM documents)"
 
 
 def _doc_fp(spark, d):
@@ -112,17 +111,17 @@ def _doc_fp(spark, d):
     return table(spark, d, "documents").select("doc_id", "source", "text", F.md5(D.fingerprint_norm(F.col("text"))).alias("fp"))
 
 
-@query("ded_01_norm", f"SELECT doc_id, md5({_FP('text')}) AS h FROM documents")
+@query("ded_01_norm", f"SELECT doc_id, md5({fp_sql('text')}) AS h FROM documents")
 def ded_01(spark, d):
     return _doc_fp(spark, d).select("doc_id", F.col("fp").alias("h"))
 
 
-@query("ded_01_norm_composed", f"SELECT doc_id, md5({_FP('text')}) AS h FROM documents")
+@query("ded_01_norm_composed", f"SELECT doc_id, md5({fp_sql('text')}) AS h FROM documents")
 def ded_01_composed(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(D.fingerprint_norm(F.col("text"), True)).alias("h"))
 
 
-_QFP = f"{_FP('question_text')} || '::' || array_to_string(list_sort([{_FP('option_a')}, {_FP('option_b')}, {_FP('option_c')}, {_FP('option_d')}]), '|') || '::'"
+_QFP = f"{fp_sql('question_text')} || '::' || array_to_string(list_sort([{fp_sql('option_a')}, {fp_sql('option_b')}, {fp_sql('option_c')}, {fp_sql('option_d')}]), '|') || '::'"
 
 
 @query("ded_02_fingerprint", QS + f" SELECT question_id, {_QFP} AS fp FROM questions")
@@ -149,7 +148,7 @@ def ded_04(spark, d):
     return D.exact_duplicates(rows, ["fp"])
 
 
-@query("ded_05_siblings", QS + f", f AS (SELECT {_FP('stem')} AS stem_fp, {_QFP} AS fp FROM questions) SELECT stem_fp, count(DISTINCT fp) AS kinds, count(*) AS n FROM f GROUP BY stem_fp HAVING count(DISTINCT fp) > 1")
+@query("ded_05_siblings", QS + f", f AS (SELECT {fp_sql('stem')} AS stem_fp, {_QFP} AS fp FROM questions) SELECT stem_fp, count(DISTINCT fp) AS kinds, count(*) AS n FROM f GROUP BY stem_fp HAVING count(DISTINCT fp) > 1")
 def ded_05(spark, d):
     q = view(spark, d, "questions")
     own = F.array(*[F.col(f"option_{x}") for x in "abcd"])
@@ -200,12 +199,15 @@ def gen_01(spark, d):
     return V.units(_valid(spark, d)).select("question_id", "unit_id", "unit_pos")
 
 
-_SHUFFLE = _UNITS + """,
-x AS (SELECT q.*, n AS variant_number FROM q, range(1, 4) r(n)),
+_MOVED = """,
 o AS (SELECT question_id, project_id, unit_id, question_number, variant_number, correct_answer, unnest(range(1, len(string_split(kept, '|')) + 1)) AS i, string_split(kept, '|') AS ks FROM x WHERE filled > 0),
 l AS (SELECT *, substr(ks[i], 1, 1) AS letter, substr(ks[i], 3) AS text FROM o),
 m AS (SELECT *, row_number() OVER (PARTITION BY question_id, variant_number ORDER BY i) AS slot, row_number() OVER (PARTITION BY question_id, variant_number ORDER BY md5('s7|' || variant_number || '|' || question_id || '|' || letter), i) AS drawn FROM l),
 w AS (SELECT a.question_id, a.variant_number, a.letter, b.text, b.letter AS was, a.i, a.correct_answer FROM m a JOIN m b ON a.question_id = b.question_id AND a.variant_number = b.variant_number AND a.slot = b.drawn)"""
+_PLACED = """, k AS (SELECT question_id, variant_number, max(CASE WHEN was = correct_answer THEN letter END) AS now FROM w GROUP BY ALL)
+SELECT x.project_id, x.variant_number, row_number() OVER (PARTITION BY x.project_id, x.variant_number ORDER BY md5('SEED|' || x.variant_number || '|' || x.project_id || '|' || unit_id), unit_id, question_number) AS position,
+  x.question_id, CASE WHEN filled > 0 THEN coalesce(now, correct_answer) END AS key FROM x LEFT JOIN k USING (question_id, variant_number)"""
+_SHUFFLE = _UNITS + ", x AS (SELECT q.*, n AS variant_number FROM q, range(1, 4) r(n))" + _MOVED
 
 
 @query("gen_02_option_shuffle", _SHUFFLE + " SELECT question_id, variant_number, string_agg(letter || '=' || text, '|' ORDER BY i) AS options, max(CASE WHEN was = correct_answer THEN letter END) AS correct_now FROM w GROUP BY question_id, variant_number")
@@ -214,12 +216,7 @@ def gen_02(spark, d):
     return v.select("question_id", F.col("variant_number").cast("long").alias("variant_number"), _told(F.col("shuffled")).alias("options"), V.new_label(F.col("shuffled"), F.col("correct_answer")).alias("correct_now"))
 
 
-@query(
-    "gen_03_variants",
-    _SHUFFLE + """, k AS (SELECT question_id, variant_number, max(CASE WHEN was = correct_answer THEN letter END) AS now FROM w GROUP BY ALL)
-SELECT x.project_id, x.variant_number, row_number() OVER (PARTITION BY x.project_id, x.variant_number ORDER BY md5('s7|' || x.variant_number || '|' || x.project_id || '|' || unit_id), unit_id, question_number) AS position,
-  x.question_id, CASE WHEN filled > 0 THEN coalesce(now, correct_answer) END AS key FROM x LEFT JOIN k USING (question_id, variant_number)""",
-)
+@query("gen_03_variants", _SHUFFLE + _PLACED.replace("SEED", "s7"))
 def gen_03(spark, d):
     v = V.variants(_valid(spark, d), 3, "s7")
     return v.select("project_id", F.col("variant_number").cast("long").alias("variant_number"), "position", "question_id", "key")
@@ -239,8 +236,9 @@ def snk_02(spark, d):
     return own.select("project_id", "variant_number", F.array_join(F.transform("o", lambda x: x["question_id"]), ",").alias("question_order"))
 
 
-_CYCLE = QS + """, s AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY md5('s3|' || question_id), question_id) - 1 AS place, count(*) OVER (PARTITION BY project_id) AS pool FROM questions),
+_PICKS = """, s AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY md5('s3|' || question_id), question_id) - 1 AS place, count(*) OVER (PARTITION BY project_id) AS pool FROM questions),
 c AS (SELECT project_id, n AS variant_number, question_id FROM s, range(1, 6) r(n) WHERE ((place - (n - 1) * least(3, pool)) % pool + pool) % pool < least(3, pool))"""
+_CYCLE = QS + _PICKS
 
 
 def _cycle(spark, d):
@@ -263,11 +261,18 @@ def gen_05_units(spark, d):
     return V.select_units(pool.select("project_id", "unit_id", "question_id", "fp"), 4, 4, "s5")
 
 
-@query("gen_06_pool_variants")
+@query("gen_06_unit_variants")
+def gen_06_units(spark, d):
+    return V.pool_variants(_valid(spark, d), gen_05_units(spark, d), "s5").select("project_id", "variant_number", "position", "question_id", "key")
+
+
+_LISTED = ", x AS (SELECT q.*, c.variant_number FROM q JOIN c USING (question_id))"
+
+
+@query("gen_06_pool_variants", _UNITS + _PICKS + _LISTED + _MOVED.replace("s7|", "s5|") + _PLACED.replace("SEED", "s5"))
 def gen_06(spark, d):
-    chosen = gen_05_units(spark, d).select(F.col("variant_number").alias("chosen"), "question_id")
-    rows = V.variants(_valid(spark, d), 4, "s5").join(chosen, "question_id").where("variant_number = chosen")
-    return rows.select("project_id", "variant_number", "position", "question_id", "key")
+    v = V.pool_variants(_valid(spark, d), _cycle(spark, d), "s5")
+    return v.select("project_id", F.col("variant_number").cast("long").alias("variant_number"), "position", "question_id", "key")
 
 
 @query("rpt_07_missing_images", QS + " SELECT DISTINCT part_id FROM questions WHERE has_image AND part_id % 3 <> 0")

@@ -199,6 +199,11 @@ def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("sheet_id", "position", F.when(F.col("accepted_a").isNotNull(), F.array_compact(F.array("accepted_a", "accepted_b"))).alias("accepted"))
 
 
+def fp_sql(x: str) -> str:
+    """The fingerprint of a text, in the oracle's dialect."""
+    return f"regexp_replace(translate(lower(coalesce({x}, '')), '''‘’ʻʼʹ′`´', ''), '[^a-zа-яё0-9+\\-:/%=<>→≡]', '', 'g')"
+
+
 def with_views(*names: str, recursive: bool = False) -> str:
     """The WITH clause of an oracle that reads the views."""
     return ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n](Duck)})" for n in names) + " "

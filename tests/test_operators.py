@@ -228,3 +228,15 @@ def test_responses_are_salvaged():
     grouped = '{"groups": [{"title": "t", "questions": [{"n": 1}, {"n": 2}]}, {"questions": [{"n": 3}]}]}'
     assert [responses._record(r)["question_number"] for r in responses._records(grouped)] == [1, 2, 3]
     assert responses._records("garbage") == [] and len(responses._records('{"questions": [{"n": 1}]}')) == 1
+
+
+def test_pool_variants_number_their_own_questions(spark):
+    rows = [("p", i, i, None, "A", [("A", f"x{i}"), ("B", f"y{i}")]) for i in range(1, 7)]
+    questions = spark.createDataFrame(rows, "project_id string, question_id int, question_number int, group_id string, correct_answer string, options array<struct<letter:string,text:string>>")
+    chosen = spark.createDataFrame([(1, 2), (1, 5), (2, 5), (2, 6), (2, 1)], "variant_number int, question_id int")
+    found = variants.pool_variants(questions, chosen, "s").collect()
+    assert sorted((r["variant_number"], r["position"]) for r in found) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3)]
+    assert {(r["variant_number"], r["question_id"]) for r in found} == {tuple(r) for r in chosen.collect()}
+    for r in found:
+        right = next(o["text"] for o in r["shuffled"] if o["letter"] == r["key"])
+        assert right == f"x{r['question_id']}"
