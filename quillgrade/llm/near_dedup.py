@@ -16,7 +16,9 @@ wanted probability.
    linked with another component go on, each once a group, to a comparison of full
    sets in blocks, which gives out links between components that it has not joined
    yet: a forest, never more links than members. A pair that meets in
-   several groups is compared in the first tree whose group is compared whole.
+   several groups is compared in the first tree whose group is compared whole. Before full
+   sets are sent to blocks, groups around one component become one group, with each
+   member once, where that takes fewer rows than the groups of all trees apart.
 
 Candidates pass a 256-bit sketch of the minwise tokens, with a margin of five
 standard deviations, and a bound on set sizes; then the full sets decide, as 64-bit
@@ -296,14 +298,34 @@ def _crossing(own: DataFrame, percent: int) -> DataFrame:
     return _by_block(rows, ["main", *MEMBER], ["tokens"], schema, work).dropDuplicates(["path", "uid"])
 
 
+def _grid(own: DataFrame) -> DataFrame:
+    """The numbers of blocks, ``e`` of members and ``f`` of the few outside the largest component, of each group, and the rows that they take."""
+    other = F.col("label") != F.col("main")
+    sums = own.groupBy("main", "path").agg(F.count("*").alias("c"), F.sum("n").alias("volume"), F.count_if(other).alias("others"), F.sum(F.when(other, F.col("n")).otherwise(0)).alias("few_volume"))
+    parts = lambda c, volume: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK), F.ceil(F.col(volume) / BLOCK_SHINGLES)).cast("int")
+    sums = sums.withColumn("e", parts("c", "volume")).withColumn("f", parts("others", "few_volume"))
+    return sums.select("main", "path", "e", "f", (F.col("c") * F.col("f") + F.col("others") * F.col("e")).alias("rows"))
+
+
+def _families(own: DataFrame) -> DataFrame:
+    """The members of groups with their grid; groups with one largest component are one, each member once, where this takes fewer rows.
+
+    The trees' groups of one family of near copies have most members in common. All pairs
+    of such a group meet in the joint one, so none is left to another tree.
+    """
+    once = own.withColumn("path", F.xxhash64("main", F.lit("family"))).withColumn("tree", F.lit(0)).dropDuplicates(["path", "uid"])
+    apart, joint = materialise(_grid(own), "apart"), materialise(_grid(once), "joint")
+    fewer = apart.groupBy("main").agg(F.sum("rows").alias("all")).join(joint, "main").where("rows < all").select("main")
+    fewer = _sent(materialise(fewer, "families"))
+    grid = joint.join(fewer, "main", "left_semi").union(apart.join(fewer, "main", "left_anti"))
+    grid = materialise(grid.select("path", "e", "f"), "grid")
+    return once.unionByName(own).join(_sent(grid), "path")
+
+
 def _full(own: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """Confirmed links between the components of groups, on full sets: a forest of each block."""
     sets = _sets_of(materialise(own.select("uid").distinct(), "uids"), nodes, docs, key, text, width)
-    other = F.col("label") != F.col("main")
-    volumes = own.groupBy("path").agg(F.count("*").alias("c"), F.sum("n").alias("volume"), F.count_if(other).alias("others"), F.sum(F.when(other, F.col("n")).otherwise(0)).alias("few_volume"))
-    rows = own.join(_sent(materialise(volumes, "volumes")), "path")
-    parts = lambda c, volume: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK), F.ceil(F.col(volume) / BLOCK_SHINGLES)).cast("int")
-    rows = _blocks(rows, parts("c", "volume"), parts("others", "few_volume"))
+    rows = _blocks(_families(own), F.col("e"), F.col("f"))
     rows = rows.join(sets, "uid")
 
     def work(path, few, every):

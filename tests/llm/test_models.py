@@ -67,6 +67,30 @@ def test_components_equal_brute_force(spark, monkeypatch, width, percent, small,
     assert got == brute_components(docs, width, percent)
 
 
+def test_a_family_meets_once_on_full_sets(spark, monkeypatch):
+    """Near copies that share most groups of all trees go to the blocks of full sets once, not once a tree, and no link is lost."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(150):
+        near = list(base)
+        for _ in range(r.randrange(9)):
+            near[r.randrange(len(near))] = "x%d" % r.randrange(10**6)
+        docs.append((i, " ".join(near)))
+    sent, by_block = [], near_dedup._by_block
+
+    def counted(rows, plain, nested, *more):
+        if "shingles" in nested:
+            sent.append(rows.count())
+        return by_block(rows, plain, nested, *more)
+
+    monkeypatch.setattr(near_dedup, "_by_block", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, width=5, percent=80).collect()}
+    assert got == brute_components(docs, 5, 80)
+    assert 0 < sum(sent) <= 4 * len(docs)
+
+
 def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "a b c d")], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect())
